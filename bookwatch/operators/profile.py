@@ -128,7 +128,9 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 30) -> DataFrame:
             continue
         width = (hi - lo) / bins if hi > lo else 1.0
         x = F.col(c).cast("double")
-        b = F.least(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
+        # least() skips nulls in Spark, so guard the missing values explicitly
+        b = F.when(x.isNotNull(), F.least(F.floor((x - F.lit(lo)) / F.lit(width)),
+                                          F.lit(bins - 1))).cast("int")
         parts.append(F.struct(F.lit(c).alias("column_name"), b.alias("bin"),
                               F.lit(lo).alias("lo"), F.lit(width).alias("width")))
     long = df.select(F.inline(F.array(*parts))).where(F.col("bin").isNotNull())

@@ -124,3 +124,35 @@ features AS (
 # the usual prefix: bookings -> eda -> features
 BASE = with_ctes(BOOKINGS, EDA, FEATURES)
 EDA_BASE = with_ctes(BOOKINGS, EDA)
+
+# exact stratified 80/20 split (per class, smallest md5(key|42) first) and the
+# deterministic score used by the evaluation and decision queries
+SPLIT = """
+split AS (
+  SELECT *, row_number() OVER (PARTITION BY is_canceled
+              ORDER BY md5(CAST(booking_id AS VARCHAR) || '|42'), booking_id) AS __rn,
+         count(*) OVER (PARTITION BY is_canceled) AS __ny
+  FROM features),
+train AS (SELECT * EXCLUDE (__rn, __ny) FROM split WHERE NOT (__rn <= round(0.2 * __ny))),
+test AS (SELECT * EXCLUDE (__rn, __ny) FROM split WHERE __rn <= round(0.2 * __ny))
+"""
+
+SCORE_EXPR = """round(least(1.0::DOUBLE, greatest(0.0::DOUBLE,
+   0.08::DOUBLE + 0.35::DOUBLE * (CASE WHEN coalesce(lead_time, 0) >= 365 THEN 1 ELSE 0 END)::DOUBLE
+   + 0.40::DOUBLE * (CASE WHEN deposit_type = 'Non Refund' THEN 1 ELSE 0 END)::DOUBLE
+   - 0.07::DOUBLE * (CASE WHEN total_of_special_requests >= 2 THEN 1 ELSE 0 END)::DOUBLE
+   + 0.1::DOUBLE * (('0x' || substr(md5(CAST(booking_id AS VARCHAR) || '|3'), 1, 7))::BIGINT / 268435456.0::DOUBLE
+                    - 0.5::DOUBLE))), 4)"""
+
+SCORED = f"""
+scored0 AS (SELECT *, {SCORE_EXPR} AS predicted_cancellation_probability FROM test),
+scored AS (
+  SELECT *, CASE WHEN predicted_cancellation_probability >= 0.55 THEN 1 ELSE 0 END AS predicted_is_cancelled,
+    CASE WHEN predicted_cancellation_probability >= 0.7 THEN 'High Risk'
+         WHEN predicted_cancellation_probability >= 0.55 THEN 'Medium Risk' ELSE 'Low Risk' END AS risk_category,
+    predicted_cancellation_probability * estimated_booking_value AS estimated_revenue_at_risk
+  FROM scored0)
+"""
+
+SCORED_BASE = with_ctes(BOOKINGS, EDA, FEATURES, SPLIT, SCORED)
+SPLIT_BASE = with_ctes(BOOKINGS, EDA, FEATURES, SPLIT)

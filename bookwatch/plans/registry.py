@@ -310,3 +310,312 @@ register("value_by_outcome", ED + """SELECT is_canceled, count(estimated_booking
 # --------------------------------------------------------------------------- features
 register("eda_enriched", ED + "SELECT * FROM eda")(eda)
 register("derive_features", FT + "SELECT * FROM features")(features)
+
+# --------------------------------------------------------------------------- preprocessing
+from ..operators import decision as DC  # noqa: E402
+from ..operators import evaluate as EV  # noqa: E402
+from ..operators import preprocess as PP  # noqa: E402
+from ..sources import fixtures as FX  # noqa: E402
+
+SPB = O.SPLIT_BASE
+SCB = O.SCORED_BASE
+
+
+def split_frames(spark, d):
+    f = features(spark, d)
+    cond = PP.split_condition(f)
+    return f.where(~cond), f.where(cond)
+
+
+def scored_test(spark, d, threshold: float = S.DEFAULT_THRESHOLD):
+    """Test split scored with the deterministic reference score."""
+    _, test = split_frames(spark, d)
+    return DC.add_risk_columns(test.withColumn(S.PROBABILITY, FX.reference_score()), threshold)
+
+
+register("stratified_split", SPB + """SELECT booking_id, is_canceled,
+ CASE WHEN __rn <= round(0.2 * __ny) THEN 'test' ELSE 'train' END AS split FROM split""")(
+    lambda s, d: PP.assign_split(features(s, d)).select(S.BOOKING_ID, S.TARGET, "split"))
+
+_NUM = S.NUMERIC_FEATURES
+register("impute_median", SPB + ", med AS (SELECT " + ", ".join(
+    f"quantile_cont({c}, 0.5)::DOUBLE AS m_{c}" for c in _NUM) + " FROM train)\nSELECT booking_id, " + ", ".join(
+    f"coalesce(CAST({c} AS DOUBLE), m_{c}) AS {c}" for c in _NUM) + " FROM features, med")(
+    lambda s, d: (lambda tr, f: PP.impute(f, PP.fit_medians(tr, _NUM)).select(S.BOOKING_ID, *_NUM))(
+        split_frames(s, d)[0], features(s, d)))
+
+register("robust_scale", SPB + ", med AS (SELECT " + ", ".join(
+    f"quantile_cont({c}, 0.5)::DOUBLE AS m_{c}" for c in _NUM) + " FROM train),\n"
+    "imp AS (SELECT booking_id, " + ", ".join(f"coalesce(CAST({c} AS DOUBLE), m_{c}) AS {c}" for c in _NUM)
+    + " FROM train, med),\nprm AS (SELECT " + ", ".join(
+        f"quantile_cont({c}, 0.5) AS c_{c}, CASE WHEN quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) = 0 "
+        f"THEN 1.0 ELSE quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) END AS s_{c}" for c in _NUM)
+    + " FROM imp)\nSELECT booking_id, " + ", ".join(
+        f"round((coalesce(CAST({c} AS DOUBLE), m_{c}) - c_{c}) / s_{c}, 6) AS {c}" for c in _NUM)
+    + " FROM features, med, prm")(
+    lambda s, d: _robust_query(s, d))
+
+
+def _robust_query(s, d):
+    tr, _ = split_frames(s, d)
+    f = features(s, d)
+    med = PP.fit_medians(tr, _NUM)
+    prm = PP.fit_robust(PP.impute(tr, med), _NUM)
+    out = PP.robust_scale(PP.impute(f, med), prm)
+    return out.select(S.BOOKING_ID, *[F.round(c, 6).alias(c) for c in _NUM])
+
+
+from pyspark.sql import functions as F  # noqa: E402
+
+_NOM = S.NOMINAL_FEATURES
+register("one_hot", SPB + "SELECT f.booking_id, f.feature, f.category FROM (" + _unpivot_sql(
+    _NOM, "SELECT booking_id, '{c}' AS feature, CAST({c} AS VARCHAR) AS category FROM features") +
+    ") f JOIN (" + _unpivot_sql(_NOM, "SELECT DISTINCT '{c}' AS feature, CAST({c} AS VARCHAR) AS category FROM train") +
+    ") t ON f.feature = t.feature AND f.category = t.category")(
+    lambda s, d: PP.one_hot_long(features(s, d), PP.fit_one_hot(split_frames(s, d)[0])))
+
+register("ordinal_encode", FT + """SELECT booking_id,
+ CAST(coalesce(list_position(['0-30 Days','31-90 Days','91-180 Days','181-365 Days','365+ Days'], lead_time_bucket) - 1, -1) AS INTEGER) AS lead_time_bucket,
+ CAST(coalesce(list_position(['0-50','51-100','101-150','151-200','201-300','300+','Invalid ADR'], adr_bucket) - 1, -1) AS INTEGER) AS adr_bucket,
+ CAST(coalesce(list_position(['Zero-night stay','Short stay','Medium stay','Long stay','Extended stay'], stay_length_category) - 1, -1) AS INTEGER) AS stay_length_category
+ FROM features""")(
+    lambda s, d: PP.ordinal_encode(features(s, d)).select(S.BOOKING_ID, *S.ORDINAL_FEATURES))
+
+register("class_weights", SPB + """, c AS (SELECT count(*) FILTER (WHERE is_canceled = 0) AS n0,
+ count(*) FILTER (WHERE is_canceled = 1) AS n1 FROM train)
+SELECT booking_id, is_canceled,
+ CASE WHEN is_canceled = 1 THEN (n0 + n1) / (2.0 * n1) ELSE (n0 + n1) / (2.0 * n0) END AS weight,
+ CASE WHEN is_canceled = 1 THEN n0 / n1 ELSE 1.0 END AS ratio_weight FROM train, c""")(
+    lambda s, d: _weights_query(s, d))
+
+
+def _weights_query(s, d):
+    tr, _ = split_frames(s, d)
+    out = PP.class_weights(tr, scheme="balanced")
+    out = PP.class_weights(out, scheme="ratio", name="ratio_weight")
+    return out.select(S.BOOKING_ID, S.TARGET, "weight", "ratio_weight")
+
+
+# --------------------------------------------------------------------------- evaluation
+register("score_threshold", SCB + """SELECT booking_id, is_canceled, predicted_cancellation_probability,
+ predicted_is_cancelled FROM scored""")(
+    lambda s, d: scored_test(s, d).select(S.BOOKING_ID, S.TARGET, S.PROBABILITY, S.PREDICTION))
+
+_CONF = """count(*) FILTER (WHERE is_canceled = 0 AND predicted_is_cancelled = 0) AS tn,
+ count(*) FILTER (WHERE is_canceled = 0 AND predicted_is_cancelled = 1) AS fp,
+ count(*) FILTER (WHERE is_canceled = 1 AND predicted_is_cancelled = 0) AS fn,
+ count(*) FILTER (WHERE is_canceled = 1 AND predicted_is_cancelled = 1) AS tp"""
+register("confusion", SCB + f"SELECT {_CONF} FROM scored")(lambda s, d: EV.confusion(scored_test(s, d)))
+
+
+def _metrics_sql(digits):
+    r = lambda e: f"round({e}, {digits})"
+    return (f"{r('CASE WHEN tp+tn+fp+fn > 0 THEN (tp+tn)/(tp+tn+fp+fn) ELSE 0.0 END')} AS accuracy, "
+            f"{r('CASE WHEN tp+fp > 0 THEN tp/(tp+fp) ELSE 0.0 END')} AS precision, "
+            f"{r('CASE WHEN tp+fn > 0 THEN tp/(tp+fn) ELSE 0.0 END')} AS recall, "
+            f"{r('CASE WHEN 2*tp+fp+fn > 0 THEN 2*tp/(2*tp+fp+fn) ELSE 0.0 END')} AS f1_score")
+
+
+register("binary_metrics", SCB + f"SELECT {_metrics_sql(6)} FROM (SELECT {_CONF} FROM scored)")(
+    lambda s, d: EV.binary_metrics(scored_test(s, d)))
+
+_SC = """, sc AS (SELECT predicted_cancellation_probability AS score,
+ count(*) FILTER (WHERE is_canceled = 1) AS pos, count(*) FILTER (WHERE is_canceled = 0) AS neg
+ FROM scored WHERE predicted_cancellation_probability IS NOT NULL AND is_canceled IS NOT NULL
+ GROUP BY predicted_cancellation_probability)"""
+_AUC = _SC + """, c AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING
+ AND 1 PRECEDING), 0) AS cum_neg FROM sc)
+SELECT CASE WHEN sum(pos) * sum(neg) > 0 THEN sum(pos * (cum_neg + neg * 0.5::DOUBLE)) / (sum(pos) * sum(neg)) END
+ AS roc_auc FROM c"""
+register("roc_auc", SCB + _AUC)(lambda s, d: EV.roc_auc(scored_test(s, d)))
+
+_CURVE = _SC + """, c AS (SELECT *, sum(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cp,
+ sum(neg) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cn,
+ sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM sc)"""
+register("roc_curve", SCB + _CURVE + """SELECT score AS threshold,
+ round(CASE WHEN N > 0 THEN cn / N END, 6) AS fpr, round(CASE WHEN P > 0 THEN cp / P END, 6) AS tpr,
+ CAST(cp AS BIGINT) AS tp, CAST(cn AS BIGINT) AS fp FROM c""")(lambda s, d: EV.roc_curve(scored_test(s, d)))
+register("pr_curve", SCB + _CURVE + """SELECT score AS threshold,
+ round(cp / (cp + cn), 6) AS precision, round(CASE WHEN P > 0 THEN cp / P END, 6) AS recall,
+ CAST(cp AS BIGINT) AS tp, CAST(cn AS BIGINT) AS fp FROM c""")(lambda s, d: EV.pr_curve(scored_test(s, d)))
+
+
+def _report_sql():
+    R = lambda e: f"round({e}, 4)"
+    ratio = lambda n, d: f"CASE WHEN {d} > 0 THEN ({n}) / ({d}) ELSE 0.0 END"
+    p1, r1, f1 = ratio("tp", "tp+fp"), ratio("tp", "tp+fn"), ratio("2*tp", "2*tp+fp+fn")
+    p0, r0, f0 = ratio("tn", "tn+fn"), ratio("tn", "tn+fp"), ratio("2*tn", "2*tn+fp+fn")
+    n = "(tn+fp+fn+tp)"
+    rows = [("'0'", p0, r0, f0, "tn+fp"), ("'1'", p1, r1, f1, "tp+fn"),
+            ("'accuracy'", "NULL", "NULL", ratio("tp+tn", n), n),
+            ("'macro avg'", f"(({p0}) + ({p1})) / 2", f"(({r0}) + ({r1})) / 2", f"(({f0}) + ({f1})) / 2", n),
+            ("'weighted avg'", ratio(f"({p0})*(tn+fp) + ({p1})*(tp+fn)", n),
+             ratio(f"({r0})*(tn+fp) + ({r1})*(tp+fn)", n), ratio(f"({f0})*(tn+fp) + ({f1})*(tp+fn)", n), n)]
+    return "\nUNION ALL\n".join(
+        f"SELECT {lab} AS label, CAST({R(p)} AS DOUBLE) AS precision, CAST({R(r)} AS DOUBLE) AS recall, "
+        f"{R(f)} AS f1_score, CAST({s} AS BIGINT) AS support FROM cnt" for lab, p, r, f, s in rows)
+
+
+register("classification_report", SCB + f", cnt AS (SELECT {_CONF} FROM scored)\n" + _report_sql())(
+    lambda s, d: EV.classification_report(scored_test(s, d)))
+
+_THR = "[" + ", ".join(f"{t:.2f}" for t in S.THRESHOLDS) + "]::DOUBLE[]"
+_SWEEP = SCB + _SC + f""", t AS (SELECT unnest({_THR}) AS threshold),
+ a AS (SELECT threshold, sum(CASE WHEN score < threshold THEN neg ELSE 0 END) AS tn,
+   sum(CASE WHEN score >= threshold THEN neg ELSE 0 END) AS fp,
+   sum(CASE WHEN score < threshold THEN pos ELSE 0 END) AS fn,
+   sum(CASE WHEN score >= threshold THEN pos ELSE 0 END) AS tp FROM sc, t GROUP BY threshold)
+ SELECT threshold, {_metrics_sql(3)} FROM a"""
+register("threshold_sweep", _SWEEP)(lambda s, d: EV.threshold_sweep(scored_test(s, d)))
+register("best_threshold", "SELECT * FROM (" + _SWEEP + ") ORDER BY f1_score DESC, threshold LIMIT 1")(
+    lambda s, d: EV.best_threshold(EV.threshold_sweep(scored_test(s, d))))
+
+# three deterministic scorers compared on the same test split
+_RULE_SCORES = {
+    "reference score": None,
+    "lead time rule": "round(least(1.0::DOUBLE, lead_time / 365.0::DOUBLE), 4)",
+    "history rule": "round(previous_cancellation_rate, 4)",
+}
+
+
+def _rule_score_col(name):
+    if name == "lead time rule":
+        return F.round(F.least(F.lit(1.0), F.col("lead_time") / F.lit(365.0)), 4)
+    if name == "history rule":
+        return F.round(F.col("previous_cancellation_rate"), 4)
+    return FX.reference_score()
+
+
+def _compare_query(s, d):
+    _, test = split_frames(s, d)
+    mets = [EV.model_metrics(test.withColumn(S.PROBABILITY, _rule_score_col(n)), n, threshold=0.5)
+            for n in _RULE_SCORES]
+    return EV.compare_models(*mets)
+
+
+def _compare_sql():
+    parts = []
+    for n, expr in _RULE_SCORES.items():
+        e = O.SCORE_EXPR if expr is None else expr
+        parts.append(f"""SELECT '{n}' AS model, {_metrics_sql(6)}, (
+  SELECT round(CASE WHEN sum(pos) * sum(neg) > 0 THEN sum(pos * (cum_neg + neg * 0.5::DOUBLE)) / (sum(pos) * sum(neg)) END, 6)
+  FROM (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum_neg
+        FROM (SELECT s AS score, count(*) FILTER (WHERE is_canceled = 1) AS pos, count(*) FILTER (WHERE is_canceled = 0) AS neg
+              FROM (SELECT {e} AS s, is_canceled FROM test) WHERE s IS NOT NULL GROUP BY s))) AS roc_auc
+ FROM (SELECT count(*) FILTER (WHERE is_canceled = 0 AND NOT coalesce(s >= 0.5, false)) AS tn,
+              count(*) FILTER (WHERE is_canceled = 0 AND coalesce(s >= 0.5, false)) AS fp,
+              count(*) FILTER (WHERE is_canceled = 1 AND NOT coalesce(s >= 0.5, false)) AS fn,
+              count(*) FILTER (WHERE is_canceled = 1 AND coalesce(s >= 0.5, false)) AS tp
+       FROM (SELECT {e} AS s, is_canceled FROM test))""")
+    return SPB + "\nUNION ALL\n".join(parts)
+
+
+register("compare_models", _compare_sql())(_compare_query)
+register("best_model", "SELECT * FROM (" + _compare_sql() + ") ORDER BY roc_auc DESC, model LIMIT 1")(
+    lambda s, d: EV.best_model(_compare_query(s, d)))
+
+# --------------------------------------------------------------------------- decision support
+register("risk_tier", SCB + "SELECT booking_id, predicted_cancellation_probability, risk_category FROM scored")(
+    lambda s, d: scored_test(s, d).select(S.BOOKING_ID, S.PROBABILITY, S.RISK_CATEGORY))
+register("row_revenue_at_risk", SCB + """SELECT booking_id, estimated_booking_value,
+ predicted_cancellation_probability, round(estimated_revenue_at_risk, 6) AS estimated_revenue_at_risk FROM scored""")(
+    lambda s, d: scored_test(s, d).select(S.BOOKING_ID, "estimated_booking_value", S.PROBABILITY,
+                                          F.round(S.REVENUE_AT_RISK, 6).alias(S.REVENUE_AT_RISK)))
+register("segment_revenue_exposure", SCB + """SELECT market_segment, count(market_segment) AS booking_count,
+ round(avg(predicted_cancellation_probability) * 100, 2) AS avg_predicted_cancellation_probability,
+ round(sum(estimated_booking_value), 2) AS total_estimated_booking_value,
+ CAST(sum(predicted_is_cancelled) AS BIGINT) AS predicted_at_risk_bookings,
+ round(avg(predicted_cancellation_probability) * sum(estimated_booking_value), 2) AS estimated_revenue_at_risk
+ FROM scored WHERE market_segment IS NOT NULL GROUP BY market_segment""")(
+    lambda s, d: DC.segment_revenue_exposure(scored_test(s, d)))
+register("segment_profile", SCB + """SELECT booking_id, hotel, market_segment, customer_type, estimated_booking_value,
+ is_canceled AS actual_is_cancelled, predicted_cancellation_probability, predicted_is_cancelled FROM scored""")(
+    lambda s, d: DC.segment_profile(scored_test(s, d)))
+
+_RISK_AGGS = """count(*) AS booking_count, round(avg(is_canceled) * 100, 2) AS actual_cancellation_rate,
+ round(avg(predicted_cancellation_probability) * 100, 2) AS avg_predicted_cancellation_probability,
+ round(avg(predicted_is_cancelled) * 100, 2) AS predicted_cancellation_rate,
+ round(sum(estimated_booking_value), 2) AS total_estimated_booking_value"""
+for _key in ["market_segment", "customer_type", "hotel"]:
+    register(f"segment_risk_{_key}", SCB + f"SELECT {_key}, {_RISK_AGGS} FROM scored WHERE {_key} IS NOT NULL GROUP BY {_key}")(
+        lambda s, d, k=_key: DC.segment_risk(DC.segment_profile(scored_test(s, d)), k))
+register("segment_risk_all", SCB + f"SELECT dimension, segment, {_RISK_AGGS} FROM (" + _unpivot_sql(
+    ["market_segment", "customer_type", "hotel"],
+    "SELECT '{c}' AS dimension, CAST({c} AS VARCHAR) AS segment, is_canceled, predicted_cancellation_probability, "
+    "predicted_is_cancelled, estimated_booking_value FROM scored") + ") WHERE segment IS NOT NULL GROUP BY dimension, segment")(
+    lambda s, d: DC.segment_risk_all(DC.segment_profile(scored_test(s, d))))
+
+_DASH = """SELECT market_segment, count(market_segment) AS booking_count,
+ round(avg(predicted_cancellation_probability) * 100, 2) AS avg_predicted_risk,
+ CAST(sum(predicted_is_cancelled) AS BIGINT) AS predicted_at_risk_bookings,
+ round(sum(estimated_revenue_at_risk), 2) AS estimated_revenue_at_risk
+ FROM scored WHERE market_segment IS NOT NULL GROUP BY market_segment"""
+register("dashboard_by_segment", SCB + _DASH)(lambda s, d: DC.dashboard_by_segment(scored_test(s, d)))
+register("dashboard_totals", SCB + """SELECT count(*) AS total_bookings,
+ round(avg(predicted_cancellation_probability), 6) AS avg_predicted_risk,
+ round(sum(estimated_revenue_at_risk), 2) AS total_revenue_at_risk,
+ format('{:,.1f}', avg(predicted_cancellation_probability) * 100) || '%' AS avg_predicted_risk_text,
+ '€' || format('{:,.2f}', sum(estimated_revenue_at_risk)) AS total_revenue_at_risk_text FROM scored""")(
+    lambda s, d: DC.dashboard_totals(scored_test(s, d)))
+register("tier_counts", SCB + """SELECT count(*) FILTER (WHERE risk_category = 'High Risk') AS high_risk_bookings,
+ count(*) FILTER (WHERE risk_category = 'Medium Risk') AS medium_risk_bookings,
+ count(*) FILTER (WHERE risk_category = 'Low Risk') AS low_risk_bookings FROM scored""")(
+    lambda s, d: DC.tier_counts(scored_test(s, d)))
+register("top_segment", SCB + f"""SELECT market_segment, booking_count, estimated_revenue_at_risk,
+ 'The assistant identifies ' || market_segment || ' as the segment with the highest estimated revenue at risk. '
+ || 'This segment contains ' || format('{{:,d}}', booking_count) || ' bookings and an estimated revenue exposure of '
+ || '€' || format('{{:,.2f}}', estimated_revenue_at_risk) || '.' AS summary
+ FROM ({_DASH}) ORDER BY estimated_revenue_at_risk DESC, market_segment LIMIT 1""")(
+    lambda s, d: DC.top_segment(DC.dashboard_by_segment(scored_test(s, d))))
+register("scored_preview", SCB + """SELECT booking_id, hotel, market_segment, customer_type, estimated_booking_value,
+ predicted_cancellation_probability, risk_category, estimated_revenue_at_risk FROM scored""")(
+    lambda s, d: DC.scored_preview(scored_test(s, d)))
+
+_DRIVERS = """CASE WHEN len(list_filter([
+   CASE WHEN lead_time >= 90 THEN 'Long lead time may increase cancellation uncertainty.' END,
+   CASE WHEN market_segment = 'Online TA' THEN 'Online travel agency bookings showed higher cancellation risk.' END,
+   CASE WHEN total_of_special_requests = 0 THEN 'No special requests may indicate lower guest engagement.' END,
+   CASE WHEN previous_cancellation_rate > 0 THEN 'Previous cancellation behaviour increases predicted risk.' END,
+   CASE WHEN deposit_type = 'No Deposit' THEN 'No deposit may reduce booking commitment.' END,
+   CASE WHEN customer_type = 'Transient' THEN 'Transient customers showed higher cancellation concentration.' END,
+   CASE WHEN is_last_minute_booking = 1 THEN 'Last-minute booking behaviour is an important model signal.' END,
+   CASE WHEN room_type_changed = 1 THEN 'Room type change is a strong model signal for this booking.' END],
+   lambda x: x IS NOT NULL)) = 0
+ THEN ['No major individual risk driver was detected from the selected business rules.']
+ ELSE list_filter([
+   CASE WHEN lead_time >= 90 THEN 'Long lead time may increase cancellation uncertainty.' END,
+   CASE WHEN market_segment = 'Online TA' THEN 'Online travel agency bookings showed higher cancellation risk.' END,
+   CASE WHEN total_of_special_requests = 0 THEN 'No special requests may indicate lower guest engagement.' END,
+   CASE WHEN previous_cancellation_rate > 0 THEN 'Previous cancellation behaviour increases predicted risk.' END,
+   CASE WHEN deposit_type = 'No Deposit' THEN 'No deposit may reduce booking commitment.' END,
+   CASE WHEN customer_type = 'Transient' THEN 'Transient customers showed higher cancellation concentration.' END,
+   CASE WHEN is_last_minute_booking = 1 THEN 'Last-minute booking behaviour is an important model signal.' END,
+   CASE WHEN room_type_changed = 1 THEN 'Room type change is a strong model signal for this booking.' END],
+   lambda x: x IS NOT NULL)[1:5] END"""
+_ACTIONS = "CASE " + " ".join(
+    f"WHEN risk_category = '{k}' THEN [" + ", ".join("'" + a + "'" for a in v) + "]"
+    for k, v in S.RECOMMENDED_ACTIONS.items() if k != "Low Risk") + " ELSE [" + ", ".join(
+    "'" + a + "'" for a in S.RECOMMENDED_ACTIONS["Low Risk"]) + "] END"
+_SUMMARY = """'This booking is classified as **' || risk_category || '** with an estimated cancellation probability of **'
+ || format('{:,.1f}', predicted_cancellation_probability * 100) || '%' || '**. The booking belongs to **'
+ || coalesce(hotel, 'this hotel') || '**, comes through the **' || coalesce(market_segment, 'unknown segment')
+ || '** segment, and is associated with the **' || coalesce(customer_type, 'unknown customer type')
+ || '** customer type. Based on the model output, this booking should be reviewed as part of the hotel''s cancellation-risk monitoring process.'"""
+register("risk_drivers", SCB + f"SELECT booking_id, {_DRIVERS} AS risk_drivers FROM scored")(
+    lambda s, d: (lambda sc: sc.select(S.BOOKING_ID, DC.risk_drivers(sc).alias("risk_drivers")))(scored_test(s, d)))
+register("recommended_actions", SCB + f"SELECT booking_id, risk_category, {_ACTIONS} AS recommended_actions FROM scored")(
+    lambda s, d: scored_test(s, d).select(S.BOOKING_ID, S.RISK_CATEGORY,
+                                          DC.recommended_actions().alias("recommended_actions")))
+register("booking_summary", SCB + f"SELECT booking_id, {_SUMMARY} AS assistant_summary FROM scored")(
+    lambda s, d: (lambda sc: sc.select(S.BOOKING_ID, DC.booking_summary(sc).alias("assistant_summary")))(
+        scored_test(s, d)))
+register("format_currency", SCB + """SELECT booking_id,
+ '€' || format('{:,.2f}', estimated_booking_value) AS booking_value_text FROM scored""")(
+    lambda s, d: scored_test(s, d).select(S.BOOKING_ID,
+                                          DC.format_currency("estimated_booking_value").alias("booking_value_text")))
+register("review_booking", SCB + f"""SELECT booking_id, hotel, market_segment, customer_type, lead_time, adr,
+ total_nights, total_of_special_requests, deposit_type, estimated_booking_value, predicted_cancellation_probability,
+ CASE WHEN predicted_cancellation_probability >= 0.55 THEN 'Likely Cancelled' ELSE 'Likely Not Cancelled' END AS model_decision,
+ risk_category, {_DRIVERS} AS risk_drivers, {_ACTIONS} AS recommended_actions, {_SUMMARY} AS assistant_summary
+ FROM scored ORDER BY md5(CAST(booking_id AS VARCHAR) || '|42'), booking_id LIMIT 1""")(
+    lambda s, d: DC.review_sample(scored_test(s, d), 500, 42, 0))
