@@ -155,8 +155,9 @@ def fit_one_hot(train: DataFrame, cols: Sequence[str] = tuple(S.NOMINAL_FEATURES
     last index and ``dropLast`` removes exactly that bucket."""
     idx = StringIndexer(inputCols=list(cols), outputCols=[f"{c}__idx" for c in cols],
                         handleInvalid="keep", stringOrderType="alphabetAsc")
+    # the indexer's "keep" bucket is the last category; dropLast removes it
     ohe = OneHotEncoder(inputCols=[f"{c}__idx" for c in cols], outputCols=[f"{c}__ohe" for c in cols],
-                        dropLast=True, handleInvalid="keep")
+                        dropLast=True)
     return Pipeline(stages=[idx, ohe]).fit(train)
 
 
@@ -178,7 +179,8 @@ def one_hot_long(df: DataFrame, model: PipelineModel, cols: Sequence[str] = tupl
         names = F.array(*[F.lit(v) for v in cats[c]])
         pos = F.array_position(arr, F.lit(1.0))
         parts.append(F.struct(F.lit(c).alias("feature"),
-                              F.when(pos > 0, F.element_at(names, pos.cast("int"))).alias("category")))
+                              F.when((pos > 0) & (pos <= F.lit(len(cats[c]))),
+                                     F.element_at(names, pos.cast("int"))).alias("category")))
     return (enc.select(F.col(key), F.inline(F.array(*parts)))
             .where(F.col("category").isNotNull()))
 
@@ -229,7 +231,7 @@ def fit_preprocessor(train: DataFrame, groups: dict | None = None) -> PipelineMo
     idx = StringIndexer(inputCols=list(nom), outputCols=[f"{c}__idx" for c in nom],
                         handleInvalid="keep", stringOrderType="alphabetAsc")
     ohe = OneHotEncoder(inputCols=[f"{c}__idx" for c in nom], outputCols=[f"{c}__ohe" for c in nom],
-                        dropLast=True, handleInvalid="keep")
+                        dropLast=True)
     asm = VectorAssembler(inputCols=[f"{c}__num" for c in num] + [f"{c}__ohe" for c in nom]
                           + [f"{c}__ord" for c in ordn] + [f"{c}__bin" for c in binr],
                           outputCol="features", handleInvalid="keep")

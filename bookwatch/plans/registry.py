@@ -619,3 +619,52 @@ register("review_booking", SCB + f"""SELECT booking_id, hotel, market_segment, c
  risk_category, {_DRIVERS} AS risk_drivers, {_ACTIONS} AS recommended_actions, {_SUMMARY} AS assistant_summary
  FROM scored ORDER BY md5(CAST(booking_id AS VARCHAR) || '|42'), booking_id LIMIT 1""")(
     lambda s, d: DC.review_sample(scored_test(s, d), 500, 42, 0))
+
+# --------------------------------------------------------------------------- models (rows-only checks)
+from ..operators import models as MD  # noqa: E402
+from ..operators import quality as _Q  # noqa: E402
+
+
+def _fit_and_score(kind):
+    def q(s, d):
+        tr, te = split_frames(s, d)
+        b = MD.fit_bundle(tr, kind)
+        return MD.score_bundle(te, b).select(S.BOOKING_ID, S.TARGET, S.PROBABILITY, S.PREDICTION)
+    return q
+
+
+register("fit_logistic")(_fit_and_score("logistic"))
+register("fit_forest")(_fit_and_score("forest"))
+register("fit_boosted")(_fit_and_score("boosted"))
+
+
+def _fitted_comparison(s, d):
+    tr, te = split_frames(s, d)
+    mets = [EV.model_metrics(MD.score_bundle(te, MD.fit_bundle(tr, k)), k, threshold=0.5)
+            for k in ("logistic", "forest", "boosted")]
+    return EV.compare_models(*mets)
+
+
+register("compare_fitted_models")(_fitted_comparison)
+register("feature_importance")(
+    lambda s, d: MD.feature_importance(MD.fit_bundle(split_frames(s, d)[0], "forest"), 15))
+register("linear_attribution")(
+    lambda s, d: (lambda tr, te: (lambda b: MD.linear_attribution(b.model.transform(te), b, 15))(
+        MD.fit_bundle(tr, "logistic")))(*split_frames(s, d)))
+register("assert_finite")(
+    lambda s, d: (lambda tr, te: _Q.assert_finite(PP.fit_preprocessor(tr).transform(te)))(*split_frames(s, d)))
+
+
+def _bundle_roundtrip(s, d):
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    tr, te = split_frames(s, d)
+    b = MD.fit_bundle(tr, "logistic")
+    path = f"{ensure_checkpoint_dir(s).rstrip('/')}/bundles/{uuid.uuid4().hex}"
+    MD.save_bundle(b, path)
+    loaded = MD.load_bundle(s, path)
+    return MD.score_bundle(te, loaded).select(S.BOOKING_ID, S.PROBABILITY, S.PREDICTION)
+
+
+register("bundle_roundtrip")(_bundle_roundtrip)
