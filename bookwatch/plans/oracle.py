@@ -53,7 +53,7 @@ bookings AS (
     CAST(CASE WHEN o_orderkey % 50 = 0 THEN o_orderkey % 7 ELSE 0 END AS INTEGER) AS days_in_waiting_list,
     CASE c_nationkey % 4 WHEN 0 THEN 'Transient' WHEN 1 THEN 'Transient-Party' WHEN 2 THEN 'Contract'
          ELSE 'Group' END AS customer_type,
-    round((o_totalprice-5000)/1000, 2) AS adr,
+    CAST(round((CAST(o_totalprice AS DECIMAL(18,2)) - 5000) * 0.001, 2) AS DOUBLE) AS adr,
     CAST(coalesce(park,0) AS INTEGER) AS required_car_parking_spaces,
     CAST(coalesce(req,0) AS INTEGER) AS total_of_special_requests,
     CASE WHEN o_orderstatus='F' THEN 'Canceled' ELSE 'Check-Out' END AS reservation_status,

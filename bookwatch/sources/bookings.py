@@ -3,6 +3,8 @@ order tables (one order = one reservation), plus file readers and writers."""
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,7 +113,9 @@ def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(F.col("c_nationkey") % 4 == 1, "Transient-Party")
          .when(F.col("c_nationkey") % 4 == 2, "Contract")
          .otherwise("Group").alias("customer_type"),
-        F.round((F.col("o_totalprice") - 5000) / 1000, 2).alias("adr"),
+        # exact decimal arithmetic, so rounding ties agree in every engine
+        F.round((F.col("o_totalprice").cast("decimal(18,2)") - F.lit(5000))
+                * F.lit(Decimal("0.001")), 2).cast("double").alias("adr"),
         F.coalesce("park", F.lit(0)).cast("int").alias("required_car_parking_spaces"),
         F.coalesce("req", F.lit(0)).cast("int").alias("total_of_special_requests"),
         F.when(is_canceled == 1, "Canceled").otherwise("Check-Out").alias("reservation_status"),
