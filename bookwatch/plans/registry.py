@@ -668,3 +668,19 @@ def _bundle_roundtrip(s, d):
 
 
 register("bundle_roundtrip")(_bundle_roundtrip)
+
+
+# --------------------------------------------------------------------------- sources: file round trip
+def _csv_roundtrip(s, d):
+    """O-01 / O-02: write the bookings table as CSV with a header under the
+    shared folder, read it back with the declared schema."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources.bookings import read_bookings, write_bookings
+    path = f"{ensure_checkpoint_dir(s).rstrip('/')}/csv/{uuid.uuid4().hex}"
+    write_bookings(bookings(s, d), path, fmt="csv")
+    return read_bookings(s, path, fmt="csv")
+
+
+register("csv_roundtrip", BK + "SELECT * FROM bookings")(_csv_roundtrip)
