@@ -684,3 +684,5 @@ def _csv_roundtrip(s, d):
 
 
 register("csv_roundtrip", BK + "SELECT * FROM bookings")(_csv_roundtrip)
+register("permutation_importance")(
+    lambda s, d: (lambda tr, te: MD.permutation_importance(te, MD.fit_bundle(tr, "forest")))(*split_frames(s, d)))

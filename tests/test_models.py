@@ -47,3 +47,13 @@ def test_forest_small_learns(spark):
     assert auc > 0.75
     imp = MD.feature_importance(b, 5).collect()
     assert len(imp) == 5
+
+
+def test_permutation_importance_finds_planted_columns(spark):
+    tr, te = _split(spark)
+    b = MD.fit_bundle(tr, "forest", label="planted_label", num_trees=20, max_depth=5)
+    cols = ["deposit_type", "lead_time", "hotel", "adr"]
+    imp = {r["feature"]: r for r in MD.permutation_importance(te, b, cols, label="planted_label").collect()}
+    assert imp["deposit_type"]["importance"] > 0.02
+    assert imp["deposit_type"]["importance"] > imp["hotel"]["importance"]
+    assert imp["lead_time"]["direction"] > 0  # long lead raises the planted probability
