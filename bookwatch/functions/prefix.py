@@ -33,24 +33,31 @@ def exclusive_running_sums(df: DataFrame, keys: Sequence[str], block: Sequence[s
     """
     keys, block, within = list(keys), list(block), list(within)
     tmp = {name: f"__v_{i}" for i, name in enumerate(values)}
-    staged = df.withColumns({tmp[n]: e for n, e in values.items()})
+    # one struct column identifies a block: struct equality treats null
+    # fields as equal (a null key or date is a group of its own, as in a
+    # window), and the row window below partitions by the same column the
+    # join is partitioned by, so there is no extra exchange
+    staged = df.withColumns({**{tmp[n]: e for n, e in values.items()},
+                             "__blk": F.struct(*[F.col(c) for c in [*keys, *block]]),
+                             "__key": F.struct(*[F.col(c) for c in keys])})
 
-    block_tot = staged.groupBy(*keys, *block).agg(
+    block_tot = staged.groupBy("__blk").agg(
+        F.first("__key").alias("__key"), *[F.first(c).alias(f"__o_{c}") for c in block],
         *[F.sum(tmp[n]).alias(tmp[n] + "_blk") for n in values])
-    w_blocks = (Window.partitionBy(*keys).orderBy(*block)
+    w_blocks = (Window.partitionBy("__key").orderBy(*[f"__o_{c}" for c in block])
                 .rowsBetween(Window.unboundedPreceding, -1))
     offsets = block_tot.select(
-        *keys, *block,
+        "__blk",
         *[F.coalesce(F.sum(tmp[n] + "_blk").over(w_blocks), F.lit(0)).alias(tmp[n] + "_off")
           for n in values])
 
-    w_rows = (Window.partitionBy(*keys, *block).orderBy(*within)
+    w_rows = (Window.partitionBy("__blk").orderBy(*within)
               .rowsBetween(Window.unboundedPreceding, -1))
-    joined = staged.join(offsets, on=[*keys, *block], how="inner")
+    joined = staged.join(offsets, on="__blk", how="inner")
     out = joined.withColumns({
         n: F.col(tmp[n] + "_off") + F.coalesce(F.sum(tmp[n]).over(w_rows), F.lit(0))
         for n in values})
-    return out.drop(*tmp.values(), *[tmp[n] + "_off" for n in values])
+    return out.drop("__blk", "__key", *tmp.values(), *[tmp[n] + "_off" for n in values])
 
 
 def global_running_sums(df: DataFrame, order_col: str, values: Sequence[str],

@@ -104,3 +104,26 @@ def test_one_hot_unknown_is_zero_vector(spark):
     te = spark.createDataFrame([("a",), ("z",), (None,)], "hotel string")
     vecs = [r[0] for r in m.transform(te).select(vector_to_array("hotel__ohe")).collect()]
     assert vecs == [[1.0, 0.0, 0.0], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]]
+
+
+def test_exclusive_running_sums_null_keys(spark):
+    rows = [(None, 1, 1), (None, 1, 2), (1, None, 3), (1, None, 4), (1, 2, 5)]
+    df = spark.createDataFrame(rows, "k long, d long, id long")
+    got = {r["id"]: r["s"] for r in exclusive_running_sums(df, ["k"], ["d"], ["id"], {"s": F.lit(1)}).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 1, 5: 2}
+
+
+def test_queries_partition_independent(spark):
+    import __spark_entry__ as E
+    from tools.compare import rows_of_spark
+    q = E.queries()
+    names = ["bookings", "segment_summaries", "roc_auc", "threshold_sweep", "top_categories"]
+    results = []
+    for parts in ("1", "16"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        results.append({n: sorted(rows_of_spark(q[n](spark, SF_SMALL))[1], key=str) for n in names})
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    for n in names:
+        assert results[0][n] == results[1][n], n
