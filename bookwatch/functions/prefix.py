@@ -70,6 +70,7 @@ def global_running_sums(df: DataFrame, order_col: str, values: Sequence[str],
     only thing brought to the driver is ``n_blocks`` boundaries), block totals
     are prefix-summed over at most ``n_blocks`` rows, and the row-level window
     runs per block. ``order_col`` values must be unique (pre-aggregate ties).
+    Adds ``cum_<v>`` and the grand total ``total_<v>`` for each value column.
     """
     values = list(values)
     probs = [i / n_blocks for i in range(1, n_blocks)]
@@ -87,9 +88,12 @@ def global_running_sums(df: DataFrame, order_col: str, values: Sequence[str],
 
     tot = staged.groupBy("__blk").agg(*[F.sum(v).alias(v + "__t") for v in values])
     w_tot = Window.orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
-    # at most n_blocks rows: the single-partition window here is bounded
+    w_all = Window.orderBy("__blk").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # at most n_blocks rows: the single-partition windows here are bounded;
+    # grand totals ride along so callers need no extra aggregate or join
     off = F.broadcast(tot.select("__blk", *[
-        F.coalesce(F.sum(v + "__t").over(w_tot), F.lit(0)).alias(v + "__o") for v in values]))
+        F.coalesce(F.sum(v + "__t").over(w_tot), F.lit(0)).alias(v + "__o") for v in values],
+        *[F.sum(v + "__t").over(w_all).alias("total_" + v) for v in values]))
     end = 0 if inclusive else -1
     w = Window.partitionBy("__blk").orderBy(order).rowsBetween(Window.unboundedPreceding, end)
     out = staged.join(off, "__blk").withColumns({

@@ -92,9 +92,7 @@ def roc_auc(df: DataFrame, y: str = S.TARGET, p: str = S.PROBABILITY, n_blocks:
 def _curve(df, y, p, n_blocks):
     sc = score_counts(df, y, p)
     cum = global_running_sums(sc, "score", ["pos", "neg"], n_blocks=n_blocks, descending=True)
-    tot = sc.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    # one-row totals: a broadcast join on a constant key
-    return cum.withColumn("__k", F.lit(1)).join(F.broadcast(tot.withColumn("__k", F.lit(1))), "__k").drop("__k")
+    return cum.withColumnsRenamed({"total_pos": "P", "total_neg": "N"})
 
 
 def roc_curve(df: DataFrame, y: str = S.TARGET, p: str = S.PROBABILITY, n_blocks: int = 64,
@@ -168,14 +166,31 @@ def model_metrics(df: DataFrame, name: str, y: str = S.TARGET, p: str = S.PROBAB
                   threshold: float = 0.5, digits: int | None = METRIC_DIGITS) -> DataFrame:
     """Per-model metrics row: accuracy, precision, recall, F1 at ``threshold``
     and ROC-AUC (the notebook's metrics dictionary)."""
-    pred = F.when(F.col(p) >= F.lit(threshold), 1).otherwise(0)
-    m = df.agg(*_counts(F.col(y), pred)).select(
-        *_metric_cols(F.col("tn"), F.col("fp"), F.col("fn"), F.col("tp"), digits))
-    auc = roc_auc(df, y, p)
-    if digits is not None:
-        auc = auc.select(F.round("roc_auc", digits).alias("roc_auc"))
-    return (m.withColumn("__k", F.lit(1)).join(auc.withColumn("__k", F.lit(1)), "__k").drop("__k")
-            .select(F.lit(name).alias("model"), "accuracy", "precision", "recall", "f1_score", "roc_auc"))
+    # one aggregate over the per-score counts gives both the confusion counts
+    # at the threshold and the AUC (rows with a null score never predict 1)
+    sc = score_counts(df.withColumn("__p", F.coalesce(F.col(p), F.lit(float("-inf")))), y, "__p")
+    cum = global_running_sums(sc, "score", ["neg"], inclusive=False)
+    hit = F.col("score") >= F.lit(threshold)
+    agg = cum.agg(
+        F.sum(F.when(~hit, F.col("neg")).otherwise(0)).alias("tn"), F.sum(F.when(hit, F.col("neg")).otherwise(0)).alias("fp"),
+        F.sum(F.when(~hit, F.col("pos")).otherwise(0)).alias("fn"), F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("tp"),
+        _auc_expr(F.col("score") > F.lit(float("-inf"))).alias("roc_auc"))
+    auc = F.round("roc_auc", digits) if digits is not None else F.col("roc_auc")
+    return agg.select(F.lit(name).alias("model"),
+                      *_metric_cols(F.col("tn"), F.col("fp"), F.col("fn"), F.col("tp"), digits), auc.alias("roc_auc"))
+
+
+def _auc_expr(valid) -> Column:
+    """Mann-Whitney AUC over rows of (score, pos, neg, cum_neg) where
+    ``valid`` holds; ``cum_neg`` counts negatives strictly below the score.
+    Invalid rows sort below every valid score, so their negatives are taken
+    out of every ``cum_neg`` as one constant."""
+    pos = F.when(valid, F.col("pos")).otherwise(0)
+    neg = F.when(valid, F.col("neg")).otherwise(0)
+    neg_invalid = F.sum(F.when(valid, 0).otherwise(F.col("neg")))
+    num = F.sum(pos * (F.col("cum_neg") + neg * F.lit(0.5))) - neg_invalid * F.sum(pos)
+    den = F.sum(pos) * F.sum(neg)
+    return F.when(den > 0, num / den)
 
 
 def compare_models(*metrics: DataFrame) -> DataFrame:

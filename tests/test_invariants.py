@@ -127,3 +127,14 @@ def test_queries_partition_independent(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     for n in names:
         assert results[0][n] == results[1][n], n
+
+
+def test_model_metrics_single_aggregate_matches_parts(spark):
+    rows = [(i % 2 if i % 5 else 1, None if i % 17 == 0 else round((i % 13) / 13, 3)) for i in range(500)]
+    df = spark.createDataFrame(rows, f"{S.TARGET} int, {S.PROBABILITY} double")
+    m = EV.model_metrics(df, "m", threshold=0.5, digits=None).first()
+    auc = EV.roc_auc(df).first()[0]
+    bm = EV.binary_metrics(EV.apply_threshold(df, threshold=0.5), digits=None).first()
+    assert abs(m["roc_auc"] - auc) < 1e-12
+    for k in ("accuracy", "precision", "recall", "f1_score"):
+        assert abs(m[k] - bm[k]) < 1e-12
