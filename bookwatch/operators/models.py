@@ -194,45 +194,62 @@ def permutation_importance(test: DataFrame, bundle: Bundle, cols: list | None =
     values of the row whose first rank equals its second rank. One self-join
     on (bucket, rank) gives every row its partner for all columns at once;
     buckets are near-equal by construction, so no group lands on one task.
-    Each column then costs one scoring pass and one AUC aggregate.
 
-    ``direction`` is corr(x, p(x) - p(x permuted)) for numeric columns:
-    positive when high values push the probability up."""
-    from .evaluate import probability_of_class1, roc_auc
+    All variants (the unpermuted row and one copy per permuted column) are
+    produced by one ``explode`` and scored by one model pass; per-feature AUCs come from one
+    aggregate over (feature, distinct score) counts with skew-safe running
+    sums, and ``direction`` (corr(x, p(x) - p(x permuted)) for numeric
+    columns) from one join on the key and one aggregate."""
+    from pyspark.sql import Window
+    from ..functions.prefix import exclusive_running_sums
+    from .evaluate import probability_of_class1
     cols = list(cols or bundle.features)
+    model_cols = [c for c in dict.fromkeys(list(bundle.features) + cols) if c in test.columns]
     h1 = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
     h2 = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed + 1}")))
     b = (F.conv(F.substring(h1, 1, 6), 16, 10).cast("long") % F.lit(n_buckets)).cast("int")
-    from pyspark.sql import Window
-    ranked = test.withColumn("__b", b) \
+    src = test.select(key, label, *model_cols)
+    ranked = src.withColumn("__b", b) \
         .withColumn("__r1", F.row_number().over(Window.partitionBy("__b").orderBy(h1, key))) \
         .withColumn("__r2", F.row_number().over(Window.partitionBy("__b").orderBy(h2, key)))
     partner = ranked.select(F.col("__b").alias("__pb"), F.col("__r1").alias("__pr"),
                             *[F.col(c).alias(f"__p_{c}") for c in cols])
-    paired = ranked.join(partner, (F.col("__b") == F.col("__pb")) & (F.col("__r2") == F.col("__pr"))) \
-                   .drop("__pb", "__pr").persist()
-    p = S.PROBABILITY
-    base = bundle.model.transform(paired).withColumn(p, probability_of_class1()) \
-                 .select(key, label, p, *cols).persist()
-    base_auc = roc_auc(base, label, p).first()[0]
+    paired = ranked.join(partner, (F.col("__b") == F.col("__pb")) & (F.col("__r2") == F.col("__pr")))
+    # every variant reads these rows: write them once to the checkpoint folder
+    paired = paired.drop("__b", "__r1", "__r2", "__pb", "__pr").checkpoint(eager=True)
     numeric = {f.name for f in test.schema.fields if f.dataType.typeName() in
                ("integer", "long", "double", "float", "short")}
-    rows = []
-    for c in cols:
-        perm = paired.withColumn(c, F.col(f"__p_{c}"))
-        sc = bundle.model.transform(perm).select(key, probability_of_class1().alias("__pp"))
-        joined = base.join(sc, key)
-        auc = roc_auc(joined, label, "__pp").first()[0]
-        direction = None
-        if c in numeric:
-            d = F.col(p) - F.col("__pp")
-            direction = joined.agg(F.try_divide(F.covar_samp(F.col(c).cast("double"), d),
-                                                F.stddev_samp(F.col(c).cast("double")) * F.stddev_samp(d))
-                                   ).first()[0]
-        rows.append((c, float(base_auc - auc) if auc is not None and base_auc is not None else None,
-                     auc, direction))
-    base.unpersist()
-    paired.unpersist()
-    spark = SparkSession.getActiveSession()
-    return spark.createDataFrame(rows, "feature string, importance double, permuted_auc double, "
-                                       "direction double").orderBy(F.desc_nulls_last("importance"), "feature")
+    base_tag = "__base__"
+
+    def variant(tag, swap):
+        x = F.col(swap).cast("double") if swap in numeric else F.lit(None).cast("double")
+        return F.struct(F.lit(tag).alias("__feature"), x.alias("__x"),
+                        *[(F.col(f"__p_{c}") if c == swap else F.col(c)).alias(c) for c in model_cols])
+    # one row per (booking, variant): the variant count is fixed (columns + 1),
+    # and the model runs once, in one stage, over all variants
+    variants = F.array(variant(base_tag, None), *[variant(c, c) for c in cols])
+    allv = paired.select(key, label, F.explode(variants).alias("__v")).select(key, label, "__v.*")
+    scored = bundle.model.transform(allv).select("__feature", key, label, "__x",
+                                                 probability_of_class1().alias("__p"))
+
+    counts = (scored.where(F.col(label).isNotNull()).groupBy("__feature", F.col("__p").alias("score"))
+              .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+              .withColumn("__sb", F.floor(F.col("score") * 4096)))
+    cum = exclusive_running_sums(counts, ["__feature"], ["__sb"], ["score"], {"cum_neg": F.col("neg")})
+    auc = cum.groupBy("__feature").agg(
+        (F.sum(F.col("pos") * (F.col("cum_neg") + F.col("neg") * F.lit(0.5)))
+         / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+
+    base = scored.where(F.col("__feature") == base_tag).select(key, F.col("__p").alias("__p0"))
+    d = F.col("__p0") - F.col("__p")
+    direction = (scored.where(F.col("__feature") != base_tag).join(base, key).groupBy("__feature")
+                 .agg(F.try_divide(F.covar_samp("__x", d), F.stddev_samp("__x") * F.stddev_samp(d))
+                      .alias("direction")))
+    # one row per column plus the base row: a bounded single-partition window
+    base_auc = F.max(F.when(F.col("__feature") == base_tag, F.col("auc"))).over(Window.partitionBy(F.lit(0)))
+    out = auc.withColumn("__base_auc", base_auc).where(F.col("__feature") != base_tag) \
+             .join(direction, "__feature", "left")
+    return out.select(F.col("__feature").alias("feature"),
+                      (F.col("__base_auc") - F.col("auc")).alias("importance"),
+                      F.col("auc").alias("permuted_auc"), "direction") \
+              .orderBy(F.desc_nulls_last("importance"), "feature")
