@@ -216,6 +216,8 @@ def permutation_importance(test: DataFrame, bundle: Bundle, cols: list | None =
                             *[F.col(c).alias(f"__p_{c}") for c in cols])
     paired = ranked.join(partner, (F.col("__b") == F.col("__pb")) & (F.col("__r2") == F.col("__pr")))
     # every variant reads these rows: write them once to the checkpoint folder
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(test.sparkSession)
     paired = paired.drop("__b", "__r1", "__r2", "__pb", "__pr").checkpoint(eager=True)
     numeric = {f.name for f in test.schema.fields if f.dataType.typeName() in
                ("integer", "long", "double", "float", "short")}

@@ -126,3 +126,15 @@ def test_robust_zero_iqr_divides_by_one(spark):
     assert prm["c"] == (0.0, 1.0)
     got = [r[0] for r in PP.robust_scale(df, prm).collect()]
     assert got == [0.0, 0.0, 0.0, 0.0, 3.0]  # the sparse count survives
+
+
+def test_binned_kde_fine_bins_close_to_exact(spark):
+    from bookwatch.operators import profile as PR
+    df = spark.createDataFrame([(float((i * 37) % 1000) / 7.0,) for i in range(3000)], "x double")
+    exact = {r["grid_index"]: r["density"] for r in PR.binned_kde(df, "x", 50).collect()}
+    approx = {r["grid_index"]: r["density"] for r in PR.binned_kde(df, "x", 50, fine_bins=512).collect()}
+    peak = max(exact.values())
+    assert all(abs(exact[k] - approx[k]) < 0.02 * peak for k in exact)
+    # densities integrate to about one over the grid
+    step = (max(r[0] for r in df.collect()) - min(r[0] for r in df.collect())) / 49
+    assert abs(sum(exact.values()) * step - 1.0) < 0.1
