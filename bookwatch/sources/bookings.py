@@ -124,10 +124,16 @@ def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_bookings(spark: SparkSession, path: str, fmt: str = "csv", schema=RAW_BOOKING_SCHEMA) -> DataFrame:
-    """Read a bookings file with a declared schema (never inferred). NaN in
-    floating columns is normalised to NULL so comparisons behave like pandas."""
+    """Read a bookings file; columns are matched to the declared schema by
+    header name (any order, any subset), never inferred. CSV values are
+    read as text and cast by name (a malformed value becomes null instead of
+    failing the job); NaN in floating columns is normalised to NULL so
+    comparisons behave like the notebooks' missing values."""
+    declared = {f.name: f.dataType for f in schema.fields}
     if fmt == "csv":
-        df = spark.read.schema(schema).option("header", True).csv(path)
+        raw = spark.read.option("header", True).csv(path)
+        df = raw.select(*[(F.col(c).try_cast(declared[c]) if c in declared else F.col(c)).alias(c)
+                          for c in raw.columns])
     else:
         df = spark.read.format(fmt).load(path)
     fixes = {f.name: F.nanvl(F.col(f.name), F.lit(None).cast("double"))

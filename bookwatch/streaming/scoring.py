@@ -23,6 +23,10 @@ OUTPUT_COLUMNS = [S.BOOKING_ID, "hotel", "market_segment", "customer_type", "est
 
 def read_booking_stream(spark: SparkSession, path: str, fmt: str = "csv",
                         max_files_per_trigger: int | None = None) -> DataFrame:
+    """A streaming file source needs its schema up front, and CSV columns are
+    then matched by position: arriving CSV files must use the canonical
+    column order of ``RAW_BOOKING_SCHEMA`` (as written by ``write_bookings``).
+    Parquet files are matched by name."""
     reader = spark.readStream.schema(S.RAW_BOOKING_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)

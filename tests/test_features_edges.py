@@ -138,3 +138,17 @@ def test_binned_kde_fine_bins_close_to_exact(spark):
     # densities integrate to about one over the grid
     step = (max(r[0] for r in df.collect()) - min(r[0] for r in df.collect())) / 49
     assert abs(sum(exact.values()) * step - 1.0) < 0.1
+
+
+def test_hash_split_and_csv_nan(spark, tmp_path):
+    import os
+    from bookwatch.sources.bookings import read_bookings
+    df = spark.range(2000).withColumnRenamed("id", "booking_id")
+    tr, te = PP.hash_split(df, test_frac=0.2)
+    a, b = {r[0] for r in tr.collect()}, {r[0] for r in te.collect()}
+    assert not (a & b) and len(a) + len(b) == 2000 and 300 < len(b) < 500
+    p = os.path.join(str(tmp_path), "b.csv")
+    with open(p, "w") as fh:
+        fh.write("booking_id,adr\n1,NaN\n2,3.5\n")
+    got = {r["booking_id"]: r["adr"] for r in read_bookings(spark, p).select("booking_id", "adr").collect()}
+    assert got == {1: None, 2: 3.5}
