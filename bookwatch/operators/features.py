@@ -36,14 +36,24 @@ def fit_value_thresholds(df: DataFrame, q: float = 0.75, approx: bool = False) -
     return {"adr_q": row["adr_q"], "value_q": row["value_q"]}
 
 
+def value_threshold_columns(df: DataFrame, q: float = 0.75) -> dict:
+    """The thresholds of :func:`fit_value_thresholds` as scalar subqueries:
+    part of the plan, computed once when a query uses them and pruned by
+    Catalyst when it does not (no eager job)."""
+    value = F.col("adr") * (F.col("stays_in_weekend_nights") + F.col("stays_in_week_nights"))
+    return {"adr_q": df.agg(F.percentile(F.col("adr"), F.lit(q))).scalar(),
+            "value_q": df.agg(F.percentile(value, F.lit(q))).scalar()}
+
+
 def derive_features(df: DataFrame, thresholds: dict | None = None) -> DataFrame:
     """All engineered columns as one projection over ``df``.
 
-    ``thresholds`` comes from :func:`fit_value_thresholds`; when omitted it is
-    fitted on ``df`` itself.
+    ``thresholds`` comes from :func:`fit_value_thresholds` (numbers, e.g.
+    fitted on a training split); when omitted they are fitted on ``df``
+    itself inside the plan (:func:`value_threshold_columns`).
     """
     if thresholds is None:
-        thresholds = fit_value_thresholds(df)
+        thresholds = value_threshold_columns(df)
     base = enrich_eda(df, fill_invalid_adr=True)
     lead, adr = F.col("lead_time"), F.col("adr")
     nights = F.col("total_nights")
