@@ -3,6 +3,8 @@ document frames with defined nulls, hash splits and connected components."""
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -15,6 +17,11 @@ from ..session import ensure_checkpoint_dir
 SPACES = r"[\x20\x09-\x0D]+"
 
 
+def worker_memory() -> dict:
+    """A dict that lives as long as the worker process."""
+    return sys.modules.setdefault("_worker_memory", types.ModuleType("_worker_memory")).__dict__
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_completion, hdc_langid, line_rules, rans, secret_scan
+from . import bin_completion, ftrl, hdc_langid, line_rules, postings, rans, secret_scan, unit_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,30 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op4_decontamination"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(13, len(w)) k, array_to_string(w[s:s + least(13, len(w)) - 1], ' ') p
+       FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 13, 0) + 2)) s FROM b WHERE len(w) > 0)),
+ks AS (SELECT DISTINCT k FROM iw),
+dw AS (SELECT doc_id, k, s, array_to_string(w[s:s + k - 1], ' ') p
+       FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) s FROM d, ks WHERE len(w) >= k)),
+m AS (SELECT doc_id, item_id, s, k FROM dw JOIN iw USING (k, p)),
+h AS (SELECT doc_id, count(DISTINCT q) n FROM (SELECT doc_id, unnest(range(s, s + k)) q FROM m) GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) n, string_agg(x, ',' ORDER BY x) l FROM (SELECT DISTINCT doc_id, item_id::VARCHAR x FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT n_words, coalesce(h.n, 0)::BIGINT n_hit, coalesce(i.n, 0)::BIGINT n_items,
+       sha256(coalesce(l, '')) items_sha256, coalesce(h.n > 0 AND 20 * h.n >= len(w), false) contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
+"""
+
+
 @query
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hdc_langid.identify(table(spark, sf_dir, "documents"))
@@ -44,6 +68,16 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_completion.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+@query
+def op8_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unit_dedup.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ftrl.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.roundtrip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))

@@ -39,8 +39,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
-from .tokens import Ids, worker_memory
+from .common import texts, worker_memory, written
+from .tokens import Ids
 
 END = 1
 SCALE = 20  # bits of the frequency total

@@ -13,12 +13,12 @@ from __future__ import annotations
 
 import os
 import re
-import sys
-import types
 from array import array
 
 import numpy as np
 
+from .common import worker_memory
+
 CHUNKS = {
     # A space joins the word after it; of a longer run only the last does.
     "byte": r" ?[^\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]",
@@ -40,11 +40,6 @@ ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁠　﻿]")
 KEEP, KEEP_CHARS = 900_000, 32
 
 
-def worker_memory() -> dict:
-    """A dict that lives as long as the worker process."""
-    return sys.modules.setdefault("_worker_memory", types.ModuleType("_worker_memory")).__dict__
-
-
 def byte_letters() -> dict[int, str]:
     """The printable stand-in of every byte value: itself where printable in
     Latin-1, else the next character from 256 on."""
