@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from . import bin_completion, ftrl, hdc_langid, line_rules, postings, rans, secret_scan, unit_dedup
+from . import (attention_lm, bin_completion, ftrl, hdc_langid, line_rules, postings, rans, secret_scan,
+               setsketch, unit_dedup)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +23,27 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.link(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op1_near_dedup"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                            'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+l AS (SELECT x.doc_id a, y.doc_id b FROM s x JOIN s y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY ALL
+      HAVING 100 * count(*) >= 75 * ((SELECT n FROM n WHERE n.doc_id = x.doc_id)
+                                     + (SELECT n FROM n WHERE n.doc_id = y.doc_id) - count(*))),
+r(doc_id, o) AS (SELECT a, b FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.o = l.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT n_shingles, least(d.doc_id, coalesce(min(r.o), d.doc_id)) component_id,
+       d.doc_id <= coalesce(min(r.o), d.doc_id) kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) GROUP BY d.doc_id, n.n
+"""
+
+
 @query
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(table(spark, sf_dir, "documents")).drop("clean_text")
@@ -58,6 +78,11 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
 
+@query
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.lm_scores(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 @query
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hdc_langid.identify(table(spark, sf_dir, "documents"))

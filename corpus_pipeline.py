@@ -11,19 +11,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookwatch.llm import bin_completion, hdc_langid, secret_scan
+from bookwatch.llm import bin_completion, hdc_langid, postings, secret_scan, setsketch
 from bookwatch.llm.common import table, written
 from bookwatch.llm.queries import tokenizer
 
 
+def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told (no letter, no text) go."""
-    found = hdc_langid.identify(docs).where(F.col("lang_pred") == hdc_langid.UND)
-    return without(docs, found)
+    """Documents whose language cannot be told (no text, no letter) go."""
+    return without(docs, hdc_langid.identify(docs).where(F.col("lang_pred") == hdc_langid.UND))
 
 
-def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: the one with the smallest id. Of rows
+    that repeat an id, one stays."""
+    kept = without(docs, setsketch.link(docs).where("not kept"))
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+
+
+def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages beyond the threshold go."""
+    return without(docs, postings.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +43,12 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left, packed into sequences."""
     return bin_completion.pack_documents(docs, tokenizer("byte_bpe_50k.json"))
 
 
-STAGES = [("language", language), ("secrets", secrets), ("packing", packing)]
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("contamination", contamination),
+          ("secrets", secrets), ("packing", packing)]
 
 #: Learned predictions and tokenizer ids are beyond SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
