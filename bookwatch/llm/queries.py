@@ -34,9 +34,8 @@ WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') g
       FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) i FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
-l AS (SELECT x.doc_id a, y.doc_id b FROM s x JOIN s y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY ALL
-      HAVING 100 * count(*) >= 75 * ((SELECT n FROM n WHERE n.doc_id = x.doc_id)
-                                     + (SELECT n FROM n WHERE n.doc_id = y.doc_id) - count(*))),
+c AS (SELECT x.doc_id a, y.doc_id b, count(*) k FROM s x JOIN s y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+l AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 75 * (na.n + nb.n - k)),
 r(doc_id, o) AS (SELECT a, b FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.o = l.a)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT n_shingles, least(d.doc_id, coalesce(min(r.o), d.doc_id)) component_id,
        d.doc_id <= coalesce(min(r.o), d.doc_id) kept
