@@ -11,7 +11,7 @@ The steps: equal sets collapse to one representative; a band key shared by
 several representatives links each to the smallest (a star, never all pairs);
 the joint likelihood of the registers, given both set sizes, drops pairs far
 below the threshold; what is left is confirmed on full shingle sets. Components
-of the confirmed links follow. Then band keys that still hold several
+of the confirmed links follow. Then documents whose band keys still hold several
 components are compared across components, in blocks of bounded size, so that a
 link is missed only if no band joins its two documents: with 36 bands of 4
 registers less than twice in a million at similarity 0.75.
@@ -41,7 +41,7 @@ M = ROWS * BANDS
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 #: Pairs whose most likely similarity is lower are not confirmed: five standard errors.
 LEAST = NUM / DEN - 5 * (NUM / DEN * (1 - NUM / DEN) / M) ** 0.5
-BLOCK = 512
+BLOCK = 256
 SMALL = 1_000_000
 KEEP = 500_000
 _rng = np.random.default_rng(7)
@@ -175,11 +175,9 @@ def possible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.mapInPandas(rows, f"a {id_type}, b {id_type}, na long, nb long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links ``a, b`` whose full shingle sets are similar enough. Only documents
-    that occur in a pair have their sets built and moved."""
-    pairs = written(pairs, "pairs")
-    wanted = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
+def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``doc_id, s``: shingle sets of the documents in ``wanted(doc_id)`` only."""
+    wanted = written(wanted.distinct(), "wanted")
     if wanted.count() <= SMALL:
         wanted = F.broadcast(wanted)
 
@@ -191,52 +189,109 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                                     "s": [shingles(t).view(np.int64) for t in part.text]})
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    sets = written(texts(docs).where("text is not null").join(wanted, "doc_id", "left_semi")
+    return written(texts(docs).where("text is not null").join(wanted, "doc_id", "left_semi")
                    .mapInPandas(rows, f"doc_id {id_type}, s array<bigint>").where("size(s) > 0"), "sets")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links ``a, b`` whose full shingle sets are similar enough."""
+    pairs = written(pairs, "pairs")
+    sets = full_sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")))
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - common
     return (pairs.select("a", "b").join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
             .where(DEN * common >= NUM * union).select("a", "b").distinct())
 
 
-def across(bands: DataFrame, reps: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs that share a band key but no component, after the likelihood filter.
-    The members of a key are dealt into blocks; a task compares two blocks, one
-    component against another only, however many members the key has."""
+def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections between two lists of sets, by products of
+    incidence matrices over a bounded number of shingles at a time."""
+    values, at = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    row = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in [*x, *y]])
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    out = np.zeros((len(x), len(y)), np.float32)
+    for lo in range(0, len(values), 8192):
+        i, j = np.searchsorted(at, [lo, lo + 8192])
+        m = np.zeros((len(x) + len(y), 8192), np.float32)
+        m[row[i:j], at[i:j] - lo] = 1
+        out += m[:len(x)] @ m[len(x):].T
+    return out
+
+
+def links_between(g: pd.DataFrame) -> list[tuple[int, int]]:
+    """Row pairs of two blocks that are linked, in different components and not
+    joined yet by a pair before them: at most one per row."""
+    n, c, i = g.n.to_numpy(), g.component.to_numpy(), g.i.to_numpy()
+    left, right = np.flatnonzero(i == g.x.iloc[0]), np.flatnonzero(i == g.y.iloc[0])
+    r = matrix(g.registers)
+    pairs = []
+    for k in range(0, len(left), 16):  # 16 rows against a block at once
+        p = left[k:k + 16]
+        apart = (c[p][:, None] != c[right]) & (
+            DEN * np.minimum(n[p][:, None], n[right]) >= NUM * np.maximum(n[p][:, None], n[right]))
+        equal = (r[p][:, None, :] == r[right][None, :, :]).sum(axis=2)
+        a, b = np.nonzero(apart & (equal >= (LEAST - 0.1) * M))
+        if len(a):
+            a, b = p[a], right[b]
+            ok = maybe(r[a], r[b], n[a], n[b])
+            pairs.append(np.stack([a[ok], b[ok]]))
+    a, b = np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), np.int64)
+    if not len(a):
+        return []
+    xs, ys = np.unique(a), np.unique(b)
+    sets = g.s.to_list()
+    both = common_counts([sets[k] for k in xs], [sets[k] for k in ys])[
+        np.searchsorted(xs, a), np.searchsorted(ys, b)]
+    linked = DEN * both >= NUM * (n[a] + n[b] - both)
+    root: dict = {}
+
+    def find(v):
+        while (up := root.get(v, v)) != v:
+            v = up
+        return v
+
+    out = []
+    for p, q in zip(a[linked].tolist(), b[linked].tolist()):
+        u, v = find(c[p]), find(c[q])
+        if u != v:
+            root[u] = v
+            out.append((p, q))
+    return out
+
+
+def across(bands: DataFrame, reps: DataFrame, parts: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between components that share band keys.
+
+    Documents that such keys connect form a cluster. Its members are dealt into
+    blocks; a task takes two blocks, filters the pairs of different components by
+    their sketches, confirms the rest on full sets and returns a forest, so the
+    output is bounded by the members, not by their pairs."""
     members = bands.join(parts, F.col("doc_id") == F.col("id"), "left").select(
         "band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = members.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                        F.count("*").alias("k")).where("lo < hi")
-    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
-    m = (members.join(mixed, "band").withColumn("blocks", blocks)
-         .withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-         .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-         .select("band", "doc_id", "component", "i", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y")))
-    m = m.join(reps.select("doc_id", "n", "registers"), "doc_id")
+                                        F.min("doc_id").alias("first")).where("lo < hi")
+    touched = written(members.join(mixed.select("band", "first"), "band").select(
+        "first", "doc_id", "component").distinct(), "mixed")
+    clusters = components(touched.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
+    m = (touched.select("doc_id", "component").distinct()
+         .join(clusters.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")), "doc_id"))
+    sizes = m.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    m = written(m.join(sizes, "cluster").withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")),
+                "members")
+    full = (m.join(reps.select("doc_id", "n", "registers"), "doc_id")
+            .join(full_sets(docs, m.select("doc_id")), "doc_id").where(F.size("s") == F.col("n")))
+    full = full.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "cluster", "doc_id", "component", "n", "registers", "s", "i",
+        F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"))
     id_type = reps.schema["doc_id"].dataType.simpleString()
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("doc_id", kind="stable")
-        r, n, c, i = matrix(g.registers), g.n.to_numpy(), g.component.to_numpy(), g.i.to_numpy()
-        x, y = g.x.iloc[0], g.y.iloc[0]
-        left = np.flatnonzero(i == x)
-        right = np.flatnonzero(i == y)
-        found = []
-        for lo in range(0, len(left), 64):  # at most 64 rows against a block at once
-            p = left[lo:lo + 64, None]
-            apart = (c[p] != c[right][None, :]) & ((p < right[None, :]) | (x != y))
-            near = DEN * np.minimum(n[p], n[right]) >= NUM * np.maximum(n[p], n[right])
-            a, b = np.nonzero(apart & near)
-            a, b = left[lo + a], right[b]
-            for part in range(0, len(a), 4096):
-                pa, pb = a[part:part + 4096], b[part:part + 4096]
-                ok = maybe(r[pa], r[pb], n[pa], n[pb])
-                found.append(np.stack([pa[ok], pb[ok]]))
-        at = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
-        d = g.doc_id.to_numpy()
-        return pd.DataFrame({"a": np.minimum(d[at[0]], d[at[1]]), "b": np.maximum(d[at[0]], d[at[1]])})
-
-    return m.groupBy("band", "x", "y").applyInPandas(compare, f"a {id_type}, b {id_type}").distinct()
+        g = g.sort_values("doc_id", kind="stable").reset_index(drop=True)
+        found, d = links_between(g), g.doc_id.to_numpy()
+        return pd.DataFrame({"a": [d[p] for p, _ in found], "b": [d[q] for _, q in found]}, dtype=d.dtype)
+
+    return full.groupBy("cluster", "x", "y").applyInPandas(compare, f"a {id_type}, b {id_type}").distinct()
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -250,7 +305,7 @@ def link(docs: DataFrame) -> DataFrame:
     shared = bands.groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z")
     star = bands.join(shared, "band").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
     links = written(confirmed(possible(star, reps), docs), "links")
-    rest = confirmed(across(bands, reps, components(links)), docs)
+    rest = across(bands, reps, components(links), docs)
     same = named.join(classes, "same").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     parts = components(links.union(rest).union(same.distinct()))
     return every.join(parts, every["doc_id"] == parts["id"], "left").select(
