@@ -44,9 +44,9 @@ from .tokens import Ids
 
 END = 1
 SCALE = 20  # bits of the frequency total
-LANES = 256
+LANES = 1024
 STEPS = 256  # steps between checkpoints
-BLOCK = 1 << 18  # ids after which a block is closed
+BLOCK = 1 << 20  # ids after which a block is closed
 MAGIC = 0x31534E52
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
