@@ -84,14 +84,19 @@ def safe_ratio(num, den) -> Column:
     return F.when(d > 0, n.cast("double") / d).otherwise(F.lit(0.0))
 
 
+def reaches(p, threshold: float) -> Column:
+    """``p >= threshold``, false for null and NaN (which Spark orders above every
+    number): the one rule by which scores become decisions."""
+    p = col(p)
+    return F.coalesce(~F.isnan(p) & (p >= F.lit(threshold)), F.lit(False))
+
+
 def risk_tier(p=S.PROBABILITY, threshold: float = S.DEFAULT_THRESHOLD,
               high: float = S.HIGH_RISK_CUTOFF) -> Column:
     """High / Medium / Low. NaN and null compare false, so they are Low, as
     in the scoring app (Spark would otherwise order NaN above every value)."""
-    p = col(p)
-    valid = p.isNotNull() & ~F.isnan(p)
-    return (F.when(valid & (p >= F.lit(high)), S.RISK_LABELS[0])
-            .when(valid & (p >= F.lit(threshold)), S.RISK_LABELS[1])
+    return (F.when(reaches(p, high), S.RISK_LABELS[0])
+            .when(reaches(p, threshold), S.RISK_LABELS[1])
             .otherwise(S.RISK_LABELS[2]))
 
 

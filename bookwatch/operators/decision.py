@@ -30,7 +30,7 @@ def row_revenue_at_risk(df: DataFrame, p: str = S.PROBABILITY,
 def add_risk_columns(df: DataFrame, threshold: float = S.DEFAULT_THRESHOLD,
                      p: str = S.PROBABILITY) -> DataFrame:
     """Batch scoring tail: class, tier and row revenue at risk (O-57..O-59)."""
-    out = df.withColumns({S.PREDICTION: F.when(F.col(p) >= F.lit(threshold), 1).otherwise(0),
+    out = df.withColumns({S.PREDICTION: F.when(C.reaches(p, threshold), 1).otherwise(0),
                           S.RISK_CATEGORY: risk_tier(p, threshold)})
     return row_revenue_at_risk(out, p)
 
@@ -188,7 +188,7 @@ def review(scored: DataFrame, threshold: float = S.DEFAULT_THRESHOLD) -> DataFra
     details = [c for c in DETAIL_COLUMNS if c in scored.columns]
     return with_tier.select(
         S.BOOKING_ID, *details, S.PROBABILITY,
-        F.when(F.col(S.PROBABILITY) >= F.lit(threshold), "Likely Cancelled")
+        F.when(C.reaches(S.PROBABILITY, threshold), "Likely Cancelled")
          .otherwise("Likely Not Cancelled").alias("model_decision"),
         S.RISK_CATEGORY, risk_drivers(with_tier).alias("risk_drivers"),
         recommended_actions().alias("recommended_actions"),

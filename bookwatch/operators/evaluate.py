@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions.columns import reaches
 from ..functions.prefix import global_running_sums
 
 METRIC_DIGITS = 6
@@ -36,7 +37,7 @@ def score(df: DataFrame, model, threshold: float = S.DEFAULT_THRESHOLD,
 
 def apply_threshold(df: DataFrame, p: str = S.PROBABILITY, threshold: float = S.DEFAULT_THRESHOLD,
                     name: str = S.PREDICTION) -> DataFrame:
-    return df.withColumn(name, F.when(F.col(p) >= F.lit(threshold), 1).otherwise(0))
+    return df.withColumn(name, F.when(reaches(p, threshold), 1).otherwise(0))
 
 
 def _counts(y: Column, yhat: Column):

@@ -85,8 +85,8 @@ def value_share(df: DataFrame, col: str, digits: int = 2) -> DataFrame:
 
 
 def target_distribution(df: DataFrame, target: str = S.TARGET) -> DataFrame:
-    """O-25: count per target value and percent of all rows."""
-    counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("booking_count"))
+    """O-25: count per target value and percent of the rows that have one."""
+    counts = df.where(F.col(target).isNotNull()).groupBy(target).agg(F.count(F.lit(1)).alias("booking_count"))
     total = F.sum("booking_count").over(Window.partitionBy(F.lit(0)))
     return counts.withColumn("percentage", F.round(F.col("booking_count") / total * 100, 2)) \
                  .orderBy(F.desc("booking_count"))

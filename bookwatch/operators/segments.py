@@ -177,9 +177,9 @@ def hotel_monthly_volume(df: DataFrame) -> DataFrame:
 def value_by_outcome(df: DataFrame, target: str = S.TARGET, value: str = "estimated_booking_value",
                      digits: int = 2) -> DataFrame:
     """O-44: count, mean, median, sum of the booking value per outcome, with
-    the outcome label."""
+    the outcome label. Rows without an outcome are left out."""
     v = F.col(value)
-    out = df.groupBy(target).agg(
+    out = df.where(F.col(target).isNotNull()).groupBy(target).agg(
         F.count(v).alias("count"), F.round(F.avg(v), digits).alias("mean"),
         F.round(F.median(v), digits).alias("median"), F.round(F.sum(v), digits).alias("sum"))
     label = F.when(F.col(target) == 0, S.OUTCOME_LABELS[0]).when(F.col(target) == 1, S.OUTCOME_LABELS[1])

@@ -13,6 +13,7 @@ set; the best model and threshold are the computed ones, not constants.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,8 @@ from ..sources.bookings import bookings
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/bookwatch/{name}"
+    """A fresh folder for each run, so that tables of an earlier run stay readable."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/bookwatch/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:

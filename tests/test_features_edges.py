@@ -152,3 +152,12 @@ def test_hash_split_and_csv_nan(spark, tmp_path):
         fh.write("booking_id,adr\n1,NaN\n2,3.5\n")
     got = {r["booking_id"]: r["adr"] for r in read_bookings(spark, p).select("booking_id", "adr").collect()}
     assert got == {1: None, 2: 3.5}
+
+
+def test_scores_without_a_value_decide_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from bookwatch.operators.evaluate import apply_threshold
+    df = spark.createDataFrame([(float("nan"),), (None,), (0.9,), (0.1,)], "p double")
+    got = apply_threshold(df, "p", 0.5, "c").select(F.col("c")).collect()
+    assert [r["c"] for r in got] == [0, 0, 1, 0]
