@@ -684,5 +684,23 @@ def _csv_roundtrip(s, d):
 
 
 register("csv_roundtrip", BK + "SELECT * FROM bookings")(_csv_roundtrip)
+def _csv_mixed_headers(s, d):
+    """O-01: files as data-frame tools write them (whole numbers as ``2.0``,
+    ``NaN`` for a missing value), half of them with the columns reversed."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources.bookings import read_bookings, write_bookings
+    path = f"{ensure_checkpoint_dir(s).rstrip('/')}/csv/{uuid.uuid4().hex}"
+    b = bookings(s, d)
+    shown = b.select(*[F.coalesce(F.col(f.name).cast("double").cast("string"), F.lit("NaN")).alias(f.name)
+                       if f.dataType.typeName() in ("integer", "double") else F.col(f.name) for f in b.schema.fields])
+    odd = F.col("booking_id") % 2 == 1
+    write_bookings(shown.where(odd), f"{path}/odd", fmt="csv")
+    write_bookings(shown.where(~odd).select(*reversed(b.columns)), f"{path}/even", fmt="csv")
+    return read_bookings(s, f"{path}/*", fmt="csv", mixed_headers=True)
+
+
+register("csv_mixed_headers", BK + "SELECT * FROM bookings")(_csv_mixed_headers)
 register("permutation_importance")(
     lambda s, d: (lambda tr, te: MD.permutation_importance(te, MD.fit_bundle(tr, "forest")))(*split_frames(s, d)))

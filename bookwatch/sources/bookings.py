@@ -4,9 +4,11 @@ order tables (one order = one reservation), plus file readers and writers."""
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.prefix import exclusive_running_sums
 from ..schema import RAW_BOOKING_SCHEMA
@@ -123,22 +125,108 @@ def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def read_bookings(spark: SparkSession, path: str, fmt: str = "csv", schema=RAW_BOOKING_SCHEMA) -> DataFrame:
-    """Read a bookings file; columns are matched to the declared schema by
-    header name (any order, any subset), never inferred. CSV values are
-    read as text and cast by name (a malformed value becomes null instead of
-    failing the job); NaN in floating columns is normalised to NULL so
-    comparisons behave like the notebooks' missing values."""
+#: Spellings of a missing value in text files.
+MISSING = ("", "NA", "N/A", "NaN", "nan", "NULL", "null", "None")
+WHOLE = ("byte", "short", "integer", "long")
+
+
+def typed(col: str, to: T.DataType, malformed: str = "fail") -> Column:
+    """A text value as the declared type. Missing spellings become null; a whole
+    number may be written with a fraction of zeros (``2.0``), as tools do whose
+    integer columns cannot hold missing values. Any other value that does not
+    fit the type fails the job and is named, or becomes null with
+    ``malformed="null"`` (count those with ``malformed_report``)."""
+    text = F.trim(F.col(col))
+    missing = F.col(col).isNull() | text.isin(*MISSING)
+    if to.typeName() == "string":
+        return F.when(~missing, F.col(col))
+    value = text.try_cast(to)
+    if to.typeName() in WHOLE:
+        # through a decimal, so that long keys keep every digit
+        exact = text.try_cast("decimal(38,10)")
+        value = F.coalesce(value, F.when(exact == F.floor(exact), exact).cast("string").try_cast("decimal(38,0)")
+                           .cast("string").try_cast(to))
+    if to.typeName() in ("double", "float"):
+        value = F.nanvl(value, F.lit(None).cast(to))
+    if malformed == "null":
+        return F.when(~missing, value)
+    says = F.concat(F.lit(f"column {col} cannot hold the value '"), F.col(col), F.lit("'"))
+    return F.when(missing, F.lit(None).cast(to)).when(value.isNotNull(), value).otherwise(F.raise_error(says).cast(to))
+
+
+def normalised(df: DataFrame, schema: T.StructType = RAW_BOOKING_SCHEMA, malformed: str = "fail") -> DataFrame:
+    """The declared type for every declared column, by name; NaN becomes null.
+    Batch and stream readers share it. Other columns stay as they are."""
     declared = {f.name: f.dataType for f in schema.fields}
-    if fmt == "csv":
-        raw = spark.read.option("header", True).csv(path)
-        df = raw.select(*[(F.col(c).try_cast(declared[c]) if c in declared else F.col(c)).alias(c)
-                          for c in raw.columns])
+    out = []
+    for f in df.schema.fields:
+        c = F.col(f.name)
+        to = declared.get(f.name, f.dataType)
+        if f.dataType.typeName() == "string" and f.name in declared:
+            c = typed(f.name, to, malformed)
+        else:
+            if f.dataType.typeName() in ("double", "float"):
+                c = F.nanvl(c, F.lit(None).cast(f.dataType))
+            if to != f.dataType:
+                c = c.cast(to)
+        out.append(c.alias(f.name))
+    return df.select(*out)
+
+
+def _text_columns(names) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
+def _csv_text(spark: SparkSession, files: str | list[str], names: list[str]) -> DataFrame:
+    """CSV columns as text; a file whose header differs is rejected."""
+    return (spark.read.schema(_text_columns(names)).option("header", True).option("enforceSchema", False)
+            .csv(files))
+
+
+def _header_groups(spark: SparkSession, path: str) -> list[tuple[list[str], list[str]]]:
+    """(columns, files) for each distinct header under ``path``. The driver gets
+    one row for each file, as it does in listing them."""
+    first = (spark.read.text(path).where("_metadata.file_block_start = 0")
+             .select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("at"))
+             .groupBy("file").agg(F.min_by("value", "at").alias("header")))
+    groups = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect()
+    return [(spark.read.option("header", True).csv(g["files"][0]).columns, g["files"]) for g in groups]
+
+
+def read_bookings(spark: SparkSession, path: str, fmt: str = "csv", schema=RAW_BOOKING_SCHEMA,
+                  mixed_headers: bool = False, malformed: str = "fail") -> DataFrame:
+    """Read bookings files; columns are matched to the declared schema by header
+    name (any order, any subset), never inferred, and brought to the declared
+    types by ``normalised``.
+
+    All CSV files of a folder must have one header: a file that differs is
+    rejected, never read by position. With ``mixed_headers`` one extra pass over
+    the text finds each file's header, and files are read by header and united
+    by name (a column that a file lacks is null there). An empty folder of CSV
+    files gives an empty table of the declared columns."""
+    if fmt != "csv":
+        return normalised(spark.read.format(fmt).load(path), schema, malformed)
+    if mixed_headers:
+        parts = [_csv_text(spark, files, names) for names, files in _header_groups(spark, path)]
+        raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
     else:
-        df = spark.read.format(fmt).load(path)
-    fixes = {f.name: F.nanvl(F.col(f.name), F.lit(None).cast("double"))
-             for f in df.schema.fields if f.dataType.typeName() == "double"}
-    return df.withColumns(fixes) if fixes else df
+        names = spark.read.option("header", True).csv(path).columns
+        raw = _csv_text(spark, path, names) if names else None
+    if raw is None:
+        return spark.createDataFrame([], schema)
+    return normalised(raw, schema, malformed)
+
+
+def malformed_report(spark: SparkSession, path: str, schema=RAW_BOOKING_SCHEMA) -> DataFrame:
+    """``column_name, n_malformed``: values of a CSV file that do not fit the
+    declared type and are no spelling of a missing value."""
+    raw = _csv_text(spark, path, spark.read.option("header", True).csv(path).columns)
+    declared = [f for f in schema.fields if f.name in raw.columns and f.dataType.typeName() != "string"]
+    pairs = [F.struct(F.lit(f.name).alias("column_name"),
+                      (typed(f.name, f.dataType, "null").isNull() & F.col(f.name).isNotNull()
+                       & ~F.trim(f.name).isin(*MISSING)).cast("long").alias("bad")) for f in declared]
+    return (raw.select(F.inline(F.array(*pairs))).groupBy("column_name")
+            .agg(F.sum("bad").alias("n_malformed")))
 
 
 def write_bookings(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",

@@ -16,6 +16,7 @@ from .. import schema as S
 from ..operators import decision as DC
 from ..operators import features as FE
 from ..operators import models as MD
+from ..sources.bookings import _text_columns, normalised
 
 OUTPUT_COLUMNS = [S.BOOKING_ID, "hotel", "market_segment", "customer_type", "estimated_booking_value",
                   S.PROBABILITY, S.PREDICTION, S.RISK_CATEGORY, S.REVENUE_AT_RISK]
@@ -23,16 +24,19 @@ OUTPUT_COLUMNS = [S.BOOKING_ID, "hotel", "market_segment", "customer_type", "est
 
 def read_booking_stream(spark: SparkSession, path: str, fmt: str = "csv",
                         max_files_per_trigger: int | None = None) -> DataFrame:
-    """A streaming file source needs its schema up front, and CSV columns are
-    then matched by position: arriving CSV files must use the canonical
-    column order of ``RAW_BOOKING_SCHEMA`` (as written by ``write_bookings``).
-    Parquet files are matched by name."""
-    reader = spark.readStream.schema(S.RAW_BOOKING_SCHEMA)
+    """A streaming file source needs its schema up front: arriving CSV files
+    have the columns of ``RAW_BOOKING_SCHEMA`` in its order (as written by
+    ``write_bookings``), and a file with another header fails the query rather
+    than being read by position. Values go through the batch reader's
+    ``normalised``, so a stream holds what the batch reader gives. Parquet files
+    are matched by name."""
+    csv = fmt == "csv"
+    reader = spark.readStream.schema(_text_columns(S.RAW_BOOKING_SCHEMA.names) if csv else S.RAW_BOOKING_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    if fmt == "csv":
-        reader = reader.option("header", True)
-    return reader.format(fmt).load(path)
+    if csv:
+        reader = reader.option("header", True).option("enforceSchema", False)
+    return normalised(reader.format(fmt).load(path))
 
 
 def score_stream(stream: DataFrame, bundle: MD.Bundle, thresholds: dict) -> DataFrame:
