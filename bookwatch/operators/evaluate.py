@@ -96,25 +96,35 @@ def _curve(df, y, p, n_blocks):
     return cum.withColumnsRenamed({"total_pos": "P", "total_neg": "N"})
 
 
+def _with_end(curve: DataFrame, x: float, y: float) -> DataFrame:
+    """The curve from its point without a threshold (nothing predicted) on."""
+    end = curve.sparkSession.range(1).select(
+        F.lit(None).cast("double"), F.lit(x), F.lit(y), F.lit(0).cast("long"), F.lit(0).cast("long"))
+    return curve.union(end).orderBy(F.desc_nulls_first("threshold"))
+
+
 def roc_curve(df: DataFrame, y: str = S.TARGET, p: str = S.PROBABILITY, n_blocks: int = 64,
               digits: int = METRIC_DIGITS) -> DataFrame:
     """O-65: (threshold, fpr, tpr) at every distinct score, predicting 1 for
-    scores >= threshold."""
+    scores >= threshold, after the start point (0, 0) without a threshold."""
     c = _curve(df, y, p, n_blocks)
-    return c.select(F.col("score").alias("threshold"),
-                    F.round(F.when(F.col("N") > 0, F.col("cum_neg") / F.col("N")), digits).alias("fpr"),
-                    F.round(F.when(F.col("P") > 0, F.col("cum_pos") / F.col("P")), digits).alias("tpr"),
-                    F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp")).orderBy(F.desc("threshold"))
+    out = c.select(F.col("score").alias("threshold"),
+                   F.round(F.when(F.col("N") > 0, F.col("cum_neg") / F.col("N")), digits).alias("fpr"),
+                   F.round(F.when(F.col("P") > 0, F.col("cum_pos") / F.col("P")), digits).alias("tpr"),
+                   F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"))
+    return _with_end(out, 0.0, 0.0)
 
 
 def pr_curve(df: DataFrame, y: str = S.TARGET, p: str = S.PROBABILITY, n_blocks: int = 64,
              digits: int = METRIC_DIGITS) -> DataFrame:
-    """O-66: (threshold, precision, recall) at every distinct score."""
+    """O-66: (threshold, precision, recall) at every distinct score, and the end
+    point of precision 1 and recall 0 without a threshold."""
     c = _curve(df, y, p, n_blocks)
-    return c.select(F.col("score").alias("threshold"),
-                    F.round(F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")), digits).alias("precision"),
-                    F.round(F.when(F.col("P") > 0, F.col("cum_pos") / F.col("P")), digits).alias("recall"),
-                    F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp")).orderBy(F.desc("threshold"))
+    out = c.select(F.col("score").alias("threshold"),
+                   F.round(F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")), digits).alias("precision"),
+                   F.round(F.when(F.col("P") > 0, F.col("cum_pos") / F.col("P")), digits).alias("recall"),
+                   F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"))
+    return _with_end(out, 1.0, 0.0)
 
 
 def classification_report(df: DataFrame, y: str = S.TARGET, yhat: str = S.PREDICTION,

@@ -118,23 +118,30 @@ def _bounds(df: DataFrame, cols: Sequence[str]) -> dict:
 
 def histogram(df: DataFrame, cols: Sequence[str], bins: int = 30) -> DataFrame:
     """O-28: equal-width histogram per column between its min and max; the
-    last bin is closed. Two passes: min/max (one aggregate), then one grouped
-    count over the unpivoted values."""
+    last bin is closed, empty bins count 0, and a constant column is widened by
+    a half to each side. A column without values has no bins. Two passes: min/max
+    (one aggregate), then one grouped count over the unpivoted values."""
     bounds = _bounds(df, cols)
-    parts = []
+    parts, empty = [], []
     for c in cols:
         lo, hi = bounds[c]
         if lo is None:
             continue
-        width = (hi - lo) / bins if hi > lo else 1.0
+        lo, width = (lo, (hi - lo) / bins) if hi > lo else (lo - 0.5, 1.0 / bins)
         x = F.col(c).cast("double")
         # least() skips nulls in Spark, so guard the missing values explicitly
         b = F.when(x.isNotNull(), F.least(F.floor((x - F.lit(lo)) / F.lit(width)),
                                           F.lit(bins - 1))).cast("int")
-        parts.append(F.struct(F.lit(c).alias("column_name"), b.alias("bin"),
-                              F.lit(lo).alias("lo"), F.lit(width).alias("width")))
+        head = F.lit(c).alias("column_name")
+        tail = [F.lit(lo).alias("lo"), F.lit(width).alias("width")]
+        parts.append(F.struct(head, b.alias("bin"), *tail, F.lit(1).cast("long").alias("n")))
+        empty.append(F.struct(head, F.col("id").cast("int").alias("bin"), *tail, F.lit(0).cast("long").alias("n")))
+    if not parts:
+        return df.sparkSession.createDataFrame(
+            [], "column_name string, bin int, bin_start double, bin_end double, count long")
     long = df.select(F.inline(F.array(*parts))).where(F.col("bin").isNotNull())
-    return (long.groupBy("column_name", "bin", "lo", "width").agg(F.count(F.lit(1)).alias("count"))
+    zero = df.sparkSession.range(bins).select(F.inline(F.array(*empty)))
+    return (long.union(zero).groupBy("column_name", "bin", "lo", "width").agg(F.sum("n").alias("count"))
             .select("column_name", "bin",
                     F.round(F.col("lo") + F.col("bin") * F.col("width"), 6).alias("bin_start"),
                     F.round(F.col("lo") + (F.col("bin") + 1) * F.col("width"), 6).alias("bin_end"),

@@ -53,8 +53,8 @@ CATEGORICAL_EDA = ["hotel", "meal", "market_segment", "distribution_channel", "r
 BALANCE_COLS = ["hotel", "market_segment", "deposit_type", "customer_type", "arrival_date_month"]
 CORR_COLS = ["is_canceled", "lead_time", "adr", "previous_cancellations", "booking_changes",
              "total_of_special_requests", "stays_in_week_nights", "stays_in_weekend_nights"]
-HIST_COLS = ["lead_time", "adr", "stays_in_weekend_nights", "stays_in_week_nights",
-             "previous_cancellations", "booking_changes", "total_of_special_requests"]
+HIST_COLS = [f.name for f in S.RAW_BOOKING_SCHEMA.fields
+             if f.dataType.typeName() in ("integer", "double")]
 
 
 def _cols_sql(cols):
@@ -188,13 +188,16 @@ register("feature_balance", BK + f"""SELECT column_name, value, count,
   round(count / sum(count) OVER (PARTITION BY column_name) * 100, 2) AS percentage
  FROM ({_BAL_SQL})""")(lambda s, d: PR.feature_balance(bookings(s, d), BALANCE_COLS))
 
-_HIST_PARTS = _unpivot_sql(HIST_COLS, """SELECT '{c}' AS column_name,
-  CAST(least(floor((CAST({c} AS DOUBLE) - lo) / w), 29) AS INTEGER) AS bin, lo, w
-  FROM bookings, (SELECT min(CAST({c} AS DOUBLE)) AS lo,
-     CASE WHEN max({c}) > min({c}) THEN (max(CAST({c} AS DOUBLE)) - min(CAST({c} AS DOUBLE))) / 30 ELSE 1.0 END AS w
-     FROM bookings) WHERE {c} IS NOT NULL""")
+_HIST_PARTS = _unpivot_sql(HIST_COLS, """SELECT '{c}' AS column_name, b.bin, lo, w, b.n
+  FROM (SELECT CASE WHEN hi > lo0 THEN lo0 ELSE lo0 - 0.5::DOUBLE END AS lo,
+     CASE WHEN hi > lo0 THEN (hi - lo0) / 30 ELSE 1.0::DOUBLE / 30 END AS w
+     FROM (SELECT min(CAST({c} AS DOUBLE)) AS lo0, max(CAST({c} AS DOUBLE)) AS hi FROM bookings)
+     WHERE lo0 IS NOT NULL) e,
+  LATERAL (SELECT CAST(least(floor((CAST({c} AS DOUBLE) - e.lo) / e.w), 29) AS INTEGER) AS bin, 1 AS n
+     FROM bookings WHERE {c} IS NOT NULL
+     UNION ALL SELECT CAST(i AS INTEGER), 0 FROM range(30) r(i)) b""")
 register("histogram", BK + f"""SELECT column_name, bin, round(lo + bin * w, 6) AS bin_start,
- round(lo + (bin + 1) * w, 6) AS bin_end, count(*) AS count FROM ({_HIST_PARTS})
+ round(lo + (bin + 1) * w, 6) AS bin_end, CAST(sum(n) AS BIGINT) AS count FROM ({_HIST_PARTS})
  GROUP BY column_name, bin, lo, w""")(lambda s, d: PR.histogram(bookings(s, d), HIST_COLS, 30))
 
 register("binned_kde", BK + """, st AS (
@@ -434,10 +437,12 @@ _CURVE = _SC + """, c AS (SELECT *, sum(pos) OVER (ORDER BY score DESC ROWS BETW
  sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM sc)"""
 register("roc_curve", SCB + _CURVE + """SELECT score AS threshold,
  round(CASE WHEN N > 0 THEN cn / N END, 6) AS fpr, round(CASE WHEN P > 0 THEN cp / P END, 6) AS tpr,
- CAST(cp AS BIGINT) AS tp, CAST(cn AS BIGINT) AS fp FROM c""")(lambda s, d: EV.roc_curve(scored_test(s, d)))
+ CAST(cp AS BIGINT) AS tp, CAST(cn AS BIGINT) AS fp FROM c
+ UNION ALL SELECT NULL, 0.0::DOUBLE, 0.0::DOUBLE, 0, 0""")(lambda s, d: EV.roc_curve(scored_test(s, d)))
 register("pr_curve", SCB + _CURVE + """SELECT score AS threshold,
  round(cp / (cp + cn), 6) AS precision, round(CASE WHEN P > 0 THEN cp / P END, 6) AS recall,
- CAST(cp AS BIGINT) AS tp, CAST(cn AS BIGINT) AS fp FROM c""")(lambda s, d: EV.pr_curve(scored_test(s, d)))
+ CAST(cp AS BIGINT) AS tp, CAST(cn AS BIGINT) AS fp FROM c
+ UNION ALL SELECT NULL, 1.0::DOUBLE, 0.0::DOUBLE, 0, 0""")(lambda s, d: EV.pr_curve(scored_test(s, d)))
 
 
 def _report_sql():
