@@ -128,10 +128,10 @@ PREVIEW_COLUMNS = ["hotel", "market_segment", "customer_type", "estimated_bookin
 
 def scored_preview(scored: DataFrame, cols: Sequence[str] = tuple(PREVIEW_COLUMNS),
                    limit: int | None = None) -> DataFrame:
-    """O-79: the preview columns that exist, highest probability first (key
-    breaks ties); ``limit`` keeps the first rows for display."""
-    keep = [S.BOOKING_ID] + [c for c in cols if c in scored.columns]
-    out = scored.select(*keep).orderBy(F.desc(S.PROBABILITY), S.BOOKING_ID)
+    """O-79: the preview columns that exist, highest probability first (the key,
+    where there is one, breaks ties); ``limit`` keeps the first rows for display."""
+    key = [S.BOOKING_ID] if S.BOOKING_ID in scored.columns else []
+    out = scored.select(*key, *[c for c in cols if c in scored.columns]).orderBy(F.desc(S.PROBABILITY), *key)
     return out.limit(limit) if limit else out
 
 
@@ -185,9 +185,9 @@ def review(scored: DataFrame, threshold: float = S.DEFAULT_THRESHOLD) -> DataFra
     """O-84 for any number of rows: detail columns, probability, decision,
     tier, drivers, actions and summary as one projection."""
     with_tier = scored.withColumn(S.RISK_CATEGORY, risk_tier(S.PROBABILITY, threshold))
-    details = [c for c in DETAIL_COLUMNS if c in scored.columns]
+    details = [c for c in [S.BOOKING_ID, *DETAIL_COLUMNS] if c in scored.columns]
     return with_tier.select(
-        S.BOOKING_ID, *details, S.PROBABILITY,
+        *details, S.PROBABILITY,
         F.when(C.reaches(S.PROBABILITY, threshold), "Likely Cancelled")
          .otherwise("Likely Not Cancelled").alias("model_decision"),
         S.RISK_CATEGORY, risk_drivers(with_tier).alias("risk_drivers"),

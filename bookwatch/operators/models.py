@@ -57,16 +57,19 @@ def boosted(label: str = S.TARGET, weight: str | None = "weight", max_iter: int
 @dataclass
 class Bundle:
     """The fitted pipeline with what is needed to score: name, threshold,
-    feature columns and target (O-06)."""
+    feature columns, target and the value thresholds that the features were
+    derived with (O-06)."""
     name: str
     model: PipelineModel
     threshold: float = S.DEFAULT_THRESHOLD
     features: list = field(default_factory=list)
     target: str = S.TARGET
+    value_thresholds: dict | None = None
 
     def meta(self) -> dict:
         return {"model_name": self.name, "selected_threshold": self.threshold,
-                "model_features": self.features, "target_column": self.target}
+                "model_features": self.features, "target_column": self.target,
+                "value_thresholds": self.value_thresholds}
 
 
 def model_feature_columns(groups: dict | None = None) -> list[str]:
@@ -122,7 +125,7 @@ def load_bundle(spark: SparkSession, path: str) -> Bundle:
     model = PipelineModel.load(f"{path}/model")
     meta = json.loads(spark.read.json(f"{path}/meta").first()["meta"])
     return Bundle(meta["model_name"], model, meta["selected_threshold"], meta["model_features"],
-                  meta["target_column"])
+                  meta["target_column"], meta.get("value_thresholds"))
 
 
 def classifier_of(bundle: Bundle):

@@ -29,7 +29,7 @@ from ..operators import profile as PR
 from ..operators import quality as Q
 from ..operators import segments as SG
 from ..session import ensure_checkpoint_dir
-from ..sources.bookings import bookings
+from ..sources.bookings import bookings, write_bookings
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -105,6 +105,7 @@ def training_flow(clean: DataFrame, kinds=("logistic", "forest", "boosted"), lab
     best = bundles[best_name]
     sweep = EV.threshold_sweep(MD.score_bundle(valid, best), y=label)
     best.threshold = float(EV.best_threshold(sweep).first()["threshold"])
+    best.value_thresholds = thresholds
     scored = DC.add_risk_columns(MD.score_bundle(test, best), best.threshold)
     profile = DC.segment_profile(scored, y=label)
     reports = {"segment_risk": DC.segment_risk_all(profile),
@@ -115,12 +116,24 @@ def training_flow(clean: DataFrame, kinds=("logistic", "forest", "boosted"), lab
     return TrainingResult(best, comparison, sweep, scored, reports)
 
 
-def scoring_flow(df: DataFrame, bundle: MD.Bundle, thresholds: dict) -> tuple[DataFrame, dict]:
-    """Entry 3: score a batch of raw bookings (one narrow stage until the
-    dashboard aggregates), with tiers, revenue at risk and advice."""
-    Q.require_columns(df, S.REQUIRED_COLUMNS)
-    feats = FE.derive_features(df, thresholds)
+def scoring_flow(df: DataFrame, bundle: MD.Bundle, thresholds: dict | None = None,
+                 out: str | None = None) -> tuple[DataFrame, dict]:
+    """Entry 3: score a batch (one narrow stage until the dashboard aggregates),
+    with tiers, revenue at risk and advice. The batch holds raw bookings or
+    already derived features; it needs neither the outcome nor a key. Features
+    are derived with ``thresholds``, by default those kept in the bundle; ``out``
+    is a folder for the scored rows as CSV."""
+    if Q.missing_columns(df, bundle.features):
+        Q.require_columns(df, S.SCORING_COLUMNS)
+        limits = thresholds if thresholds is not None else bundle.value_thresholds
+        if limits is None:
+            raise ValueError("the bundle keeps no value thresholds: pass those of the training data")
+        feats = FE.derive_features(df, limits)
+    else:
+        feats = df
     scored = DC.add_risk_columns(MD.score_bundle(feats, bundle), bundle.threshold)
+    if out:
+        write_bookings(scored, out, fmt="csv")
     advice = DC.review(scored, bundle.threshold)
     dash = DC.dashboard_by_segment(scored)
     return scored, {"tiers": DC.tier_counts(scored), "totals": DC.dashboard_totals(scored),

@@ -95,6 +95,15 @@ REQUIRED_COLUMNS = [
     "arrival_date_month",
 ]
 
+# Raw columns that the model's features are derived from.
+SCORING_COLUMNS = [
+    "hotel", "lead_time", "arrival_date_month", "stays_in_weekend_nights", "stays_in_week_nights",
+    "market_segment", "distribution_channel", "is_repeated_guest", "previous_cancellations",
+    "previous_bookings_not_canceled", "reserved_room_type", "assigned_room_type", "booking_changes",
+    "deposit_type", "days_in_waiting_list", "customer_type", "adr", "required_car_parking_spaces",
+    "total_of_special_requests",
+]
+
 NUMERIC_FEATURES = [
     "lead_time", "adr", "total_nights", "estimated_booking_value", "total_of_special_requests",
     "booking_changes", "previous_cancellations", "previous_bookings_not_canceled",
