@@ -602,10 +602,10 @@ _ACTIONS = "CASE " + " ".join(
     for k, v in S.RECOMMENDED_ACTIONS.items() if k != "Low Risk") + " ELSE [" + ", ".join(
     "'" + a + "'" for a in S.RECOMMENDED_ACTIONS["Low Risk"]) + "] END"
 _SUMMARY = """'This booking is classified as **' || risk_category || '** with an estimated cancellation probability of **'
- || format('{:,.1f}', predicted_cancellation_probability * 100) || '%' || '**. The booking belongs to **'
+ || format('{:,.1f}', predicted_cancellation_probability * 100) || '%' || '**.' || chr(10) || chr(10) || 'The booking belongs to **'
  || coalesce(hotel, 'this hotel') || '**, comes through the **' || coalesce(market_segment, 'unknown segment')
  || '** segment, and is associated with the **' || coalesce(customer_type, 'unknown customer type')
- || '** customer type. Based on the model output, this booking should be reviewed as part of the hotel''s cancellation-risk monitoring process.'"""
+ || '** customer type.' || chr(10) || chr(10) || 'Based on the model output, this booking should be reviewed as part of the hotel''s cancellation-risk monitoring process.'"""
 register("risk_drivers", SCB + f"SELECT booking_id, {_DRIVERS} AS risk_drivers FROM scored")(
     lambda s, d: (lambda sc: sc.select(S.BOOKING_ID, DC.risk_drivers(sc).alias("risk_drivers")))(scored_test(s, d)))
 register("recommended_actions", SCB + f"SELECT booking_id, risk_category, {_ACTIONS} AS recommended_actions FROM scored")(

@@ -76,8 +76,8 @@ SUMMARY_DEFAULTS = {"hotel": "this hotel", "market_segment": "unknown segment",
                     "customer_type": "unknown customer type"}
 SUMMARY_TEMPLATE = (
     "This booking is classified as **{risk}** with an estimated cancellation probability of "
-    "**{pct}**. The booking belongs to **{hotel}**, comes through the **{segment}** segment, "
-    "and is associated with the **{customer}** customer type. Based on the model output, this "
+    "**{pct}**.\n\nThe booking belongs to **{hotel}**, comes through the **{segment}** segment, "
+    "and is associated with the **{customer}** customer type.\n\nBased on the model output, this "
     "booking should be reviewed as part of the hotel's cancellation-risk monitoring process."
 )
 TOP_SEGMENT_TEMPLATE = (
