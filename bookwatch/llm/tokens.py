@@ -3,7 +3,8 @@
 Both public vocabularies cut a text into pieces and merge inside a piece only,
 so the ids of a text are those of its pieces, joined. A text is cut into pieces
 by the vocabulary's pattern, and each piece not seen before goes to the
-library's merge model. Where a text has characters beyond Latin-1, whose classes
+library's merge model. Where white space always separates pieces, the memory
+holds the ids of whole chunks between it, so a text is only split there. Where a text has characters beyond Latin-1, whose classes
 or normal forms could depend on a Unicode version, it is first cut at white
 space and the chunks that hold such characters are encoded whole by the
 library. The memory is bounded and shared by the tasks of one worker process.
@@ -14,6 +15,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 
@@ -48,6 +50,23 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class Memory(dict):
+    """Ids by unit of text, worked out when first asked for. Forgotten when
+    full; long units are not kept."""
+
+    def __init__(self, work_out: Callable[[str], bytes]):
+        super().__init__()
+        self.work_out = work_out
+
+    def __missing__(self, unit: str) -> bytes:
+        found = self.work_out(unit)
+        if len(unit) <= KEEP_CHARS:
+            if len(self) >= KEEP:
+                self.clear()
+            self[unit] = found
+        return found
+
+
 class Ids:
     """``of(text)``: its ids as bytes, little-endian unsigned of ``width`` bytes."""
 
@@ -62,8 +81,9 @@ class Ids:
             if t.get_vocab_size() > 1 << 8 * width:
                 raise ValueError(f"ids of {path} do not fit {width} bytes")
             mine[key] = (t, t.model.tokenize, re.compile(CHUNKS[kind]).findall,
-                         re.compile(PIECES[kind]).findall, byte_letters(), {})
-        self.library, self.merge, self.chunks, self.pieces, self.letters, self.known = mine[key]
+                         re.compile(PIECES[kind]).findall, byte_letters(), Memory(self.piece), Memory(self.chunk))
+        (self.library, self.merge, self.chunks, self.pieces, self.letters,
+         self.known, self.known_chunks) = mine[key]
         self.code = {1: "B", 2: "H", 4: "I"}[width]
         self.dtype = np.dtype(f"<u{width}")
         self.lower = kind == "word"
@@ -75,25 +95,20 @@ class Ids:
         shown = piece.encode().decode("latin-1").translate(self.letters)
         return array(self.code, [t.id for t in self.merge(shown)]).tobytes()
 
+    def chunk(self, chunk: str) -> bytes:
+        pieces = self.pieces(chunk)
+        return self.piece(chunk) if len(pieces) == 1 else self.parts(pieces)
+
     def parts(self, pieces: list[str]) -> bytes:
-        known = self.known
-        out = list(map(known.get, pieces))
-        if None in out:
-            for k, p in enumerate(pieces):
-                if out[k] is None:
-                    b = known.get(p) or self.piece(p)
-                    out[k] = b
-                    if len(p) <= KEEP_CHARS:
-                        if len(known) >= KEEP:
-                            known.clear()
-                        known[p] = b
-        return b"".join(out)
+        return b"".join(map(self.known.__getitem__, pieces))
 
     def of(self, text: str | None) -> bytes:
         if not text:
             return b""
         if not UNSURE.search(text):
-            return self.parts(self.pieces(text.lower() if self.lower else text))
+            if self.lower:  # split() knows no white space here but the pattern's
+                return b"".join(map(self.known_chunks.__getitem__, text.lower().split()))
+            return self.parts(self.pieces(text))
         if ODD_SPACE.search(text):
             return self.whole(text)
         sure = UNSURE.search
