@@ -96,6 +96,10 @@ class Ids:
         return array(self.code, [t.id for t in self.merge(shown)]).tobytes()
 
     def chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk that the caller remembers: a single piece is not kept
+        here as well."""
+        if UNSURE.search(chunk):
+            return self.of(chunk)
         pieces = self.pieces(chunk)
         return self.piece(chunk) if len(pieces) == 1 else self.parts(pieces)
 
