@@ -92,7 +92,10 @@ class Ids:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def piece(self, piece: str) -> bytes:
-        shown = piece.encode().decode("latin-1").translate(self.letters)
+        if piece.isascii() and piece.isprintable():  # all but the space stand for themselves
+            shown = piece.replace(" ", self.letters[32])
+        else:
+            shown = piece.encode().decode("latin-1").translate(self.letters)
         return array(self.code, [t.id for t in self.merge(shown)]).tobytes()
 
     def chunk(self, chunk: str) -> bytes:
