@@ -94,7 +94,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unit_dedup.report(table(spark, sf_dir, "documents"))
+    return unit_dedup.report(table(spark, sf_dir, "documents"), "all")
 
 
 @query

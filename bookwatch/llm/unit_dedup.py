@@ -1,13 +1,24 @@
-"""Duplicate lines or paragraphs across documents.
+"""Duplicate lines, paragraphs or passages across documents.
 
 A text is cut into units (lines, or paragraphs between blank lines). A unit of
 ``min_words`` words or more is normalised (lower case, single spaces) and
-digested to 128 bits; of all units with the same digest the one with the
+digested to 96 bits; of all units with the same digest the one with the
 smallest (doc_id, start) stays and the others are removed. Offsets are code
 points of the original text.
 
-Digests are counted with map-side sums, and only repeated ones are joined back
-to their occurrences, an equi-join whose hot keys adaptive execution splits.
+Passages are units whose borders depend on content alone: a border stands before
+a word where the hash of the word and the next is the smallest within ``REACH``
+places to both sides. A unit runs from each border to the first border at least
+``PASSAGE`` words on, so units overlap, line breaks do not matter, and the inside
+of a repeated passage gives equal digests wherever it stands. Its first and last
+few words, up to the outermost borders inside it, are not found. Kind ``all`` is
+lines and passages together; spans that overlap are reported as one.
+
+The first 64 bits of the digests are counted with map-side sums, and repeated
+ones set a bit in a table of bounded size that travels to the tasks. Units whose
+bit is not set are unique and go no further; the others are compared on all bits
+by an equi-join, whose hot keys adaptive execution splits. The table only saves
+work: when it is full, every unit is compared.
 
 Defined results: a null or empty text has no units; rows that repeat a doc_id
 count as one document, whose equal units at the same place are one occurrence;
@@ -21,67 +32,139 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import slices, texts, written
 
 MIN_WORDS = 5
 LINES = re.compile(r"[^\n]+")
+#: Least words of a passage unit; places to both sides that a border's hash is compared with.
+PASSAGE, REACH = 30, 2
+#: Words of 64 bits in the table of repeated digests.
+SLOTS = 1 << 20
+WORDS = re.compile(r"\S+")
 PARAGRAPHS = re.compile(r"[^\n]+(?:\n(?![^\S\n]*\n)[^\n]+)*")
 
 
+def borders(h: np.ndarray) -> np.ndarray:
+    """Places of the borders in a text of these word hashes, its ends included.
+    Equal hashes within reach all count, so that a word or two said over and
+    over have borders too."""
+    n = len(h)
+    g = h * np.uint64(0x9E3779B97F4A7C15)
+    g[:-1] += h[1:]
+    g ^= g >> np.uint64(29)
+    g *= np.uint64(0xBF58476D1CE4E5B9)
+    wide = np.full(n + 2 * REACH, np.iinfo(np.uint64).max)
+    wide[REACH:n + REACH] = g
+    least = np.ones(n, bool)
+    for k in range(REACH):
+        least &= (g <= wide[k:n + k]) & (g <= wide[REACH + 1 + k:REACH + 1 + k + n])
+    least[0] = True
+    return np.append(np.flatnonzero(least), n)
+
+
+def passages(text: str) -> list[tuple[int, int, bytes]]:
+    """Start, end and digest of each passage unit."""
+    import xxhash
+    found = list(WORDS.finditer(text))
+    if len(found) < PASSAGE:
+        return []
+    h = np.array([xxhash.xxh3_64_intdigest(m[0].lower()) for m in found], np.uint64)
+    at = borders(h)
+    upto = np.searchsorted(at, at + PASSAGE)
+    raw, out = h.tobytes(), []
+    for i, k in zip(at.tolist(), upto.tolist()):
+        if k == len(at):
+            break
+        j = int(at[k])
+        out.append((found[i].start(), found[j - 1].end(),
+                    hashlib.blake2b(raw[8 * i:8 * j], digest_size=12, person=b"passage").digest()))
+    return out
+
+
 def cut(text: str, kind: str = "line", min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
     """Start, end and digest of each unit with enough words."""
+    if kind == "all":
+        return cut(text, "line", min_words) + passages(text)
+    if kind == "passage":
+        return passages(text)
     out = []
     for m in (LINES if kind == "line" else PARAGRAPHS).finditer(text):
         words = m[0].lower().split()
         if len(words) >= min_words:
-            out.append((m.start(), m.end(), hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest()))
+            out.append((m.start(), m.end(), hashlib.blake2b(" ".join(words).encode(), digest_size=12).digest()))
     return out
 
 
 def units(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per unit, and one per document with a null digest and the number
-    of its units in ``end``."""
+    """One row per unit, and one per document with the start -1 and the number
+    of its units in ``end``. ``k`` and ``v`` are the digest."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for doc, text in zip(b.doc_id, b.text):
-                found = cut(text or "", kind, min_words)
-                out.append((doc, 0, len(found), None))
-                out += [(doc, *u) for u in found]
-            yield pd.DataFrame(out, columns=["doc_id", "start", "end", "digest"])
+            for part in slices(b.text.str.len().fillna(0).astype(int), 1_000_000):
+                found = [cut(t or "", kind, min_words) for t in b.text.iloc[part]]
+                ids, n = b.doc_id.iloc[part].reset_index(drop=True), np.array([len(f) for f in found])
+                yield pd.DataFrame({"doc_id": ids, "start": -1, "end": n, "k": 0, "v": 0})
+                if n.sum():
+                    start, end, digest = zip(*(u for f in found for u in f))
+                    key = np.frombuffer(b"".join(digest), [("k", "<i8"), ("v", "<i4")])
+                    yield pd.DataFrame({"doc_id": ids.repeat(n).reset_index(drop=True), "start": start, "end": end,
+                                        "k": key["k"], "v": key["v"]})
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return texts(docs).mapInPandas(rows, f"doc_id {id_type}, start long, end long, digest binary")
+    return texts(docs).mapInPandas(rows, f"doc_id {id_type}, start int, end int, k long, v int")
 
 
 def duplicates(found: DataFrame) -> DataFrame:
     """``doc_id, start, end`` of the units to remove."""
-    u = found.where("digest is not null")
-    first = (u.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"))
-             .where("n > 1"))
+    slot, bit = F.pmod("k", F.lit(SLOTS)).cast("int").alias("slot"), "cast(pmod(shiftright(k, 20), 64) as int)"
+    u = found.where("start >= 0")
+    repeated = u.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select(slot, F.expr(bit).alias("bit"))
+    table = repeated.groupBy("slot").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    u = (u.select("*", slot).join(F.broadcast(table), "slot").where(f"getbit(bits, {bit}) = 1")
+         .select("k", "v", "doc_id", "start", "end"))
+    first = (u.groupBy("k", "v").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"))
+             .where("n > 1").drop("n"))
     at = F.struct("doc_id", "start")
-    return u.join(first, "digest").where(~at.eqNullSafe(F.col("first"))).select("doc_id", "start", "end").distinct()
+    return u.join(first, ["k", "v"]).where(~at.eqNullSafe(F.col("first"))).select("doc_id", "start", "end").distinct()
 
 
 def report(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
     """Per document the number of units, of removed ones and of their
     characters, and the removed spans in order."""
     found = written(units(docs, kind, min_words), "units")
-    heads = found.where("digest is null").groupBy("doc_id").agg(F.max("end").alias("n_units"))
+    heads = found.where("start < 0").groupBy("doc_id").agg(F.max("end").cast("long").alias("n_units"))
     gone = duplicates(found).groupBy("doc_id").agg(
-        F.count("*").alias("n_removed"), F.sum(F.col("end") - F.col("start")).alias("removed_chars"),
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("at"))
-    out = heads.alias("h").join(gone.alias("g"), F.col("h.doc_id").eqNullSafe(F.col("g.doc_id")), "left")
-    return out.select(
-        "h.doc_id", "n_units", F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
-        F.coalesce("removed_chars", F.lit(0)).alias("removed_chars"),
-        F.coalesce(F.array_join(F.transform("at", lambda x: F.concat_ws(":", x["start"], x["end"])), ","),
-                   F.lit("")).alias("spans"))
+    out = heads.alias("h").join(gone.alias("g"), F.col("h.doc_id").eqNullSafe(F.col("g.doc_id")), "left").select(
+        "h.doc_id", "n_units", F.coalesce(F.size("at"), F.lit(0)).cast("long").alias("n_removed"),
+        F.col("at.start").alias("lo"), F.col("at.end").alias("hi"))
+
+    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            spans = [union(lo, hi) if n else [] for n, lo, hi in zip(b.n_removed, b.lo, b.hi)]
+            yield b[["doc_id", "n_units", "n_removed"]].assign(
+                removed_chars=[sum(z - a for a, z in s) for s in spans],
+                spans=[",".join(f"{a}:{z}" for a, z in s) for s in spans])
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return out.mapInPandas(merged, f"doc_id {id_type}, n_units long, n_removed long, removed_chars long, spans string")
+
+
+def union(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
+    """Sorted spans, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, z in zip(lo.tolist(), hi.tolist()):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(z, out[-1][1]))
+        else:
+            out.append((a, z))
+    return out
 
 
 def remove(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
@@ -97,7 +180,8 @@ def remove(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS) -> D
                 if text is not None:
                     for part in reversed(at.split(",") if at else []):
                         lo, hi = map(int, part.split(":"))
-                        text = text[:lo] + text[hi + (text[hi:hi + 1] == "\n"):]
+                        whole = lo == 0 or text[lo - 1] == "\n"
+                        text = text[:lo] + text[hi + (whole and text[hi:hi + 1] == "\n"):]
                 clean.append(text)
             yield b.assign(text=clean)
 

@@ -357,6 +357,25 @@ def test_unit_dedup(spark, docs, plain, edge, empty):
         1: "a b c d e f\nkeep", 2: "x\ny", 3: None}
 
 
+def test_passage_dedup(spark):
+    rng = np.random.default_rng(5)
+    new = lambda n: [f"w{i}" for i in rng.integers(0, 10**9, n)]
+    copied, run = new(50), ["so"] * 60
+    rows = [(1, " ".join(new(40) + copied + new(30))),
+            (2, " ".join(new(23) + copied[:21]) + "\n " + " ".join(w.upper() for w in copied[21:]) + " " + " ".join(new(11))),
+            (3, " ".join(new(70) + run + new(9))), (4, " ".join(new(31) + run[:52] + new(8)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["n_removed"] for r in unit_dedup.report(df).collect()} == {0}
+    got = {r["doc_id"]: [tuple(map(int, p.split(":"))) for p in r["spans"].split(",") if p]
+           for r in unit_dedup.report(df, "all").collect()}
+    text = dict(rows)
+    gone = {d: " ".join(text[d][a:z] for a, z in s).lower().split() for d, s in got.items()}
+    assert gone[1] == [] and 38 <= len(gone[2]) <= 50 and " ".join(gone[2]) in " ".join(copied)
+    assert set(gone[3]) == set(gone[4]) == {"so"} and len(gone[4]) >= 46
+    clean = {r["doc_id"]: r["text"] for r in unit_dedup.remove(df, "all").collect()}
+    assert clean[1] == text[1] and all(len(clean[d]) == len(text[d]) - sum(z - a for a, z in got[d]) for d in text)
+
+
 # toxicity
 
 def test_toxicity(spark, edge, empty):
