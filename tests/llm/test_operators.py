@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from bookwatch.llm import (attention_lm, bin_completion, ftrl, hdc_langid, line_rules, postings, rans, secret_scan,
                            setsketch, unit_dedup)
+from bookwatch.llm.common import components
 from bookwatch.llm.queries import tokenizer
 
 from ..conftest import SF_SMALL
@@ -104,6 +105,15 @@ def test_near_duplicates_across_components_of_a_band(spark):
     assert {tuple(r) for r in setsketch.link(df).collect()} == brute_components(rows)
 
 
+def test_components_of_single_chains(spark):
+    # one chain at a time: others would force the rounds that it needs
+    rng = np.random.default_rng(3)
+    chains = [[1, 4, 3, 5, 2]] + [(rng.permutation(n) + 1).tolist() for n in range(6, 13)]
+    for c in chains:
+        edges = spark.createDataFrame(list(zip(c, c[1:])), "a long, b long")
+        assert sorted(tuple(r) for r in components(edges).collect()) == [(i, 1) for i in sorted(c)], c
+
+
 def test_sketch_estimates_similarity_and_merges():
     rng = np.random.default_rng(1)
     u = rng.integers(0, 1 << 63, 2000, dtype=np.uint64)
