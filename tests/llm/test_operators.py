@@ -273,6 +273,13 @@ def test_lm_windows_and_gradient():
         assert (up - down) / 2e-2 == pytest.approx(g[i], rel=0.1, abs=1e-3)
 
 
+def test_lm_learns_from_every_window_once():
+    lengths = np.arange(1, 130)
+    doc, first = attention_lm.windows(lengths)
+    rounds = [attention_lm.in_round(doc * 3 + 1, first, k) for k in range(attention_lm.ROUNDS)]
+    assert (np.sum(rounds, axis=0) == 1).all()
+
+
 def test_lm_edges(edge, empty):
     rows = attention_lm.lm_scores(edge, tokenizer(BYTE)).collect()
     assert len(rows) == len(EDGE) and {r["n_tokens"] for r in rows if r["doc_id"] in (2, 3)} == {1}
