@@ -45,9 +45,6 @@ BK = O.with_ctes(O.BOOKINGS)
 ED = O.EDA_BASE
 FT = O.BASE
 
-NUMERIC_EDA = ["lead_time", "adr", "stays_in_weekend_nights", "stays_in_week_nights", "adults",
-               "children", "babies", "previous_cancellations", "booking_changes",
-               "days_in_waiting_list", "total_of_special_requests"]
 CATEGORICAL_EDA = ["hotel", "meal", "market_segment", "distribution_channel", "reserved_room_type",
                    "assigned_room_type", "deposit_type", "customer_type", "arrival_date_month"]
 BALANCE_COLS = ["hotel", "market_segment", "deposit_type", "customer_type", "arrival_date_month"]
@@ -137,15 +134,15 @@ register("check_close", ED + """SELECT
 
 # --------------------------------------------------------------------------- profiling
 register("describe", BK + _unpivot_sql(
-    NUMERIC_EDA,
+    HIST_COLS,
     "SELECT '{c}' AS column_name, count({c}) AS count, round(avg({c}), 6) AS mean, "
     "round(stddev_samp({c}), 6) AS std, CAST(min({c}) AS DOUBLE) AS min, "
     "round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50, "
     "round(quantile_cont({c}, 0.75), 6) AS p75, CAST(max({c}) AS DOUBLE) AS max FROM bookings"))(
-    lambda s, d: PR.describe(bookings(s, d), NUMERIC_EDA))
+    lambda s, d: PR.describe(bookings(s, d), HIST_COLS))
 
 register("describe_all", BK + _unpivot_sql(
-    NUMERIC_EDA,
+    HIST_COLS,
     "SELECT '{c}' AS column_name, count({c}) AS count, CAST(NULL AS BIGINT) AS unique, "
     "CAST(NULL AS VARCHAR) AS top, CAST(NULL AS BIGINT) AS freq, round(avg({c}), 6) AS mean, "
     "round(stddev_samp({c}), 6) AS std, CAST(min({c}) AS DOUBLE) AS min, "
@@ -155,7 +152,7 @@ register("describe_all", BK + _unpivot_sql(
     CATEGORICAL_EDA,
     "SELECT '{c}', CAST(sum(n) AS BIGINT), count(*), arg_max(v, [n, -rk]), max(n), NULL, NULL, NULL, NULL, NULL, NULL, NULL "
     "FROM (SELECT {c} AS v, count(*) AS n, rank() OVER (ORDER BY {c}) AS rk FROM bookings WHERE {c} IS NOT NULL GROUP BY {c})"))(
-    lambda s, d: PR.describe_all(bookings(s, d), NUMERIC_EDA, CATEGORICAL_EDA))
+    lambda s, d: PR.describe_all(bookings(s, d), HIST_COLS, CATEGORICAL_EDA))
 
 register("value_counts", BK + """SELECT market_segment, count(*) AS count FROM bookings
  WHERE market_segment IS NOT NULL GROUP BY market_segment""")(
