@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def exclusive_running_sums(df: DataFrame, keys: Sequence[str], block: Sequence[str],
                            within: Sequence[str], values: dict[str, Column]) -> DataFrame:
@@ -60,42 +62,79 @@ def exclusive_running_sums(df: DataFrame, keys: Sequence[str], block: Sequence[s
     return out.drop("__blk", "__key", *tmp.values(), *[tmp[n] + "_off" for n in values])
 
 
-def global_running_sums(df: DataFrame, order_col: str, values: Sequence[str],
-                        n_blocks: int = 64, descending: bool = False,
-                        inclusive: bool = True) -> DataFrame:
-    """Running sums of ``values`` over the whole frame ordered by ``order_col``.
+#: Rows of a range block, about, and blocks of a group of the second level.
+BLOCK_ROWS, GROUP_BLOCKS = 65_536, 1024
+#: Blocks up to which their offsets are sent to all tasks.
+FEW_BLOCKS = 10_000
 
-    An unpartitioned window would run in one task. Instead the order column is
-    cut into ``n_blocks`` ranges at approximate quantiles (one aggregate, the
-    only thing brought to the driver is ``n_blocks`` boundaries), block totals
-    are prefix-summed over at most ``n_blocks`` rows, and the row-level window
-    runs per block. ``order_col`` values must be unique (pre-aggregate ties).
-    Adds ``cum_<v>`` and the grand total ``total_<v>`` for each value column.
-    """
-    values = list(values)
-    probs = [i / n_blocks for i in range(1, n_blocks)]
-    edges_row = df.agg(F.percentile_approx(order_col, probs, 10000).alias("e")).first()
-    edges = sorted(set(float(x) for x in (edges_row["e"] or []) if x is not None))
-    # block id = number of edges strictly below the value; monotone in order_col
-    blk = F.lit(0)
-    if edges:
-        edge_arr = F.array(*[F.lit(e) for e in edges])
-        blk = F.size(F.filter(edge_arr, lambda e: e < F.col(order_col)))
-    staged = df.withColumn("__blk", blk)
-    if descending:
-        staged = staged.withColumn("__blk", F.lit(len(edges)) - F.col("__blk"))
-    order = F.col(order_col).desc() if descending else F.col(order_col).asc()
 
-    tot = staged.groupBy("__blk").agg(*[F.sum(v).alias(v + "__t") for v in values])
-    w_tot = Window.orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
-    w_all = Window.orderBy("__blk").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # at most n_blocks rows: the single-partition windows here are bounded;
-    # grand totals ride along so callers need no extra aggregate or join
-    off = F.broadcast(tot.select("__blk", *[
-        F.coalesce(F.sum(v + "__t").over(w_tot), F.lit(0)).alias(v + "__o") for v in values],
-        *[F.sum(v + "__t").over(w_all).alias("total_" + v) for v in values]))
-    end = 0 if inclusive else -1
-    w = Window.partitionBy("__blk").orderBy(order).rowsBetween(Window.unboundedPreceding, end)
-    out = staged.join(off, "__blk").withColumns({
+class RangeBlocks:
+    """``df``, evaluated once and written, cut along ``order`` into blocks of
+    about ``rows`` rows: as many blocks as the row count asks for.
+
+    ``order`` holds column expressions that tell all rows apart (aggregate ties
+    first). The number of a row's block is in ``__blk``, ascending along
+    ``order``. Borders come from a sample that Spark takes of the written table;
+    they decide where a row is summed, not what comes out."""
+
+    def __init__(self, df: DataFrame, order: Sequence[Column], rows: int = BLOCK_ROWS, least: int = 1):
+        src = written(df, "scan")
+        self.rows = src.count()
+        self.blocks = max(least, -(-self.rows // rows))
+        if self.blocks == 1:
+            self.placed = src.withColumn("__blk", F.lit(0))
+        else:
+            self.placed = written(src.repartitionByRange(self.blocks, *order)
+                                  .withColumn("__blk", F.spark_partition_id()), "scan")
+
+    def offsets(self, values: Sequence[str], keys: Sequence[str] = (),
+                group: int = GROUP_BLOCKS) -> DataFrame:
+        """``__blk``, the keys, and for each value its sum in the block
+        (``<v>__t``), over the key's earlier blocks (``<v>__o``) and over the whole
+        key (``total_<v>``). Two levels: blocks are summed within groups of
+        ``group`` blocks, groups among each other, so that no window holds more
+        than a group of blocks or the table of groups of a key."""
+        values, keys = list(values), list(keys)
+        tot = self.placed.groupBy("__blk", *keys).agg(*[F.sum(v).alias(v + "__t") for v in values])
+        tot = tot.withColumn("__grp", F.floor(F.col("__blk") / group).cast("int"))
+        before = Window.partitionBy(*keys).orderBy("__grp").rowsBetween(Window.unboundedPreceding, -1)
+        within = Window.partitionBy(*keys, "__grp").orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+
+        def earlier(col: str, window) -> Column:
+            return F.coalesce(F.sum(col).over(window), F.lit(0))
+
+        groups = (tot.groupBy("__grp", *keys).agg(*[F.sum(v + "__t").alias(v + "__g") for v in values])
+                  .select("__grp", *keys, *[earlier(v + "__g", before).alias(v + "__b") for v in values],
+                          *[F.sum(v + "__g").over(Window.partitionBy(*keys)).alias("total_" + v) for v in values]))
+        return tot.join(groups, ["__grp", *keys]).select(
+            "__blk", *keys, *[v + "__t" for v in values], *["total_" + v for v in values],
+            *[(F.col(v + "__b") + earlier(v + "__t", within)).alias(v + "__o") for v in values])
+
+    def sent(self, offsets: DataFrame) -> DataFrame:
+        return F.broadcast(offsets) if self.blocks <= FEW_BLOCKS else offsets
+
+
+def running_sums(df: DataFrame, order: Sequence[Column], values: Sequence[str], keys: Sequence[str] = (),
+                 inclusive: bool = True, rows: int = BLOCK_ROWS, least: int = 1) -> DataFrame:
+    """``df`` with ``cum_<v>``, the running sum of each value along ``order`` within
+    its keys, and ``total_<v>``, its sum over the keys. ``order`` begins with the
+    keys and tells all rows apart; keys are not null.
+
+    ``df`` is evaluated once; the rest works on written range blocks, and each
+    row-level window holds one block, however many rows share a key."""
+    values, keys = list(values), list(keys)
+    blocks = RangeBlocks(df, order, rows, least)
+    off = blocks.sent(blocks.offsets(values, keys).drop(*[v + "__t" for v in values]))
+    w = (Window.partitionBy("__blk", *keys).orderBy(*order)
+         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+    out = blocks.placed.join(off, ["__blk", *keys]).withColumns({
         "cum_" + v: F.col(v + "__o") + F.coalesce(F.sum(v).over(w), F.lit(0)) for v in values})
     return out.drop("__blk", *[v + "__o" for v in values])
+
+
+def global_running_sums(df: DataFrame, order_col: str, values: Sequence[str], n_blocks: int = 1,
+                        descending: bool = False, inclusive: bool = True) -> DataFrame:
+    """``running_sums`` over the whole frame along one column whose values are
+    unique, in ``n_blocks`` blocks at least."""
+    order = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    return running_sums(df, [order], values, inclusive=inclusive, least=n_blocks)

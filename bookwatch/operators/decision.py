@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import columns as C
+from ..sources.keyed import lookup
 
 
 def risk_tier(p: str = S.PROBABILITY, threshold: float = S.DEFAULT_THRESHOLD) -> Column:
@@ -196,8 +197,10 @@ def review(scored: DataFrame, threshold: float = S.DEFAULT_THRESHOLD) -> DataFra
 
 
 def review_booking(scored: DataFrame, booking_id, threshold: float = S.DEFAULT_THRESHOLD) -> DataFrame:
-    """O-84: look one booking up by key (a pushed-down filter) and review it."""
-    return review(scored.where(F.col(S.BOOKING_ID) == F.lit(booking_id)), threshold)
+    """O-84: look one booking up in a scored table written by
+    ``sources.keyed.write_keyed`` and review it. The key selects the folder and is
+    pushed down to the scan; no other row is read or scored."""
+    return review(lookup(scored, S.BOOKING_ID, booking_id), threshold)
 
 
 def review_sample(scored: DataFrame, n: int = 500, seed: int = 42, position: int = 0,

@@ -2,8 +2,12 @@
 
 All metrics are SQL aggregates over the scored frame. Curves and the AUC
 first reduce rows to one row per distinct score (map-side combined), and the
-running sums over the score order use range blocks
-(:func:`global_running_sums`), so no step sorts all rows in one task."""
+running sums over the score order use range blocks of the written counts
+(:func:`running_sums`), so the scored frame is evaluated once and no step sorts
+all rows in one task.
+
+A null or NaN score is no score: it never predicts 1, is no threshold, and has
+no part in the AUC. Rows without an outcome are left out."""
 
 from __future__ import annotations
 
@@ -14,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.columns import reaches
-from ..functions.prefix import global_running_sums
+from ..functions.prefix import running_sums
 
 METRIC_DIGITS = 6
 
@@ -74,25 +78,24 @@ def binary_metrics(df: DataFrame, y: str = S.TARGET, yhat: str = S.PREDICTION,
 
 def score_counts(df: DataFrame, y: str = S.TARGET, p: str = S.PROBABILITY) -> DataFrame:
     """One row per distinct score with its positive and negative counts."""
-    return (df.where(F.col(p).isNotNull() & F.col(y).isNotNull())
-            .groupBy(F.col(p).alias("score"))
+    x = F.col(p).cast("double")
+    return (df.where(x.isNotNull() & ~F.isnan(x) & F.col(y).isNotNull())
+            .groupBy(x.alias("score"))
             .agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")))
 
 
-def roc_auc(df: DataFrame, y: str = S.TARGET, p: str = S.PROBABILITY, n_blocks: int = 64) -> DataFrame:
+def roc_auc(df: DataFrame, y: str = S.TARGET, p: str = S.PROBABILITY) -> DataFrame:
     """O-63: exact ROC-AUC with ties (Mann-Whitney): for each distinct score,
     positives x (negatives strictly below + half the tied negatives), over
     P x N."""
-    sc = score_counts(df, y, p)
-    cum = global_running_sums(sc, "score", ["neg"], n_blocks=n_blocks, inclusive=False)
+    cum = running_sums(score_counts(df, y, p), [F.col("score")], ["neg"], inclusive=False)
     num = F.sum(F.col("pos") * (F.col("cum_neg") + F.col("neg") * F.lit(0.5)))
     den = F.sum("pos") * F.sum("neg")
     return cum.agg(F.when(den > 0, num / den).alias("roc_auc"))
 
 
-def _curve(df, y, p, n_blocks):
-    sc = score_counts(df, y, p)
-    cum = global_running_sums(sc, "score", ["pos", "neg"], n_blocks=n_blocks, descending=True)
+def _curve(df, y, p):
+    cum = running_sums(score_counts(df, y, p), [F.col("score").desc()], ["pos", "neg"])
     return cum.withColumnsRenamed({"total_pos": "P", "total_neg": "N"})
 
 
@@ -103,11 +106,11 @@ def _with_end(curve: DataFrame, x: float, y: float) -> DataFrame:
     return curve.union(end).orderBy(F.desc_nulls_first("threshold"))
 
 
-def roc_curve(df: DataFrame, y: str = S.TARGET, p: str = S.PROBABILITY, n_blocks: int = 64,
+def roc_curve(df: DataFrame, y: str = S.TARGET, p: str = S.PROBABILITY,
               digits: int = METRIC_DIGITS) -> DataFrame:
     """O-65: (threshold, fpr, tpr) at every distinct score, predicting 1 for
     scores >= threshold, after the start point (0, 0) without a threshold."""
-    c = _curve(df, y, p, n_blocks)
+    c = _curve(df, y, p)
     out = c.select(F.col("score").alias("threshold"),
                    F.round(F.when(F.col("N") > 0, F.col("cum_neg") / F.col("N")), digits).alias("fpr"),
                    F.round(F.when(F.col("P") > 0, F.col("cum_pos") / F.col("P")), digits).alias("tpr"),
@@ -115,11 +118,11 @@ def roc_curve(df: DataFrame, y: str = S.TARGET, p: str = S.PROBABILITY, n_blocks
     return _with_end(out, 0.0, 0.0)
 
 
-def pr_curve(df: DataFrame, y: str = S.TARGET, p: str = S.PROBABILITY, n_blocks: int = 64,
+def pr_curve(df: DataFrame, y: str = S.TARGET, p: str = S.PROBABILITY,
              digits: int = METRIC_DIGITS) -> DataFrame:
     """O-66: (threshold, precision, recall) at every distinct score, and the end
     point of precision 1 and recall 0 without a threshold."""
-    c = _curve(df, y, p, n_blocks)
+    c = _curve(df, y, p)
     out = c.select(F.col("score").alias("threshold"),
                    F.round(F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")), digits).alias("precision"),
                    F.round(F.when(F.col("P") > 0, F.col("cum_pos") / F.col("P")), digits).alias("recall"),
@@ -153,13 +156,16 @@ def classification_report(df: DataFrame, y: str = S.TARGET, yhat: str = S.PREDIC
 def threshold_sweep(df: DataFrame, y: str = S.TARGET, p: str = S.PROBABILITY,
                     thresholds: Sequence[float] = tuple(S.THRESHOLDS), digits: int = 3) -> DataFrame:
     """O-67: accuracy / precision / recall / F1 at each threshold (rounded to
-    3 as reported). Rows are reduced to distinct scores first; each distinct
-    score row is then expanded over the fixed threshold list, so the work is
-    distinct scores x thresholds and there is one shuffle."""
-    sc = score_counts(df, y, p)
-    t = F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold")
-    hit = F.col("score") >= F.col("threshold")
-    agg = sc.select("*", t).groupBy("threshold").agg(
+    3 as reported). Rows are counted by outcome and by the number of thresholds
+    their score reaches, then those few counts are expanded over the list: one
+    shuffle of as many rows as there are thresholds for each map task."""
+    levels = sorted(set(map(float, thresholds)))
+    reached = sum((F.when(reaches(p, t), 1).otherwise(0) for t in levels), F.lit(0))
+    counts = (df.where(F.col(y).isNotNull()).groupBy(reached.alias("reached"))
+              .agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")))
+    t = F.posexplode(F.array(*[F.lit(x) for x in levels])).alias("at", "threshold")
+    hit = F.col("reached") > F.col("at")
+    agg = counts.select("*", t).groupBy("threshold").agg(
         F.sum(F.when(~hit, F.col("neg")).otherwise(0)).alias("tn"),
         F.sum(F.when(hit, F.col("neg")).otherwise(0)).alias("fp"),
         F.sum(F.when(~hit, F.col("pos")).otherwise(0)).alias("fn"),
@@ -173,22 +179,32 @@ def best_threshold(sweep: DataFrame, metric: str = "f1_score") -> DataFrame:
     return sweep.orderBy(F.desc(metric), F.asc("threshold")).limit(1)
 
 
-def model_metrics(df: DataFrame, name: str, y: str = S.TARGET, p: str = S.PROBABILITY,
-                  threshold: float = 0.5, digits: int | None = METRIC_DIGITS) -> DataFrame:
-    """Per-model metrics row: accuracy, precision, recall, F1 at ``threshold``
-    and ROC-AUC (the notebook's metrics dictionary)."""
-    # one aggregate over the per-score counts gives both the confusion counts
-    # at the threshold and the AUC (rows with a null score never predict 1)
-    sc = score_counts(df.withColumn("__p", F.coalesce(F.col(p), F.lit(float("-inf")))), y, "__p")
-    cum = global_running_sums(sc, "score", ["neg"], inclusive=False)
-    hit = F.col("score") >= F.lit(threshold)
-    agg = cum.agg(
+def metrics_by_model(df: DataFrame, scores: dict[str, Column], y: str = S.TARGET, threshold: float = 0.5,
+                     digits: int | None = METRIC_DIGITS) -> DataFrame:
+    """Accuracy, precision, recall, F1 at ``threshold`` and ROC-AUC of each named
+    score: one evaluation of ``df``, one count by (model, score), and one running
+    sum over the counts, keyed by the model, for all of them."""
+    long = df.where(F.col(y).isNotNull()).select(F.col(y).alias("__y"), F.inline(F.array(*[
+        F.struct(F.lit(n).alias("model"), F.nanvl(c.cast("double"), F.lit(None).cast("double")).alias("score"))
+        for n, c in scores.items()])))
+    counts = long.groupBy("model", "score").agg(F.count_if(F.col("__y") == 1).alias("pos"),
+                                                F.count_if(F.col("__y") == 0).alias("neg"))
+    # rows without a score come first and are taken out of the sums below
+    cum = running_sums(counts, [F.col("model"), F.col("score")], ["neg"], ["model"], inclusive=False)
+    hit = reaches("score", threshold)
+    agg = cum.groupBy("model").agg(
         F.sum(F.when(~hit, F.col("neg")).otherwise(0)).alias("tn"), F.sum(F.when(hit, F.col("neg")).otherwise(0)).alias("fp"),
         F.sum(F.when(~hit, F.col("pos")).otherwise(0)).alias("fn"), F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("tp"),
-        _auc_expr(F.col("score") > F.lit(float("-inf"))).alias("roc_auc"))
+        _auc_expr(F.col("score").isNotNull()).alias("roc_auc"))
     auc = F.round("roc_auc", digits) if digits is not None else F.col("roc_auc")
-    return agg.select(F.lit(name).alias("model"),
-                      *_metric_cols(F.col("tn"), F.col("fp"), F.col("fn"), F.col("tp"), digits), auc.alias("roc_auc"))
+    return agg.select("model", *_metric_cols(F.col("tn"), F.col("fp"), F.col("fn"), F.col("tp"), digits),
+                      auc.alias("roc_auc"))
+
+
+def model_metrics(df: DataFrame, name: str, y: str = S.TARGET, p: str = S.PROBABILITY,
+                  threshold: float = 0.5, digits: int | None = METRIC_DIGITS) -> DataFrame:
+    """The metrics row of one model (the notebook's metrics dictionary)."""
+    return metrics_by_model(df, {name: F.col(p)}, y, threshold, digits)
 
 
 def _auc_expr(valid) -> Column:
@@ -205,7 +221,7 @@ def _auc_expr(valid) -> Column:
 
 
 def compare_models(*metrics: DataFrame) -> DataFrame:
-    """O-69: stack per-model metric rows, best ROC-AUC first."""
+    """O-69: metric rows of models together, best ROC-AUC first."""
     out = metrics[0]
     for m in metrics[1:]:
         out = out.unionByName(m)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import columns as C
+from ..functions.quantiles import quantiles
 
 
 def enrich_eda(df: DataFrame, fill_invalid_adr: bool = False) -> DataFrame:
@@ -21,28 +22,13 @@ def enrich_eda(df: DataFrame, fill_invalid_adr: bool = False) -> DataFrame:
     })
 
 
-def fit_value_thresholds(df: DataFrame, q: float = 0.75, approx: bool = False) -> dict:
-    """75th percentiles (linear interpolation, nulls skipped) of ``adr`` and
-    of the booking value, in one aggregate. ``df`` is the frame the
-    thresholds are learnt from: the whole table (as the notebooks did) or the
-    training split (no leakage). ``approx`` swaps the exact percentile for
-    ``percentile_approx`` when distinct values are too many to hold."""
+def fit_value_thresholds(df: DataFrame, q: float = 0.75) -> dict:
+    """75th percentiles (exact, linear interpolation, nulls skipped) of ``adr``
+    and of the booking value. ``df`` is the frame the thresholds are learnt from:
+    the whole table (as the notebooks did) or the training split (no leakage)."""
     value = F.col("adr") * (F.col("stays_in_weekend_nights") + F.col("stays_in_week_nights"))
-    if approx:
-        aggs = [F.percentile_approx("adr", q, 100000), F.percentile_approx(value, q, 100000)]
-    else:
-        aggs = [F.percentile(F.col("adr"), F.lit(q)), F.percentile(value, F.lit(q))]
-    row = df.agg(aggs[0].alias("adr_q"), aggs[1].alias("value_q")).first()
-    return {"adr_q": row["adr_q"], "value_q": row["value_q"]}
-
-
-def value_threshold_columns(df: DataFrame, q: float = 0.75) -> dict:
-    """The thresholds of :func:`fit_value_thresholds` as scalar subqueries:
-    part of the plan, computed once when a query uses them and pruned by
-    Catalyst when it does not (no eager job)."""
-    value = F.col("adr") * (F.col("stays_in_weekend_nights") + F.col("stays_in_week_nights"))
-    return {"adr_q": df.agg(F.percentile(F.col("adr"), F.lit(q))).scalar(),
-            "value_q": df.agg(F.percentile(value, F.lit(q))).scalar()}
+    found = quantiles(df, {"adr_q": F.col("adr"), "value_q": value}, [q])
+    return {name: v[0] for name, v in found.items()}
 
 
 def derive_features(df: DataFrame, thresholds: dict | None = None) -> DataFrame:
@@ -50,10 +36,10 @@ def derive_features(df: DataFrame, thresholds: dict | None = None) -> DataFrame:
 
     ``thresholds`` comes from :func:`fit_value_thresholds` (numbers, e.g.
     fitted on a training split); when omitted they are fitted on ``df``
-    itself inside the plan (:func:`value_threshold_columns`).
+    itself, which evaluates it once more.
     """
     if thresholds is None:
-        thresholds = value_threshold_columns(df)
+        thresholds = fit_value_thresholds(df)
     base = enrich_eda(df, fill_invalid_adr=True)
     lead, adr = F.col("lead_time"), F.col("adr")
     nights = F.col("total_nights")

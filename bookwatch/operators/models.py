@@ -8,17 +8,22 @@ scores any frame with the raw feature columns."""
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions.prefix import running_sums
+from ..session import written
 from . import preprocess as PP
+from .evaluate import probability_of_class1
+from .quality import columns_of
 
 
 def logistic(label: str = S.TARGET, weight: str | None = "weight", n_train: int | None = None,
@@ -72,38 +77,63 @@ class Bundle:
                 "value_thresholds": self.value_thresholds}
 
 
-def model_feature_columns(groups: dict | None = None) -> list[str]:
-    g = groups or S.FEATURE_GROUPS
-    return [c for k in ("numeric", "nominal", "ordinal", "binary") for c in g[k]]
+#: Class weighting and estimator of each kind. The two boosted kinds are the two
+#: boosting models of the comparison, which differ in their weighting.
+KINDS = {"logistic": "balanced", "forest": "balanced", "boosted": "ratio", "boosted_balanced": "balanced"}
+
+
+def fit_bundles(train: DataFrame, kinds: Sequence[str] = tuple(KINDS), label: str = S.TARGET,
+                threshold: float = S.DEFAULT_THRESHOLD, schemes: dict | None = None,
+                params: dict[str, dict] | None = None) -> dict[str, Bundle]:
+    """Fit one preprocessor on ``train``, write the feature matrix with its weights
+    once, and fit a classifier of each kind on it. Rows without a label are left
+    out. Inputs are those of the frame's schema (``preprocess.model_groups``); the
+    label is never one. The written matrix is also persisted, because iterative
+    learners pass over it many times; a lost executor reads it again."""
+    schemes = {k: (schemes or {}).get(k) or KINDS[k] for k in kinds}
+    labelled = train.where(F.col(label).isNotNull())
+    groups = PP.model_groups(labelled, [*S.MODEL_EXCLUDE, label])
+    weighted = labelled
+    for scheme in sorted(set(schemes.values())):
+        weighted = PP.class_weights(weighted, label, weights=PP.class_weight_values(labelled, label, scheme),
+                                    name=f"weight_{scheme}")
+    pre = PP.fit_preprocessor(labelled, groups)
+    matrix = written(pre.transform(weighted).select(
+        "features", label, *[f"weight_{s}" for s in sorted(set(schemes.values()))]), "matrix").persist()
+    bundles = {}
+    for kind in kinds:
+        weight, own = f"weight_{schemes[kind]}", (params or {}).get(kind, {})
+        if kind == "logistic":
+            est = logistic(label, weight, n_train=matrix.agg(F.sum(weight)).first()[0], **own)
+        elif kind == "forest":
+            est = forest(label, weight, **own)
+        else:
+            est = boosted(label, weight, **own)
+        bundles[kind] = Bundle(kind, PipelineModel(stages=[*pre.stages, est.fit(matrix)]), threshold,
+                               PP.input_columns(groups), label)
+    matrix.unpersist()
+    return bundles
 
 
 def fit_bundle(train: DataFrame, kind: str = "boosted", label: str = S.TARGET,
-               threshold: float = S.DEFAULT_THRESHOLD, weight_scheme: str | None = None,
-               persist: bool = True, **params) -> Bundle:
-    """Fit preprocessor + classifier on ``train``. The training frame is
-    persisted (memory and disk) because iterative learners pass over it many
-    times; lineage still allows recomputation if an executor is lost."""
-    scheme = weight_scheme or ("ratio" if kind == "boosted" else "balanced")
-    weights = PP.class_weight_values(train, label, scheme)
-    train_w = PP.class_weights(train, label, weights=weights)
-    pre = PP.fit_preprocessor(train_w)
-    feats = pre.transform(train_w).select("features", label, "weight")
-    if persist:
-        feats = feats.persist()
-    if kind == "logistic":
-        n = feats.agg(F.sum("weight")).first()[0]
-        est = logistic(label, n_train=n, **params)
-    elif kind == "forest":
-        est = forest(label, **params)
-    elif kind == "boosted":
-        est = boosted(label, **params)
-    else:
-        raise ValueError(kind)
-    clf = est.fit(feats)
-    if persist:
-        feats.unpersist()
-    model = PipelineModel(stages=list(pre.stages) + [clf])
-    return Bundle(kind, model, threshold, model_feature_columns(), label)
+               threshold: float = S.DEFAULT_THRESHOLD, weight_scheme: str | None = None, **params) -> Bundle:
+    """Preprocessor and classifier of one kind."""
+    return fit_bundles(train, [kind], label, threshold, {kind: weight_scheme}, {kind: params})[kind]
+
+
+def score_all(df: DataFrame, bundles: dict[str, Bundle]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with one probability column for each bundle of one ``fit_bundles``
+    call, and the columns' names by bundle: the features are computed once."""
+    first = next(iter(bundles.values()))
+    shared = first.model.stages[:-1]
+    if any([s.uid for s in b.model.stages[:-1]] != [s.uid for s in shared] for b in bundles.values()):
+        raise ValueError("the bundles do not share a preprocessor")
+    out = PipelineModel(stages=shared).transform(df).select(*df.columns, "features")
+    names = {k: f"probability_{k}" for k in bundles}
+    for k, b in bundles.items():
+        out = b.model.stages[-1].transform(out).withColumn(names[k], vector_to_array("probability")[1]).drop(
+            "rawPrediction", "probability", "prediction")
+    return out.drop("features"), names
 
 
 def score_bundle(df: DataFrame, bundle: Bundle, threshold: float | None = None) -> DataFrame:
@@ -186,74 +216,92 @@ def linear_attribution(scored_features: DataFrame, bundle: Bundle, top: int | No
     return df.limit(top) if top else df
 
 
+def attribution(df: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """O-71 / O-72 for given linear weights of numeric columns: mean of
+    ``|w (x - mean x)|`` and the sign of the column's effect (null where the column
+    is constant or the weight 0), largest first. Nulls are left out."""
+    means = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(weights)],
+                   *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(weights)]).first()
+    one = df.agg(*[F.avg(F.abs(F.lit(float(w)) * (F.col(c) - F.lit(means[f"m{i}"])))).alias(f"a{i}")
+                   for i, (c, w) in enumerate(weights.items())])
+    rows = [F.struct(F.lit(c).alias("feature"), F.col(f"a{i}").alias("mean_abs_attribution"),
+                     F.lit(None if not means[f"v{i}"] or not w else 1.0 if w > 0 else -1.0).cast("double")
+                     .alias("direction")) for i, (c, w) in enumerate(weights.items())]
+    return one.select(F.inline(F.array(*rows))).orderBy(F.desc_nulls_last("mean_abs_attribution"), "feature")
+
+
+def penalised_gradient(matrix: DataFrame, model, label: str, weight: str) -> float:
+    """Largest absolute component of the gradient of the fitted logistic
+    objective (mean weighted log-loss plus the ridge term, none on the
+    intercept), which is 0 at its optimum."""
+    w = F.col(weight)
+    error = w * (vector_to_array("probability")[1] - F.col(label))
+    x = F.array_append(vector_to_array("features"), F.lit(1.0))
+    sums = (model.transform(matrix).select(error.alias("e"), F.posexplode(x).alias("j", "x"))
+            .groupBy("j").agg(F.sum(F.col("e") * F.col("x")).alias("g")).collect())  # one row an input
+    total = matrix.agg(F.sum(w)).first()[0]
+    coef = [*model.coefficients.toArray().tolist(), 0.0]
+    return max(abs(r["g"] / total + model.getRegParam() * coef[r["j"]]) for r in sums)
+
+
 def permutation_importance(test: DataFrame, bundle: Bundle, cols: list | None = None,
-                           label: str = S.TARGET, key: str = S.BOOKING_ID, n_buckets: int = 64,
-                           seed: int = 11) -> DataFrame:
+                           label: str = S.TARGET, key: str = S.BOOKING_ID, seed: int = 11) -> DataFrame:
     """O-71 / O-72 for any model (the tree re-aim): AUC drop when one input
     column is permuted, and the direction of its effect.
 
-    The permutation is drawn inside hash buckets of the key: within a bucket
-    rows are ranked under two independent hash orders and each row takes the
-    values of the row whose first rank equals its second rank. One self-join
-    on (bucket, rank) gives every row its partner for all columns at once;
-    buckets are near-equal by construction, so no group lands on one task.
-
-    All variants (the unpermuted row and one copy per permuted column) are
-    produced by one ``explode`` and scored by one model pass; per-feature AUCs come from one
-    aggregate over (feature, distinct score) counts with skew-safe running
-    sums, and ``direction`` (corr(x, p(x) - p(x permuted)) for numeric
-    columns) from one join on the key and one aggregate."""
-    from pyspark.sql import Window
-    from ..functions.prefix import exclusive_running_sums
-    from .evaluate import probability_of_class1
+    Rows are numbered along two independent hash orders of the key by running
+    sums over range blocks; a row takes the values of the row whose first number
+    equals its second, so one equi-join on unique numbers gives every row its
+    partner for all columns. The permutation is over the whole table and does not
+    depend on how it is cut. Rows that repeat a key are partnered like others.
+
+    The written pairs carry the score of the unpermuted row, so each variant (one
+    per column) is scored once and compared within its row; AUCs come from one
+    keyed running sum over (column, distinct score) counts, ``direction``
+    (corr(x, p(x) - p(x permuted)) for numeric columns) from one aggregate.
+    Rows without a label are left out."""
     cols = list(cols or bundle.features)
-    model_cols = [c for c in dict.fromkeys(list(bundle.features) + cols) if c in test.columns]
-    h1 = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
-    h2 = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed + 1}")))
-    b = (F.conv(F.substring(h1, 1, 6), 16, 10).cast("long") % F.lit(n_buckets)).cast("int")
-    src = test.select(key, label, *model_cols)
-    ranked = src.withColumn("__b", b) \
-        .withColumn("__r1", F.row_number().over(Window.partitionBy("__b").orderBy(h1, key))) \
-        .withColumn("__r2", F.row_number().over(Window.partitionBy("__b").orderBy(h2, key)))
-    partner = ranked.select(F.col("__b").alias("__pb"), F.col("__r1").alias("__pr"),
-                            *[F.col(c).alias(f"__p_{c}") for c in cols])
-    paired = ranked.join(partner, (F.col("__b") == F.col("__pb")) & (F.col("__r2") == F.col("__pr")))
-    # every variant reads these rows: write them once to the checkpoint folder
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(test.sparkSession)
-    paired = paired.drop("__b", "__r1", "__r2", "__pb", "__pr").checkpoint(eager=True)
-    numeric = {f.name for f in test.schema.fields if f.dataType.typeName() in
-               ("integer", "long", "double", "float", "short")}
-    base_tag = "__base__"
-
-    def variant(tag, swap):
-        x = F.col(swap).cast("double") if swap in numeric else F.lit(None).cast("double")
-        return F.struct(F.lit(tag).alias("__feature"), x.alias("__x"),
-                        *[(F.col(f"__p_{c}") if c == swap else F.col(c)).alias(c) for c in model_cols])
-    # one row per (booking, variant): the variant count is fixed (columns + 1),
-    # and the model runs once, in one stage, over all variants
-    variants = F.array(variant(base_tag, None), *[variant(c, c) for c in cols])
-    allv = paired.select(key, label, F.explode(variants).alias("__v")).select(key, label, "__v.*")
-    scored = bundle.model.transform(allv).select("__feature", key, label, "__x",
-                                                 probability_of_class1().alias("__p"))
-
-    counts = (scored.where(F.col(label).isNotNull()).groupBy("__feature", F.col("__p").alias("score"))
-              .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-              .withColumn("__sb", F.floor(F.col("score") * 4096)))
-    cum = exclusive_running_sums(counts, ["__feature"], ["__sb"], ["score"], {"cum_neg": F.col("neg")})
+    model_cols = [c for c in dict.fromkeys([*bundle.features, *cols]) if c in test.columns]
+    hashes = [F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed + k}"))) for k in (0, 1)]
+    rows = written(test.where(F.col(label).isNotNull()).select(key, label, *model_cols, F.lit(1).alias("__one"),
+                                                               F.monotonically_increasing_id().alias("__row")), "rows")
+
+    def numbered(h: Column, name: str) -> DataFrame:
+        narrow = rows.select(h.alias("__h"), "__row", "__one")
+        return running_sums(narrow, [F.col("__h"), F.col("__row")], ["__one"]).select(
+            "__row", F.col("cum___one").alias(name))
+
+    base = bundle.model.transform(rows.drop("__one")).select(
+        "__row", label, *model_cols, probability_of_class1().alias("__p0"))
+    partner = numbered(hashes[0], "__at").join(rows, "__row").select(
+        "__at", *[F.col(c).alias(f"__p_{c}") for c in cols])
+    paired = written(base.join(numbered(hashes[1], "__at"), "__row").join(partner, "__at"), "pairs")
+    numeric = set(columns_of(test, "numeric"))
+
+    def variant(c: str) -> Column:
+        x = F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")
+        return F.struct(F.lit(c).alias("__feature"), x.alias("__x"),
+                        *[(F.col(f"__p_{m}") if m == c else F.col(m)).alias(m) for m in model_cols])
+
+    # as many rows a booking as there are columns to permute; the model runs once
+    variants = paired.select(label, "__p0", F.explode(F.array(*map(variant, cols))).alias("__v"))
+    scored = bundle.model.transform(variants.select(label, "__p0", "__v.*")).select(
+        "__feature", label, "__x", "__p0", probability_of_class1().alias("__p"))
+    scored = written(scored, "variants")
+    long = scored.select("__feature", label, F.col("__p").alias("score")).union(
+        paired.select(F.lit("").alias("__feature"), label, F.col("__p0").alias("score")))
+    counts = long.groupBy("__feature", "score").agg(F.count_if(F.col(label) == 1).alias("pos"),
+                                                    F.count_if(F.col(label) == 0).alias("neg"))
+    cum = running_sums(counts, [F.col("__feature"), F.col("score")], ["neg"], ["__feature"], inclusive=False)
     auc = cum.groupBy("__feature").agg(
-        (F.sum(F.col("pos") * (F.col("cum_neg") + F.col("neg") * F.lit(0.5)))
-         / (F.sum("pos") * F.sum("neg"))).alias("auc"))
-
-    base = scored.where(F.col("__feature") == base_tag).select(key, F.col("__p").alias("__p0"))
+        F.try_divide(F.sum(F.col("pos") * (F.col("cum_neg") + F.col("neg") * F.lit(0.5))),
+                     F.sum("pos") * F.sum("neg")).alias("auc"))
     d = F.col("__p0") - F.col("__p")
-    direction = (scored.where(F.col("__feature") != base_tag).join(base, key).groupBy("__feature")
-                 .agg(F.try_divide(F.covar_samp("__x", d), F.stddev_samp("__x") * F.stddev_samp(d))
-                      .alias("direction")))
-    # one row per column plus the base row: a bounded single-partition window
-    base_auc = F.max(F.when(F.col("__feature") == base_tag, F.col("auc"))).over(Window.partitionBy(F.lit(0)))
-    out = auc.withColumn("__base_auc", base_auc).where(F.col("__feature") != base_tag) \
-             .join(direction, "__feature", "left")
+    direction = scored.groupBy("__feature").agg(
+        F.try_divide(F.covar_samp("__x", d), F.stddev_samp("__x") * F.stddev_samp(d)).alias("direction"))
+    # one row per column plus the unpermuted one: a bounded single-partition window
+    base_auc = F.max(F.when(F.col("__feature") == "", F.col("auc"))).over(Window.partitionBy(F.lit(0)))
+    out = auc.withColumn("__base_auc", base_auc).where(F.col("__feature") != "").join(direction, "__feature", "left")
     return out.select(F.col("__feature").alias("feature"),
                       (F.col("__base_auc") - F.col("auc")).alias("importance"),
                       F.col("auc").alias("permuted_auc"), "direction") \

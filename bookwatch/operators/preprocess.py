@@ -1,6 +1,6 @@
 """Preprocessing fitted on the training split and applied anywhere.
 
-Fitting is one aggregate each (exact percentiles, class counts); the fitted
+Fitting is a few jobs each (exact quantiles, class counts); the fitted
 numbers are small and become literals in a ``SQLTransformer`` statement, so
 the whole preprocessor is a saveable ``PipelineModel`` that runs JVM-side
 and narrow (no shuffle) at transform time."""
@@ -12,79 +12,90 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions.quantiles import quantiles
+from .quality import candidate_features, check_groups, columns_of
 
-N_HASH_BLOCKS_HEX = 3  # 16**3 = 4096 hash blocks for the split
+#: Hex digits by which a block of the split is refined, and the block that is small enough to list.
+DIGITS, LISTED = 3, 1000
 
 
 def _round_half_up(x: float) -> int:
     return int(math.floor(x + 0.5))
 
 
-def _hash_cols(key: str, seed: int):
-    h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
-    blk = F.conv(F.substring(h, 1, N_HASH_BLOCKS_HEX), 16, 10).cast("int")
-    return h, blk
-
-
 def split_condition(df: DataFrame, target: str = S.TARGET, key: str = S.BOOKING_ID,
                     test_frac: float = 0.2, seed: int = 42) -> Column:
-    """O-46: boolean test-set membership for an exact stratified split.
+    """O-46: test-set membership for an exact stratified split; null (neither
+    set) for a row without a target.
 
     Per class, the test set is the round(test_frac * n_class) rows with the
     smallest md5(key|seed) (ties by key): the same rows as
-    ``row_number() over (partition by class order by hash, key)``, found
-    without a per-class window over all rows. The hash prefix cuts each class
-    into 4096 near-equal blocks; block counts (one small aggregate) locate
-    the block holding the cut, and only that block is ranked to find the
-    exact cut-off. The returned expression is a narrow filter."""
-    h, blk = _hash_cols(key, seed)
-    counts = (df.where(F.col(target).isNotNull()).groupBy(F.col(target).alias("y"), blk.alias("b"))
-              .agg(F.count(F.lit(1)).alias("n")))
-    w = Window.partitionBy("y").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    # at most (#classes x 4096) rows reach the driver
-    rows = counts.withColumn("cum", F.sum("n").over(w)) \
-                 .withColumn("tot", F.sum("n").over(Window.partitionBy("y"))).collect()
-    plan = {}
-    for r in sorted(rows, key=lambda r: (r["y"], r["b"])):
-        y = r["y"]
-        k = _round_half_up(test_frac * r["tot"])
-        if y in plan or k == 0 or r["cum"] < k:
-            if k == 0:
-                plan.setdefault(y, None)
-            continue
-        plan[y] = (r["b"], k - (r["cum"] - r["n"]))  # (boundary block, rank needed inside it)
-    cuts = {y: p for y, p in plan.items() if p is not None}
-    if not cuts:
-        return F.lit(False)
-    boundary = None
-    for y, (b, _) in cuts.items():
-        c = (F.col(target) == F.lit(y)) & (blk == F.lit(b))
-        boundary = c if boundary is None else boundary | c
-    rank_w = Window.partitionBy(target).orderBy("__h", key)
-    ranked = (df.where(boundary).select(F.col(target), F.col(key), h.alias("__h"))
-              .withColumn("__rn", F.row_number().over(rank_w)))
-    need = None
-    for y, (_, k_in) in cuts.items():
-        c = (F.col(target) == F.lit(y)) & (F.col("__rn") == F.lit(k_in))
-        need = c if need is None else need | c
-    cut_rows = {r[target]: (r["__h"], r[key]) for r in ranked.where(need).collect()}
-    cond = None
-    for y, (b, _) in cuts.items():
-        hc, kc = cut_rows[y]
-        inside = (h < F.lit(hc)) | ((h == F.lit(hc)) & (F.col(key) <= F.lit(kc)))
-        c = (F.col(target) == F.lit(y)) & ((blk < F.lit(b)) | ((blk == F.lit(b)) & inside))
-        cond = c if cond is None else cond | c
-    return F.coalesce(cond, F.lit(False))
+    ``row_number() over (partition by class order by hash, key)``, found by radix
+    selection: rows are counted by the first digits of their hash, the block that
+    holds the cut is counted by the next digits, and so on until it holds at most
+    ``LISTED`` rows, whose hashes are listed. No class and no block is ranked in
+    one task, and the driver gets at most 4096 counts a class and step. Rows
+    that repeat a key stand on the same side; a row without a key is in the
+    training set. The classes are few (a table of outcomes).
+
+    The returned expression is a narrow filter with one literal cut a class."""
+    h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
+    narrow = df.where(F.col(target).isNotNull() & F.col(key).isNotNull()).select(
+        F.col(target).alias("y"), F.col(key).alias("k"), h.alias("h"))
+    sizes = {r["y"]: r["n"] for r in df.where(F.col(target).isNotNull()).groupBy(F.col(target).alias("y"))
+             .agg(F.count(F.lit(1)).alias("n")).collect()}
+    rest = {y: k for y, n in sizes.items() if (k := _round_half_up(test_frac * n)) > 0}
+    prefix, cuts, size = dict.fromkeys(rest, ""), {}, dict.fromkeys(rest)
+
+    def inside(ys) -> Column:
+        found = F.lit(False)
+        for y in ys:
+            found = found | ((F.col("y") == F.lit(y)) & F.col("h").startswith(prefix[y]))
+        return found
+
+    while open_ := [y for y in rest if y not in cuts and (size[y] is None or size[y] > LISTED) and len(prefix[y]) < 32]:
+        at = max(len(prefix[y]) for y in open_)  # all open classes are refined in step
+        counts = (narrow.where(inside(open_)).groupBy("y", F.substring("h", 1, at + DIGITS).alias("b"))
+                  .agg(F.count(F.lit(1)).alias("n")).collect())
+        by_class: dict = {y: [] for y in open_}
+        for r in counts:
+            by_class[r["y"]].append((r["b"], r["n"]))
+        for y in open_:
+            for b, n in sorted(by_class[y]):
+                if rest[y] <= n:
+                    prefix[y], size[y] = b, n
+                    break
+                rest[y] -= n
+            else:  # fewer rows with a key than the set should have: all of them
+                cuts[y] = None
+    listed = [y for y in rest if y not in cuts]
+    if listed:
+        rows = (narrow.where(inside(listed)).groupBy("y", "h", "k").agg(F.count(F.lit(1)).alias("n"))
+                .orderBy("y", "h", "k").collect())
+        for r in rows:
+            y = r["y"]
+            if y not in cuts:
+                rest[y] -= r["n"]
+                if rest[y] <= 0:
+                    cuts[y] = (r["h"], r["k"])
+    test = F.lit(False)
+    for y, cut in cuts.items():
+        below = F.col(key).isNotNull()
+        if cut is not None:
+            below = (h < F.lit(cut[0])) | ((h == F.lit(cut[0])) & (F.col(key) <= F.lit(cut[1])))
+        test = test | ((F.col(target) == F.lit(y)) & F.coalesce(below, F.lit(False)))
+    return F.when(F.col(target).isNotNull(), test)
 
 
 def assign_split(df: DataFrame, target: str = S.TARGET, key: str = S.BOOKING_ID,
                  test_frac: float = 0.2, seed: int = 42) -> DataFrame:
+    """The split as a column: ``test``, ``train``, or null without a target."""
     cond = split_condition(df, target, key, test_frac, seed)
-    return df.withColumn("split", F.when(cond, "test").otherwise("train"))
+    return df.withColumn("split", F.when(cond, "test").when(~cond, "train"))
 
 
 def stratified_split(df: DataFrame, target: str = S.TARGET, key: str = S.BOOKING_ID,
@@ -94,22 +105,9 @@ def stratified_split(df: DataFrame, target: str = S.TARGET, key: str = S.BOOKING
     return df.where(~cond), df.where(cond)
 
 
-def hash_split(df: DataFrame, key: str = S.BOOKING_ID, test_frac: float = 0.2,
-               seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Scale variant of O-46 with no counting pass: a row is in the test set
-    when its hash is below ``test_frac``. Class shares match in expectation."""
-    u = F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}"))), 1, 7),
-               16, 10).cast("long") / F.lit(268435456.0)
-    return df.where(u >= test_frac), df.where(u < test_frac)
-
-
-def fit_medians(train: DataFrame, cols: Sequence[str], approx: bool = False) -> dict:
-    """O-47: exact medians (linear interpolation, nulls skipped), one aggregate."""
-    agg = [(F.percentile_approx(F.col(c).cast("double"), 0.5, 100000) if approx
-            else F.percentile(F.col(c).cast("double"), F.lit(0.5))).alias(f"m{i}")
-           for i, c in enumerate(cols)]
-    row = train.agg(*agg).first()
-    return {c: row[f"m{i}"] for i, c in enumerate(cols)}
+def fit_medians(train: DataFrame, cols: Sequence[str]) -> dict:
+    """O-47: exact medians (linear interpolation, nulls skipped)."""
+    return {c: q[0] for c, q in quantiles(train, cols, [0.5]).items()}
 
 
 def impute(df: DataFrame, medians: dict) -> DataFrame:
@@ -117,18 +115,12 @@ def impute(df: DataFrame, medians: dict) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(m)) for c, m in medians.items()})
 
 
-def fit_robust(train: DataFrame, cols: Sequence[str], approx: bool = False) -> dict:
+def fit_robust(train: DataFrame, cols: Sequence[str]) -> dict:
     """O-48: median and inter-quartile range per column; a zero range is
     replaced by 1 (the column is only centred), so sparse count columns are
     not erased the way ``ml.feature.RobustScaler`` erases them."""
-    qs = [0.25, 0.5, 0.75]
-    agg = [(F.percentile_approx(F.col(c).cast("double"), qs, 100000) if approx
-            else F.percentile(F.col(c).cast("double"), F.array(*[F.lit(q) for q in qs]))).alias(f"q{i}")
-           for i, c in enumerate(cols)]
-    row = train.agg(*agg).first()
     out = {}
-    for i, c in enumerate(cols):
-        q25, q50, q75 = row[f"q{i}"] or (None, None, None)
+    for c, (q25, q50, q75) in quantiles(train, cols, [0.25, 0.5, 0.75]).items():
         iqr = (q75 - q25) if q25 is not None else None
         out[c] = (q50, iqr if iqr not in (None, 0.0) else 1.0)
     return out
@@ -200,8 +192,9 @@ def class_weight_values(df: DataFrame, target: str = S.TARGET, scheme: str = "ba
 
 def class_weights(df: DataFrame, target: str = S.TARGET, scheme: str = "balanced",
                   weights: dict | None = None, name: str = "weight") -> DataFrame:
+    """``df`` with its class's weight in ``name``; null without a target."""
     w = weights or class_weight_values(df, target, scheme)
-    return df.withColumn(name, F.when(F.col(target) == 1, F.lit(w[1])).otherwise(F.lit(w[0])))
+    return df.withColumn(name, F.when(F.col(target) == 1, F.lit(w[1])).when(F.col(target) == 0, F.lit(w[0])))
 
 
 # --------------------------------------------------------------------------- full preprocessor
@@ -209,11 +202,33 @@ def _sql_literal(v: float) -> str:
     return repr(float(v)) if v is not None else "CAST(NULL AS DOUBLE)"
 
 
+def model_groups(df: DataFrame, exclude: Sequence[str] = tuple(S.MODEL_EXCLUDE)) -> dict[str, list[str]]:
+    """O-10 / O-11: the model's input columns by treatment, from the schema of a
+    feature table: every candidate column (no key, target or leakage column) but
+    the excluded ones. Numbers that are no 0/1 flags are numeric. A candidate
+    that is neither a number nor of a known treatment is an error: exclude it."""
+    names = [c for c in candidate_features(df) if c not in exclude]
+    numbers = set(columns_of(df, "numeric"))
+    groups = {"numeric": [c for c in names if c in numbers and c not in S.BINARY_FEATURES],
+              "nominal": [c for c in names if c in S.NOMINAL_FEATURES],
+              "ordinal": [c for c in names if c in S.ORDINAL_FEATURES],
+              "binary": [c for c in names if c in S.BINARY_FEATURES]}
+    unused = check_groups(df.select(*names), groups)["unused"]
+    if unused:
+        raise ValueError(f"columns of no known treatment: {unused}")
+    return groups
+
+
+def input_columns(groups: dict[str, list[str]]) -> list[str]:
+    return [c for cols in groups.values() for c in cols]
+
+
 def fit_preprocessor(train: DataFrame, groups: dict | None = None) -> PipelineModel:
     """O-47..O-51 as one fitted ``PipelineModel``: impute + robust-scale the
     numeric group, one-hot the nominal group, ordinal-encode the ordinal
-    group, pass the binary group, assemble ``features`` in that order."""
-    g = groups or S.FEATURE_GROUPS
+    group, pass the binary group, assemble ``features`` in that order. The groups
+    are those of the frame's schema unless given."""
+    g = groups or model_groups(train)
     num, nom, ordn, binr = g["numeric"], g["nominal"], g["ordinal"], g["binary"]
     med = fit_medians(train, num)
     robust = fit_robust(impute(train, med), num)
@@ -238,13 +253,21 @@ def fit_preprocessor(train: DataFrame, groups: dict | None = None) -> PipelineMo
     return Pipeline(stages=[sqlt, idx, ohe, asm]).fit(train)
 
 
-def feature_names(pre: PipelineModel, groups: dict | None = None, strip_prefix: bool = True) -> list[str]:
+def fitted_groups(pre: PipelineModel) -> dict[str, list[str]]:
+    """The input columns by treatment of a fitted preprocessor, as its assembler has them."""
+    kinds = {"__num": "numeric", "__ohe": "nominal", "__ord": "ordinal", "__bin": "binary"}
+    groups: dict[str, list[str]] = {k: [] for k in kinds.values()}
+    for c in pre.stages[-1].getInputCols():
+        groups[kinds[c[-5:]]].append(c[:-5])
+    return groups
+
+
+def feature_names(pre: PipelineModel, strip_prefix: bool = True) -> list[str]:
     """O-52: transformed feature names in assembler order, e.g.
     ``numeric__lead_time``, ``nominal__hotel_City Hotel``; with
     ``strip_prefix`` the group prefix is removed."""
-    g = groups or S.FEATURE_GROUPS
-    idx_model = [s for s in pre.stages if hasattr(s, "labelsArray")][0]
-    labels = idx_model.labelsArray
+    g = fitted_groups(pre)
+    labels = [s for s in pre.stages if hasattr(s, "labelsArray")][0].labelsArray
     names = [f"numeric__{c}" for c in g["numeric"]]
     for i, c in enumerate(g["nominal"]):
         names += [f"nominal__{c}_{v}" for v in labels[i]]

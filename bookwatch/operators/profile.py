@@ -1,17 +1,20 @@
 """Profiling: summaries, value counts, top categories, histograms, density.
 
-Per-column statistics are computed in one aggregate (one scan of the data)
-and unpivoted afterwards; category counts are aggregated before they are
-ranked, so no operator sorts raw rows."""
+Values are counted by (column, value) in one scan of the data; quantiles,
+moments, ranks and densities are taken from these counts, so no operator sorts
+raw rows."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import pi
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions.prefix import running_sums
+from ..functions.quantiles import ValueCounts
 
 DESCRIBE_DIGITS = 6
 
@@ -20,23 +23,22 @@ def _rnd(c, digits=DESCRIBE_DIGITS):
     return F.round(c, digits)
 
 
-def describe(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
+def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """O-21: count, mean, std (sample), min, 25/50/75 % (linear
-    interpolation), max per numeric column; one row per column.
-
-    Unlike ``DataFrame.summary`` the quantiles are exact by default;
-    ``approx`` switches to ``percentile_approx`` for very large inputs."""
-    aggs = []
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        q = (F.percentile_approx(x, [0.25, 0.5, 0.75], 100000) if approx
-             else F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
-        aggs.append(F.struct(
-            F.lit(c).alias("column_name"), F.count(x).alias("count"), _rnd(F.avg(x)).alias("mean"),
-            _rnd(F.stddev_samp(x)).alias("std"), F.min(x).alias("min"),
-            _rnd(q[0]).alias("p25"), _rnd(q[1]).alias("p50"), _rnd(q[2]).alias("p75"),
-            F.max(x).alias("max")).alias(f"s{i}"))
-    return df.agg(*aggs).select(F.inline(F.array(*[F.col(f"s{i}") for i in range(len(cols))])))
+    interpolation), max per numeric column; one row per column, all from the
+    counts of its values (:class:`ValueCounts`). Unlike ``DataFrame.summary`` the
+    quantiles are exact; NaN is missing, and so is everything but the count of a
+    column without values."""
+    counts = ValueCounts(df, cols)
+    moments, quartiles = counts.moments(), counts.quantiles([0.25, 0.5, 0.75])
+    rows = []
+    for c in cols:
+        m = moments.get((0, c))
+        rows.append((c, m["count"], m["mean"], None if m["var"] is None else m["var"] ** 0.5, m["min"],
+                     *quartiles[0, c], m["max"]) if m else (c, 0, *[None] * 7))
+    out = df.sparkSession.createDataFrame(rows, "column_name string, count long, mean double, std double, "
+                                                "min double, p25 double, p50 double, p75 double, max double")
+    return out.withColumns({c: _rnd(F.col(c)) for c in ("mean", "std", "p25", "p50", "p75")})
 
 
 def describe_all(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
@@ -46,13 +48,9 @@ def describe_all(df: DataFrame, numeric: Sequence[str], categorical: Sequence[st
         "column_name", "count", F.lit(None).cast("long").alias("unique"),
         F.lit(None).cast("string").alias("top"), F.lit(None).cast("long").alias("freq"),
         "mean", "std", "min", "p25", "p50", "p75", "max")
-    counts = category_counts(df, categorical)
-    w = Window.partitionBy("column_name").orderBy(F.desc("count"), "value")
-    ranked = counts.withColumn("__rn", F.row_number().over(w))
-    cat = ranked.groupBy("column_name").agg(
+    cat = category_counts(df, categorical).groupBy("column_name").agg(
         F.sum("count").alias("count"), F.count(F.lit(1)).alias("unique"),
-        F.max(F.when(F.col("__rn") == 1, F.col("value"))).alias("top"),
-        F.max(F.when(F.col("__rn") == 1, F.col("count"))).alias("freq"))
+        F.min_by("value", F.struct(-F.col("count"), "value")).alias("top"), F.max("count").alias("freq"))
     nulls = [F.lit(None).cast("double").alias(c) for c in ["mean", "std", "min", "p25", "p50", "p75", "max"]]
     return num.unionByName(cat.select("column_name", "count", "unique", "top", "freq", *nulls))
 
@@ -75,34 +73,54 @@ def value_counts(df: DataFrame, col: str, dropna: bool = True) -> DataFrame:
             .orderBy(F.desc("count"), F.col(col).asc_nulls_last()))
 
 
+def _with_share(counts: DataFrame, count: str, digits: int = 2) -> DataFrame:
+    """``counts`` with each row's percentage of all; the total is a subquery of
+    one row, so no task sees all values."""
+    total = counts.agg(F.sum(count)).scalar()
+    return counts.withColumn("percentage", F.round(F.col(count) / total * 100, digits))
+
+
 def value_share(df: DataFrame, col: str, digits: int = 2) -> DataFrame:
-    """O-24: share in percent of the non-null rows, per value. The total is a
-    window over the grouped counts (one row per value), not over raw rows."""
+    """O-24: share in percent of the non-null rows, per value."""
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
-    total = F.sum("count").over(Window.partitionBy(F.lit(0)))
-    return (counts.withColumn("percentage", F.round(F.col("count") / total * 100, digits))
-            .orderBy(F.desc("count"), col))
+    return _with_share(counts, "count", digits).orderBy(F.desc("count"), col)
 
 
 def target_distribution(df: DataFrame, target: str = S.TARGET) -> DataFrame:
     """O-25: count per target value and percent of the rows that have one."""
     counts = df.where(F.col(target).isNotNull()).groupBy(target).agg(F.count(F.lit(1)).alias("booking_count"))
-    total = F.sum("booking_count").over(Window.partitionBy(F.lit(0)))
-    return counts.withColumn("percentage", F.round(F.col("booking_count") / total * 100, 2)) \
-                 .orderBy(F.desc("booking_count"))
+    return _with_share(counts, "booking_count").orderBy(F.desc("booking_count"))
+
+
+#: Parts of a column's values that are ranked apart before their best are merged.
+RANK_PARTS = 64
 
 
 def top_categories(df: DataFrame, cols: Sequence[str], k: int | None = 10) -> DataFrame:
     """O-26 / O-27: per column, values ranked by count with their share of the
-    column's non-null rows; ``k`` keeps the top k (None keeps all)."""
+    column's non-null rows; ``k`` keeps the top k (None keeps all).
+
+    Ranking merges: the best k of each of 64 hash parts of a column, then the
+    best k of those, so no task ranks all values of a column. All ranks come from
+    running sums over range blocks of (column, count) instead."""
     counts = category_counts(df, cols)
-    w_rank = Window.partitionBy("column_name").orderBy(F.desc("count"), "value")
-    w_all = Window.partitionBy("column_name")
-    out = (counts.withColumn("rank", F.row_number().over(w_rank))
-           .withColumn("percentage", F.round(F.col("count") / F.sum("count").over(w_all) * 100, 2)))
-    if k is not None:
-        out = out.where(F.col("rank") <= k)
-    return out
+    order = [F.desc("count"), F.col("value")]
+    if k is None:
+        ranked = running_sums(counts.withColumn("__one", F.lit(1)), [F.col("column_name"), *order],
+                              ["__one", "count"], ["column_name"])
+        return ranked.select("column_name", "value", "count", F.col("cum___one").cast("int").alias("rank"),
+                             F.round(F.col("count") / F.col("total_count") * 100, 2).alias("percentage"))
+    part = F.pmod(F.xxhash64("value"), F.lit(RANK_PARTS))
+    best = (counts.withColumn("__part", part)
+            .withColumn("rank", F.row_number().over(Window.partitionBy("column_name", "__part").orderBy(*order)))
+            .where(F.col("rank") <= k).drop("__part")
+            .withColumn("rank", F.row_number().over(Window.partitionBy("column_name").orderBy(*order)))
+            .where(F.col("rank") <= k))
+    # one row for each of the listed columns
+    totals = F.broadcast(counts.groupBy("column_name").agg(F.sum("count").alias("__total")))
+    return best.join(totals, "column_name").select(
+        "column_name", "value", "count", "rank",
+        F.round(F.col("count") / F.col("__total") * 100, 2).alias("percentage"))
 
 
 def feature_balance(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -148,38 +166,41 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 30) -> DataFrame:
                     "count"))
 
 
-def binned_kde(df: DataFrame, col: str, grid_points: int = 100, fine_bins: int | None = None) -> DataFrame:
-    """O-29: Gaussian kernel density (Scott's bandwidth, std * n^(-1/5)) on an
-    even grid from min to max.
-
-    Rows are first reduced to (distinct value, count); each distinct value
-    contributes to every grid point through an ``explode`` of the fixed-size
-    grid, and contributions are summed per grid point. Work is distinct
-    values x grid points, never rows x grid points. For a continuous column
-    with very many distinct values, ``fine_bins`` first snaps values to the
-    centres of that many equal bins (the classic binned KDE), bounding the
-    work by fine_bins x grid points."""
-    x = F.col(col).cast("double")
-    stats = df.agg(F.count(x).alias("n"), F.stddev_samp(x).alias("sd"),
-                   F.min(x).alias("lo"), F.max(x).alias("hi")).first()
-    n, sd, lo, hi = stats["n"], stats["sd"], stats["lo"], stats["hi"]
-    if not n or sd is None or sd == 0:
-        return df.sparkSession.createDataFrame([], "grid_index int, x double, density double")
-    bw = sd * n ** (-0.2)
-    step = (hi - lo) / (grid_points - 1)
-    v = x
-    if fine_bins:
-        fw = (hi - lo) / fine_bins
-        v = F.lit(lo) + (F.least(F.floor((x - F.lit(lo)) / F.lit(fw)), F.lit(fine_bins - 1)) + 0.5) * F.lit(fw)
-    values = df.where(x.isNotNull()).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    g = F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))).alias("grid_index")
-    z = (F.lit(lo) + F.col("grid_index") * F.lit(step) - F.col("v")) / F.lit(bw)
-    contrib = F.col("c") * F.exp(F.lit(-0.5) * z * z)
-    norm = 1.0 / (n * bw * (2 * 3.141592653589793) ** 0.5)
-    return (values.select("v", "c", g).groupBy("grid_index")
-            .agg((F.sum(contrib) * F.lit(norm)).alias("density"))
-            .select("grid_index", F.round(F.lit(lo) + F.col("grid_index") * F.lit(step), 6).alias("x"),
-                    F.round("density", 9).alias("density")))
+#: Bandwidths beyond which a Gaussian kernel adds nothing: exp(-72) is below 1e-31.
+REACH = 12.0
+
+
+def binned_kde(df: DataFrame, cols: Sequence[str], grid_points: int = 100) -> DataFrame:
+    """O-29: Gaussian kernel density (Scott's bandwidth, std * n^(-1/5)) of each
+    column on an even grid from its min to its max.
+
+    Rows are first reduced to counts of distinct values, all columns at once. A
+    value is then sent to the grid points within ``REACH`` bandwidths only, a
+    range found by arithmetic, and its contributions are summed by (column, grid
+    point) with map-side combining: never rows x grid. A column that is constant
+    or has fewer than two values has no density."""
+    counts = ValueCounts(df, cols)
+    params = []
+    for (_, c), m in counts.moments().items():
+        if m["var"]:
+            width = m["var"] ** 0.5 * m["count"] ** -0.2
+            params.append((counts.names.index(c), c, m["min"], (m["max"] - m["min"]) / (grid_points - 1), width,
+                           1.0 / (m["count"] * width * (2 * pi) ** 0.5)))
+    schema = "__col int, column_name string, __lo double, __step double, __bw double, __norm double"
+    # one row a column
+    of_column = F.broadcast(df.sparkSession.createDataFrame(params, schema))
+    lo, step, bw, x = (F.col(c) for c in ("__lo", "__step", "__bw", "__x"))
+    first = F.greatest(F.lit(0), F.ceil((x - REACH * bw - lo) / step).cast("int"))
+    last = F.least(F.lit(grid_points - 1), F.floor((x + REACH * bw - lo) / step).cast("int"))
+    near = counts.blocks.placed.join(of_column, "__col").where(first <= last).withColumn(
+        "grid_index", F.explode(F.sequence(first, last)))
+    z = (lo + F.col("grid_index") * step - x) / bw
+    sums = near.groupBy("__col", "grid_index").agg(F.sum(F.col("__n") * F.exp(F.lit(-0.5) * z * z)).alias("__s"))
+    # a grid point that no kernel reaches has the density 0
+    grid = of_column.withColumn("grid_index", F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))))
+    return grid.join(sums, ["__col", "grid_index"], "left").select(
+        "column_name", "grid_index", F.round(lo + F.col("grid_index") * step, 6).alias("x"),
+        F.round(F.coalesce("__s", F.lit(0.0)) * F.col("__norm"), 9).alias("density"))
 
 
 def cancel_totals(df: DataFrame, target: str = S.TARGET) -> DataFrame:

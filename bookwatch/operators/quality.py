@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,6 +51,15 @@ def check_groups(df: DataFrame, groups: dict[str, list[str]]) -> dict[str, list[
             "unused": [c for c in df.columns if c not in used]}
 
 
+def group_report(df: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
+    """O-08 as rows: each column's group, ``missing`` for a grouped name that
+    ``df`` lacks, ``unused`` for a column of no group."""
+    found = check_groups(df, groups)
+    rows = [(c, g) for g, cols in groups.items() for c in cols if c not in found["missing"]]
+    rows += [(c, kind) for kind in ("missing", "unused") for c in found[kind]]
+    return df.sparkSession.createDataFrame(rows, "column_name string, feature_group string")
+
+
 def drop_leakage(df: DataFrame, cols: Sequence[str] = tuple(S.LEAKAGE_COLUMNS),
                  target: str = S.TARGET) -> DataFrame:
     """O-09: drop leakage columns and check none survives; the target stays."""
@@ -90,6 +99,12 @@ def filter_invalid_adr(df: DataFrame) -> DataFrame:
     return df.where(F.col("adr") < 0)
 
 
+def filter_null_bucket(df: DataFrame, bucket: str = "adr_bucket") -> DataFrame:
+    """O-12: rows that fell into no bucket: their value is missing or outside
+    all edges."""
+    return df.where(F.col(bucket).isNull())
+
+
 def filter_revenue_rows(df: DataFrame) -> DataFrame:
     """O-12: bookings with a positive rate and at least one night."""
     return df.where((F.col("adr") > 0) & (F.col("total_nights") > 0))
@@ -123,20 +138,30 @@ def missing_report(df: DataFrame) -> DataFrame:
     return out.where(F.col("missing_count") > 0).orderBy(F.desc("missing_count"), "column_name")
 
 
-def quality_summary(df: DataFrame, top: int | None = 15, approx: bool = False) -> DataFrame:
+def quality_summary(df: DataFrame, top: int | None = 15) -> DataFrame:
     """O-15: missing, missing %, distinct non-null values per column, most
-    missing first (ties by name), first ``top`` rows. ``approx`` uses
-    HyperLogLog distinct counts for very wide or high-cardinality tables."""
-    cols = df.columns
-    distinct = (lambda c: F.approx_count_distinct(c)) if approx else (lambda c: F.count_distinct(c))
-    agg = df.agg(F.count(F.lit(1)).alias("__n"),
-                 *[F.count_if(F.col(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)],
-                 *[distinct(F.col(c)).alias(f"u{i}") for i, c in enumerate(cols)])
-    structs = [F.struct(F.lit(c).alias("column_name"), F.col(f"m{i}").alias("missing_values"),
-                        F.round(F.col(f"m{i}") / F.col("__n") * 100, 2).alias("missing_percentage"),
-                        F.col(f"u{i}").alias("unique_values"))
-               for i, c in enumerate(cols)]
-    out = _unpivot_one_row(agg, structs).orderBy(F.desc("missing_percentage"), "column_name")
+    missing first (ties by name), first ``top`` rows.
+
+    Rows are unpivoted to (column, value as text) and counted by both with
+    map-side combining: one shuffle of each task's distinct values, whatever the
+    number of columns; missing, total and distinct counts are then sums over
+    that narrow table. NaN counts as one value, and so do 0.0 and -0.0."""
+    types = dict(df.dtypes)
+
+    def text(c: str) -> Column:
+        x = F.col(c)
+        return (x + F.lit(0.0).cast(types[c]) if types[c] in ("double", "float") else x).cast("string")
+
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("at"), text(c).alias("value")) for i, c in enumerate(df.columns)])))
+    counts = long.groupBy("at", "value").agg(F.count(F.lit(1)).alias("n"))
+    missing, total = F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)), F.sum("n")
+    out = counts.groupBy("at").agg(
+        missing.alias("missing_values"), F.round(missing / total * 100, 2).alias("missing_percentage"),
+        F.count("value").alias("unique_values"))
+    names = F.array(*map(F.lit, df.columns))
+    out = out.select(F.get(names, F.col("at")).alias("column_name"), "missing_values", "missing_percentage",
+                     "unique_values").orderBy(F.desc("missing_percentage"), "column_name")
     return out.limit(top) if top else out
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import columns as C
+from ..functions.quantiles import ValueCounts
 
 
 def rate_by(df: DataFrame, key: str, target: str = S.TARGET) -> DataFrame:
@@ -114,12 +115,14 @@ def _pair_corr(a: str, b: str):
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
-    """O-37: all pairs (including the diagonal) in one aggregate, long form."""
-    pairs = [(a, b) for a in cols for b in cols]
-    structs = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-                        F.round(_pair_corr(a, b), digits).alias("correlation")).alias(f"p{i}")
-               for i, (a, b) in enumerate(pairs)]
-    return df.agg(*structs).select(F.inline(F.array(*[F.col(f"p{i}") for i in range(len(pairs))])))
+    """O-37: all pairs (including the diagonal) in long form. One aggregate
+    computes each unordered pair once; the rest are its mirror images."""
+    cols = list(cols)
+    at = {(a, b): f"p{i}_{j}" for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j}
+    one = df.agg(*[F.round(_pair_corr(a, b), digits).alias(n) for (a, b), n in at.items()])
+    return one.select(F.inline(F.array(*[
+        F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
+                 F.col(at.get((a, b)) or at[b, a]).alias("correlation")) for a in cols for b in cols])))
 
 
 def target_correlation(df: DataFrame, cols: Sequence[str], target: str = S.TARGET,
@@ -151,10 +154,10 @@ def monthly_volume(df: DataFrame, month: str = "arrival_date_month") -> DataFram
 
 def monthly_summary(df: DataFrame, target: str = S.TARGET) -> DataFrame:
     """O-41: left equi-join of the monthly rate and volume tables on the
-    month (both have at most twelve rows, so the join is broadcast)."""
+    month; how it is joined is left to the planner, as a free text column may
+    hold any number of months."""
     rate = monthly_rate(df, target).drop("month_number")
-    vol = monthly_volume(df)
-    return rate.join(F.broadcast(vol), "arrival_date_month", "left").orderBy("month_number")
+    return rate.join(monthly_volume(df), "arrival_date_month", "left").orderBy("month_number")
 
 
 def hotel_monthly_rate(df: DataFrame, target: str = S.TARGET) -> DataFrame:
@@ -177,10 +180,16 @@ def hotel_monthly_volume(df: DataFrame) -> DataFrame:
 def value_by_outcome(df: DataFrame, target: str = S.TARGET, value: str = "estimated_booking_value",
                      digits: int = 2) -> DataFrame:
     """O-44: count, mean, median, sum of the booking value per outcome, with
-    the outcome label. Rows without an outcome are left out."""
-    v = F.col(value)
-    out = df.where(F.col(target).isNotNull()).groupBy(target).agg(
-        F.count(v).alias("count"), F.round(F.avg(v), digits).alias("mean"),
-        F.round(F.median(v), digits).alias("median"), F.round(F.sum(v), digits).alias("sum"))
+    the outcome label, from the counts of the values by outcome. Rows without an
+    outcome are left out; an outcome without a value has the count 0."""
+    counts = ValueCounts(df, {"value": F.col(value), "row": F.lit(1.0)}, by=F.col(target))
+    moments, medians = counts.moments(), counts.quantiles([0.5])
+    rows = []
+    for y in sorted(y for y, c in moments if c == "row"):
+        m = moments.get((y, "value"))
+        rows.append((y, m["count"], m["mean"], medians[y, "value"][0], m["sum"]) if m else (y, 0, None, None, None))
+    kind = df.schema[target].dataType.simpleString()
+    out = df.sparkSession.createDataFrame(rows, f"`{target}` {kind}, count long, mean double, median double, sum double")
+    out = out.withColumns({c: F.round(c, digits) for c in ("mean", "median", "sum")})
     label = F.when(F.col(target) == 0, S.OUTCOME_LABELS[0]).when(F.col(target) == 1, S.OUTCOME_LABELS[1])
     return out.withColumn("status", label).orderBy(target)

@@ -81,10 +81,11 @@ class TrainingResult:
     reports: dict = field(default_factory=dict)
 
 
-def training_flow(clean: DataFrame, kinds=("logistic", "forest", "boosted"), label: str = S.TARGET,
+def training_flow(clean: DataFrame, kinds=tuple(MD.KINDS), label: str = S.TARGET,
                   bundle_path: str | None = None, **model_params) -> TrainingResult:
-    """Entry 2: split, fit on train only, compare on test, choose the
-    threshold on validation, profile segment risk, save the bundle."""
+    """Entry 2: split, fit on train only, choose the model and its threshold on
+    validation, report on test, profile segment risk, save the bundle. Rows
+    without a label are in no part."""
     spark = clean.sparkSession
     cond = PP.split_condition(clean, target=label)
     train_raw, test_raw = clean.where(~cond), clean.where(cond)
@@ -95,12 +96,13 @@ def training_flow(clean: DataFrame, kinds=("logistic", "forest", "boosted"), lab
     vcond = PP.split_condition(train, target=label, seed=7)
     fit_part, valid = train.where(~vcond), train.where(vcond)
 
-    bundles, metrics = {}, []
-    for k in kinds:
-        b = MD.fit_bundle(fit_part, k, label=label, **model_params.get(k, {}))
-        bundles[k] = b
-        metrics.append(EV.model_metrics(MD.score_bundle(test, b), k, y=label, threshold=0.5))
-    comparison = EV.compare_models(*metrics)
+    bundles = MD.fit_bundles(fit_part, kinds, label, params=model_params)
+
+    def compared(part: DataFrame) -> DataFrame:
+        scored, names = MD.score_all(part, bundles)
+        return EV.compare_models(EV.metrics_by_model(scored, {k: F.col(n) for k, n in names.items()}, y=label))
+
+    comparison = compared(valid)
     best_name = EV.best_model(comparison).first()["model"]
     best = bundles[best_name]
     sweep = EV.threshold_sweep(MD.score_bundle(valid, best), y=label)
@@ -108,7 +110,7 @@ def training_flow(clean: DataFrame, kinds=("logistic", "forest", "boosted"), lab
     best.value_thresholds = thresholds
     scored = DC.add_risk_columns(MD.score_bundle(test, best), best.threshold)
     profile = DC.segment_profile(scored, y=label)
-    reports = {"segment_risk": DC.segment_risk_all(profile),
+    reports = {"test_comparison": compared(test), "segment_risk": DC.segment_risk_all(profile),
                "exposure": DC.segment_revenue_exposure(scored),
                "report": EV.classification_report(scored, y=label)}
     if bundle_path:

@@ -32,7 +32,10 @@ bookings AS (
     CASE WHEN n_regionkey<3 THEN 'City Hotel' ELSE 'Resort Hotel' END AS hotel,
     CASE WHEN o_orderstatus='F' THEN 1 ELSE 0 END AS is_canceled,
     CAST(abs(date_diff('day', CAST(o_orderdate AS DATE), CAST(ship AS DATE))) % 737 AS INTEGER) AS lead_time,
+    CAST(year(o_orderdate) AS INTEGER) AS arrival_date_year,
     monthname(o_orderdate) AS arrival_date_month,
+    CAST(weekofyear(o_orderdate) AS INTEGER) AS arrival_date_week_number,
+    CAST(day(o_orderdate) AS INTEGER) AS arrival_date_day_of_month,
     CAST(coalesce(wknd,0) AS INTEGER) AS stays_in_weekend_nights,
     CAST(coalesce(wk,0) AS INTEGER) AS stays_in_week_nights,
     CAST(coalesce(n_lines,0) AS INTEGER) AS adults,

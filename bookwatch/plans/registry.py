@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import schema as S
 from ..operators import features as FE
+from ..operators import preprocess as PP
 from ..operators import profile as PR
 from ..operators import quality as Q
 from ..operators import segments as SG
+from ..session import written
 from ..sources.bookings import bookings
 from . import oracle as O
 
@@ -38,15 +40,16 @@ def eda(spark, d):
 
 
 def features(spark, d):
-    return FE.derive_features(bookings(spark, d))
+    """The feature table over bookings that are evaluated and written once: the
+    thresholds, the split and whatever else is fitted read the written rows."""
+    return FE.derive_features(written(bookings(spark, d), "bookings"))
 
 
 BK = O.with_ctes(O.BOOKINGS)
 ED = O.EDA_BASE
 FT = O.BASE
 
-CATEGORICAL_EDA = ["hotel", "meal", "market_segment", "distribution_channel", "reserved_room_type",
-                   "assigned_room_type", "deposit_type", "customer_type", "arrival_date_month"]
+CATEGORICAL_EDA = [f.name for f in S.RAW_BOOKING_SCHEMA.fields if f.dataType.typeName() == "string"]
 BALANCE_COLS = ["hotel", "market_segment", "deposit_type", "customer_type", "arrival_date_month"]
 CORR_COLS = ["is_canceled", "lead_time", "adr", "previous_cancellations", "booking_changes",
              "total_of_special_requests", "stays_in_week_nights", "stays_in_weekend_nights"]
@@ -65,7 +68,7 @@ def _unpivot_sql(cols, select_fmt, src="bookings"):
 # --------------------------------------------------------------------------- sources / audit
 register("bookings", BK + "SELECT * FROM bookings")(lambda s, d: bookings(s, d))
 
-register("table_shape", BK + "SELECT count(*) AS n_rows, CAST(30 AS INTEGER) AS n_cols FROM bookings")(
+register("table_shape", BK + "SELECT count(*) AS n_rows, CAST(33 AS INTEGER) AS n_cols FROM bookings")(
     lambda s, d: Q.table_shape(bookings(s, d)))
 
 register("head", BK + "SELECT * FROM bookings ORDER BY booking_id LIMIT 10")(
@@ -81,13 +84,36 @@ register("require_columns", BK + f"SELECT booking_id, {_cols_sql(S.REQUIRED_COLU
 register("drop_leakage", FT + "SELECT * EXCLUDE (reservation_status, reservation_status_date) FROM features")(
     lambda s, d: Q.drop_leakage(features(s, d)))
 
-_MODEL_FEATURES = (S.NUMERIC_FEATURES + S.NOMINAL_FEATURES + list(S.ORDINAL_FEATURES) + S.BINARY_FEATURES)
+# what the numeric group must come to on the feature table, for the SQL
+_NUM = ["lead_time", "arrival_date_year", "arrival_date_week_number", "arrival_date_day_of_month",
+        "stays_in_weekend_nights", "stays_in_week_nights", "adults", "children", "babies", "previous_cancellations",
+        "previous_bookings_not_canceled", "booking_changes", "days_in_waiting_list", "adr",
+        "required_car_parking_spaces", "total_of_special_requests", "total_nights", "estimated_booking_value",
+        "arrival_month_number", "previous_total_bookings", "previous_cancellation_rate"]
+_MODEL_FEATURES = _NUM + S.NOMINAL_FEATURES + list(S.ORDINAL_FEATURES) + S.BINARY_FEATURES
 register("select_features", FT + f"SELECT booking_id, {_cols_sql(_MODEL_FEATURES)} FROM features")(
-    lambda s, d: Q.select_features(features(s, d), _MODEL_FEATURES))
+    lambda s, d: (lambda f: Q.select_features(f, PP.input_columns(PP.model_groups(f))))(features(s, d)))
+
+_GROUPS = {"numeric": _NUM, "nominal": S.NOMINAL_FEATURES, "ordinal": list(S.ORDINAL_FEATURES),
+           "binary": S.BINARY_FEATURES}
+register("check_groups", FT + ", grouped AS (" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, '{g}' AS feature_group" for g, cols in _GROUPS.items() for c in cols)
+    + f"""), present AS (SELECT unnest(json_keys(to_json(f))) AS column_name
+   FROM (SELECT f FROM features f LIMIT 1))
+SELECT coalesce(g.column_name, p.column_name) AS column_name,
+ CASE WHEN p.column_name IS NULL THEN 'missing' ELSE coalesce(g.feature_group, 'unused') END AS feature_group
+FROM grouped g FULL JOIN (SELECT * FROM present WHERE column_name NOT IN
+ ({", ".join(f"'{c}'" for c in [S.BOOKING_ID, S.TARGET, *S.LEAKAGE_COLUMNS, *S.MODEL_EXCLUDE])})) p
+ON g.column_name = p.column_name""")(
+    lambda s, d: (lambda f: Q.group_report(f.select(*[c for c in Q.candidate_features(f) if c not in S.MODEL_EXCLUDE]),
+                                           PP.model_groups(f)))(features(s, d)))
 
 register("filter_invalid_adr", ED + "SELECT * FROM eda WHERE adr < 0")(
     lambda s, d: Q.filter_invalid_adr(eda(s, d)))
 
+register("filter_null_bucket", ED + "SELECT * FROM eda WHERE adr_bucket IS NULL")(
+    lambda s, d: Q.filter_null_bucket(eda(s, d)))
+
 register("filter_revenue_rows", ED + "SELECT * FROM eda WHERE adr > 0 AND total_nights > 0")(
     lambda s, d: Q.filter_revenue_rows(eda(s, d)))
 
@@ -197,15 +223,14 @@ register("histogram", BK + f"""SELECT column_name, bin, round(lo + bin * w, 6) A
  round(lo + (bin + 1) * w, 6) AS bin_end, CAST(sum(n) AS BIGINT) AS count FROM ({_HIST_PARTS})
  GROUP BY column_name, bin, lo, w""")(lambda s, d: PR.histogram(bookings(s, d), HIST_COLS, 30))
 
-register("binned_kde", BK + """, st AS (
-  SELECT count(lead_time) AS n, stddev_samp(lead_time) AS sd, min(lead_time)::DOUBLE AS lo,
-         max(lead_time)::DOUBLE AS hi FROM bookings),
- prm AS (SELECT n, lo, sd * pow(n, -0.2) AS bw, (hi - lo) / 99 AS step FROM st),
- vals AS (SELECT lead_time::DOUBLE AS v, count(*) AS c FROM bookings WHERE lead_time IS NOT NULL GROUP BY 1)
-SELECT CAST(g AS INTEGER) AS grid_index, round(lo + g * step, 6) AS x,
+_KDE = """SELECT '{c}' AS column_name, CAST(g AS INTEGER) AS grid_index, round(lo + g * step, 6) AS x,
   round(sum(c * exp(-0.5 * ((lo + g * step - v) / bw) * ((lo + g * step - v) / bw))) / (n * bw * sqrt(2 * pi())), 9) AS density
-FROM vals, prm, range(0, 100) t(g) GROUP BY g, lo, step, n, bw""")(
-    lambda s, d: PR.binned_kde(bookings(s, d), "lead_time", 100))
+ FROM (SELECT CAST({c} AS DOUBLE) AS v, count(*) AS c FROM bookings WHERE {c} IS NOT NULL GROUP BY 1) vals,
+  (SELECT n, lo, sd * pow(n, -0.2) AS bw, (hi - lo) / 99 AS step
+   FROM (SELECT count({c}) AS n, stddev_samp({c}) AS sd, min({c})::DOUBLE AS lo, max({c})::DOUBLE AS hi FROM bookings)
+   WHERE sd > 0) prm, range(0, 100) t(g) GROUP BY g, lo, step, n, bw"""
+register("binned_kde", BK + _unpivot_sql(HIST_COLS, _KDE))(
+    lambda s, d: PR.binned_kde(bookings(s, d), HIST_COLS, 100))
 
 register("cancel_totals", BK + """SELECT count(*) FILTER (WHERE is_canceled = 0) AS completed_bookings,
  count(*) FILTER (WHERE is_canceled = 1) AS cancelled_bookings,
@@ -257,14 +282,12 @@ for _key, _mx in [("previous_cancellations", None), ("booking_changes", 5), ("to
     register(f"count_by_{_key}", BK + f"""SELECT {_key}, count(*) AS booking_count FROM bookings
  WHERE {_key} IS NOT NULL GROUP BY {_key}""")(lambda s, d, k=_key: SG.count_by(bookings(s, d), k))
 
-_MEAN_COLS = ["lead_time", "adr", "stays_in_weekend_nights", "stays_in_week_nights", "adults", "children",
-              "babies", "previous_cancellations", "previous_bookings_not_canceled", "booking_changes",
-              "days_in_waiting_list", "required_car_parking_spaces", "total_of_special_requests",
-              "total_nights", "estimated_booking_value"]
+_MEAN_COLS = [c for c in HIST_COLS if c not in ("booking_id", "is_canceled")] + ["total_nights", "estimated_booking_value"]
 register("means_by_target", ED + _unpivot_sql(
     _MEAN_COLS, "SELECT '{c}' AS feature, round(avg({c}) FILTER (WHERE is_canceled = 0), 2) AS mean_not_cancelled, "
     "round(avg({c}) FILTER (WHERE is_canceled = 1), 2) AS mean_cancelled FROM eda"))(
-    lambda s, d: SG.means_by_target(eda(s, d), _MEAN_COLS))
+    lambda s, d: (lambda e: SG.means_by_target(e, [c for c in Q.columns_of(e, "numeric")
+                                                   if c not in (S.BOOKING_ID, S.TARGET)]))(eda(s, d)))
 
 
 def _corr_sql(a, b):
@@ -314,7 +337,6 @@ register("derive_features", FT + "SELECT * FROM features")(features)
 # --------------------------------------------------------------------------- preprocessing
 from ..operators import decision as DC  # noqa: E402
 from ..operators import evaluate as EV  # noqa: E402
-from ..operators import preprocess as PP  # noqa: E402
 from ..sources import fixtures as FX  # noqa: E402
 
 SPB = O.SPLIT_BASE
@@ -322,9 +344,12 @@ SCB = O.SCORED_BASE
 
 
 def split_frames(spark, d):
-    f = features(spark, d)
-    cond = PP.split_condition(f)
-    return f.where(~cond), f.where(cond)
+    return PP.stratified_split(features(spark, d))
+
+
+def split_table(spark, d):
+    """The feature table with its split column."""
+    return PP.assign_split(features(spark, d))
 
 
 def scored_test(spark, d, threshold: float = S.DEFAULT_THRESHOLD):
@@ -337,12 +362,11 @@ register("stratified_split", SPB + """SELECT booking_id, is_canceled,
  CASE WHEN __rn <= round(0.2 * __ny) THEN 'test' ELSE 'train' END AS split FROM split""")(
     lambda s, d: PP.assign_split(features(s, d)).select(S.BOOKING_ID, S.TARGET, "split"))
 
-_NUM = S.NUMERIC_FEATURES
 register("impute_median", SPB + ", med AS (SELECT " + ", ".join(
     f"quantile_cont({c}, 0.5)::DOUBLE AS m_{c}" for c in _NUM) + " FROM train)\nSELECT booking_id, " + ", ".join(
     f"coalesce(CAST({c} AS DOUBLE), m_{c}) AS {c}" for c in _NUM) + " FROM features, med")(
-    lambda s, d: (lambda tr, f: PP.impute(f, PP.fit_medians(tr, _NUM)).select(S.BOOKING_ID, *_NUM))(
-        split_frames(s, d)[0], features(s, d)))
+    lambda s, d: (lambda f: PP.impute(f, PP.fit_medians(f.where("split = 'train'"), _NUM)).select(
+        S.BOOKING_ID, *_NUM))(split_table(s, d)))
 
 register("robust_scale", SPB + ", med AS (SELECT " + ", ".join(
     f"quantile_cont({c}, 0.5)::DOUBLE AS m_{c}" for c in _NUM) + " FROM train),\n"
@@ -357,8 +381,8 @@ register("robust_scale", SPB + ", med AS (SELECT " + ", ".join(
 
 
 def _robust_query(s, d):
-    tr, _ = split_frames(s, d)
-    f = features(s, d)
+    f = split_table(s, d)
+    tr = f.where("split = 'train'")
     med = PP.fit_medians(tr, _NUM)
     prm = PP.fit_robust(PP.impute(tr, med), _NUM)
     out = PP.robust_scale(PP.impute(f, med), prm)
@@ -372,7 +396,7 @@ register("one_hot", SPB + "SELECT f.booking_id, f.feature, f.category FROM (" +
     _NOM, "SELECT booking_id, '{c}' AS feature, CAST({c} AS VARCHAR) AS category FROM features") +
     ") f JOIN (" + _unpivot_sql(_NOM, "SELECT DISTINCT '{c}' AS feature, CAST({c} AS VARCHAR) AS category FROM train") +
     ") t ON f.feature = t.feature AND f.category = t.category")(
-    lambda s, d: PP.one_hot_long(features(s, d), PP.fit_one_hot(split_frames(s, d)[0])))
+    lambda s, d: (lambda f: PP.one_hot_long(f, PP.fit_one_hot(f.where("split = 'train'"))))(split_table(s, d)))
 
 register("ordinal_encode", FT + """SELECT booking_id,
  CAST(coalesce(list_position(['0-30 Days','31-90 Days','91-180 Days','181-365 Days','365+ Days'], lead_time_bucket) - 1, -1) AS INTEGER) AS lead_time_bucket,
@@ -490,9 +514,7 @@ def _rule_score_col(name):
 
 def _compare_query(s, d):
     _, test = split_frames(s, d)
-    mets = [EV.model_metrics(test.withColumn(S.PROBABILITY, _rule_score_col(n)), n, threshold=0.5)
-            for n in _RULE_SCORES]
-    return EV.compare_models(*mets)
+    return EV.compare_models(EV.metrics_by_model(test, {n: _rule_score_col(n) for n in _RULE_SCORES}))
 
 
 def _compare_sql():
@@ -573,27 +595,14 @@ register("scored_preview", SCB + """SELECT booking_id, hotel, market_segment, cu
  predicted_cancellation_probability, risk_category, estimated_revenue_at_risk FROM scored""")(
     lambda s, d: DC.scored_preview(scored_test(s, d)))
 
-_DRIVERS = """CASE WHEN len(list_filter([
-   CASE WHEN lead_time >= 90 THEN 'Long lead time may increase cancellation uncertainty.' END,
-   CASE WHEN market_segment = 'Online TA' THEN 'Online travel agency bookings showed higher cancellation risk.' END,
-   CASE WHEN total_of_special_requests = 0 THEN 'No special requests may indicate lower guest engagement.' END,
-   CASE WHEN previous_cancellation_rate > 0 THEN 'Previous cancellation behaviour increases predicted risk.' END,
-   CASE WHEN deposit_type = 'No Deposit' THEN 'No deposit may reduce booking commitment.' END,
-   CASE WHEN customer_type = 'Transient' THEN 'Transient customers showed higher cancellation concentration.' END,
-   CASE WHEN is_last_minute_booking = 1 THEN 'Last-minute booking behaviour is an important model signal.' END,
-   CASE WHEN room_type_changed = 1 THEN 'Room type change is a strong model signal for this booking.' END],
-   lambda x: x IS NOT NULL)) = 0
- THEN ['No major individual risk driver was detected from the selected business rules.']
- ELSE list_filter([
-   CASE WHEN lead_time >= 90 THEN 'Long lead time may increase cancellation uncertainty.' END,
-   CASE WHEN market_segment = 'Online TA' THEN 'Online travel agency bookings showed higher cancellation risk.' END,
-   CASE WHEN total_of_special_requests = 0 THEN 'No special requests may indicate lower guest engagement.' END,
-   CASE WHEN previous_cancellation_rate > 0 THEN 'Previous cancellation behaviour increases predicted risk.' END,
-   CASE WHEN deposit_type = 'No Deposit' THEN 'No deposit may reduce booking commitment.' END,
-   CASE WHEN customer_type = 'Transient' THEN 'Transient customers showed higher cancellation concentration.' END,
-   CASE WHEN is_last_minute_booking = 1 THEN 'Last-minute booking behaviour is an important model signal.' END,
-   CASE WHEN room_type_changed = 1 THEN 'Room type change is a strong model signal for this booking.' END],
-   lambda x: x IS NOT NULL)[1:5] END"""
+def _driver_sql(col, op, value, text):
+    shown = f"'{value}'" if isinstance(value, str) else value
+    return f"CASE WHEN {col} {'=' if op == '==' else op} {shown} THEN '{text}' END"
+
+
+_RULES = "list_filter([" + ", ".join(_driver_sql(*r) for r in S.RISK_DRIVER_RULES) + "], lambda x: x IS NOT NULL)"
+_DRIVERS = (f"CASE WHEN len({_RULES}) = 0 THEN ['{S.NO_DRIVER_TEXT}'] "
+            f"ELSE {_RULES}[1:{S.MAX_DRIVERS}] END")
 _ACTIONS = "CASE " + " ".join(
     f"WHEN risk_category = '{k}' THEN [" + ", ".join("'" + a + "'" for a in v) + "]"
     for k, v in S.RECOMMENDED_ACTIONS.items() if k != "Low Risk") + " ELSE [" + ", ".join(
@@ -623,8 +632,12 @@ register("review_booking", SCB + f"""SELECT booking_id, hotel, market_segment, c
     lambda s, d: DC.review_sample(scored_test(s, d), 500, 42, 0))
 
 # --------------------------------------------------------------------------- models (rows-only checks)
+import uuid  # noqa: E402
+
 from ..operators import models as MD  # noqa: E402
-from ..operators import quality as _Q  # noqa: E402
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..sources.keyed import write_keyed  # noqa: E402
+from .flows import scoring_flow  # noqa: E402
 
 
 def _fit_and_score(kind):
@@ -641,10 +654,11 @@ register("fit_boosted")(_fit_and_score("boosted"))
 
 
 def _fitted_comparison(s, d):
+    """The four models of the comparison from one feature matrix, their test
+    probabilities from one scored table."""
     tr, te = split_frames(s, d)
-    mets = [EV.model_metrics(MD.score_bundle(te, MD.fit_bundle(tr, k)), k, threshold=0.5)
-            for k in ("logistic", "forest", "boosted")]
-    return EV.compare_models(*mets)
+    scored, names = MD.score_all(te, MD.fit_bundles(tr))
+    return EV.compare_models(EV.metrics_by_model(scored, {k: F.col(n) for k, n in names.items()}))
 
 
 register("compare_fitted_models")(_fitted_comparison)
@@ -653,14 +667,115 @@ register("feature_importance")(
 register("linear_attribution")(
     lambda s, d: (lambda tr, te: (lambda b: MD.linear_attribution(b.model.transform(te), b, 15))(
         MD.fit_bundle(tr, "logistic")))(*split_frames(s, d)))
-register("assert_finite")(
-    lambda s, d: (lambda tr, te: _Q.assert_finite(PP.fit_preprocessor(tr).transform(te)))(*split_frames(s, d)))
+register("assert_finite", SPB + "SELECT 0::BIGINT AS non_finite_rows, count(*) AS rows FROM test")(
+    lambda s, d: (lambda tr, te: Q.assert_finite(PP.fit_preprocessor(tr).transform(te)))(*split_frames(s, d)))
+
+_WEIGHTS = {"lead_time": 0.01, "adr": -0.002, "total_of_special_requests": -0.5, "babies": 0.0, "total_nights": 0.25}
+register("attribution", FT + ", m AS (SELECT " + ", ".join(
+    f"avg({c}) AS m_{c}, var_pop({c}) AS v_{c}" for c in _WEIGHTS) + " FROM features)\n" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, round(avg(abs({w}::DOUBLE * ({c} - m_{c}))), 9) AS mean_abs_attribution, "
+    f"CAST(CASE WHEN any_value(v_{c}) > 0 AND {w} <> 0 THEN sign({w}) END AS DOUBLE) AS direction FROM features, m"
+    for c, w in _WEIGHTS.items()))(
+    lambda s, d: MD.attribution(features(s, d), _WEIGHTS).withColumn(
+        "mean_abs_attribution", F.round("mean_abs_attribution", 9)))
+
+# within a group, inputs stand in the order of the feature table
+_FRAME = [f.name for f in S.RAW_BOOKING_SCHEMA.fields] + FE.engineered_columns()
+_BINARY_ORDER = [c for c in _FRAME if c in S.BINARY_FEATURES]
+_NOMINAL_ORDER = [c for c in _FRAME if c in S.NOMINAL_FEATURES]
+_ORDINAL_ORDER = ["lead_time_bucket", "adr_bucket", "stay_length_category"]
+
+register("feature_names", SPB + "SELECT CAST(row_number() OVER (ORDER BY g, p, v) - 1 AS INTEGER) AS position, name FROM (" +
+         "\nUNION ALL\n".join(
+             [f"SELECT 0 AS g, {i} AS p, '' AS v, '{c}' AS name" for i, c in enumerate(_NUM)]
+             + [f"SELECT DISTINCT 1, {i}, CAST({c} AS VARCHAR), '{c}_' || CAST({c} AS VARCHAR) FROM train WHERE {c} IS NOT NULL"
+                for i, c in enumerate(_NOMINAL_ORDER)]
+             + [f"SELECT 2, {i}, '', '{c}'" for i, c in enumerate(_ORDINAL_ORDER)]
+             + [f"SELECT 3, {i}, '', '{c}'" for i, c in enumerate(_BINARY_ORDER)]) + ")")(
+    lambda s, d: s.createDataFrame(list(enumerate(PP.feature_names(PP.fit_preprocessor(split_frames(s, d)[0])))),
+                                   "position int, name string"))
+
+
+def _model_checks(s, d):
+    """What must hold of the models, on the planted label, one row a check: they
+    rank (AUC above 0.75), the linear one is at the optimum of its objective,
+    importances add up to 1, a saved bundle scores alike, inputs are finite.
+    Ensembles are smaller than the operators' own sizes."""
+    label = "planted_label"
+    tr, te = PP.stratified_split(FX.with_planted_label(features(s, d)), target=label)
+    bundles = MD.fit_bundles(tr, label=label, params={
+        "forest": {"num_trees": 20, "max_depth": 6}, "boosted": {"max_iter": 20}, "boosted_balanced": {"max_iter": 20}})
+    scored, names = MD.score_all(te, bundles)
+    metrics = {r["model"]: r["roc_auc"] for r in EV.metrics_by_model(
+        scored, {k: F.col(n) for k, n in names.items()}, y=label).collect()}
+    checks = [(k, "ranks the planted label", metrics[k] > 0.75) for k in bundles]
+    linear = bundles["logistic"]
+    matrix = MD.preprocessor_of(linear).transform(PP.class_weights(tr, label))
+    checks.append(("logistic", "gradient is zero",
+                   MD.penalised_gradient(matrix, MD.classifier_of(linear), label, "weight") < 1e-3))
+    finite = Q.assert_finite(MD.preprocessor_of(linear).transform(te)).first()
+    checks.append(("logistic", "inputs are finite", finite["non_finite_rows"] == 0 and finite["rows"] > 0))
+    for k in ("forest", "boosted", "boosted_balanced"):
+        total = MD.feature_importance(bundles[k], None).agg(F.sum("importance")).first()[0]
+        checks.append((k, "importances sum to one", abs(total - 1) < 1e-9))
+    path = f"{ensure_checkpoint_dir(s).rstrip('/')}/bundles/{uuid.uuid4().hex}"
+    MD.save_bundle(linear, path)
+    again = MD.score_bundle(te, MD.load_bundle(s, path)).select(S.BOOKING_ID, F.col(S.PROBABILITY).alias("p"))
+    apart = MD.score_bundle(te, linear).join(again, S.BOOKING_ID).agg(
+        F.max(F.abs(F.col(S.PROBABILITY) - F.col("p")))).first()[0]
+    checks.append(("logistic", "saved bundle scores alike", apart == 0))
+    return s.createDataFrame(checks, "model string, check string, holds boolean")
 
 
-def _bundle_roundtrip(s, d):
-    import uuid
+register("model_checks", "SELECT *, true AS holds FROM (VALUES " + ", ".join(f"('{m}', '{c}')" for m, c in [
+    *[(k, "ranks the planted label") for k in MD.KINDS],
+    ("logistic", "gradient is zero"), ("logistic", "inputs are finite"),
+    *[(k, "importances sum to one") for k in ("forest", "boosted", "boosted_balanced")],
+    ("logistic", "saved bundle scores alike")]) + ") t(model, \"check\")")(_model_checks)
+
 
-    from ..session import ensure_checkpoint_dir
+def _score_batch(s, d):
+    """The app's upload: raw bookings without outcome and key, scored in a batch by
+    a saved bundle with the thresholds it keeps; here the planted probability
+    stands in for the outcome so that the result can be told."""
+    f = features(s, d)
+    raw = written(bookings(s, d), "bookings")
+    label = "planted_label"
+    limits = FE.fit_value_thresholds(raw)
+    bundle = MD.fit_bundle(FX.with_planted_label(f), "logistic", label=label)
+    bundle.value_thresholds = limits
+    path = f"{ensure_checkpoint_dir(s).rstrip('/')}/bundles/{uuid.uuid4().hex}"
+    MD.save_bundle(bundle, path)
+    batch = raw.select(*S.SCORING_COLUMNS)
+    scored, out = scoring_flow(batch, MD.load_bundle(s, path))
+    tiers = out["tiers"].first()
+    return scored.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col(S.PROBABILITY).between(0, 1)).alias("scored_rows"),
+        F.round(F.sum("estimated_booking_value"), 2).alias("total_estimated_booking_value"),
+        F.sum("is_high_adr").alias("high_adr_rows"), F.sum("is_high_value_booking").alias("high_value_rows")
+    ).withColumn("tiered_rows", F.lit(sum(tiers)).cast("long"))
+
+
+register("score_batch", FT + """SELECT count(*) AS rows, count(*) AS scored_rows,
+ round(sum(estimated_booking_value), 2) AS total_estimated_booking_value,
+ CAST(sum(is_high_adr) AS BIGINT) AS high_adr_rows, CAST(sum(is_high_value_booking) AS BIGINT) AS high_value_rows,
+ count(*) AS tiered_rows FROM features""")(_score_batch)
+
+
+def _review_by_key(s, d):
+    """O-84 by key: the scored table is written for lookups, then one booking is
+    read back by its key and reviewed."""
+    scored = write_keyed(scored_test(s, d), f"{ensure_checkpoint_dir(s).rstrip('/')}/scored/{uuid.uuid4().hex}",
+                         S.BOOKING_ID)
+    return DC.review_booking(scored, scored.agg(F.max(S.BOOKING_ID)).first()[0])
+
+
+register("review_booking_by_key", ORACLE["review_booking"].replace(
+    "ORDER BY md5(CAST(booking_id AS VARCHAR) || '|42'), booking_id LIMIT 1", "ORDER BY booking_id DESC LIMIT 1"))(
+    _review_by_key)
+
+
+def _bundle_roundtrip(s, d):
     tr, te = split_frames(s, d)
     b = MD.fit_bundle(tr, "logistic")
     path = f"{ensure_checkpoint_dir(s).rstrip('/')}/bundles/{uuid.uuid4().hex}"
@@ -676,9 +791,6 @@ register("bundle_roundtrip")(_bundle_roundtrip)
 def _csv_roundtrip(s, d):
     """O-01 / O-02: write the bookings table as CSV with a header under the
     shared folder, read it back with the declared schema."""
-    import uuid
-
-    from ..session import ensure_checkpoint_dir
     from ..sources.bookings import read_bookings, write_bookings
     path = f"{ensure_checkpoint_dir(s).rstrip('/')}/csv/{uuid.uuid4().hex}"
     write_bookings(bookings(s, d), path, fmt="csv")
@@ -689,9 +801,6 @@ register("csv_roundtrip", BK + "SELECT * FROM bookings")(_csv_roundtrip)
 def _csv_mixed_headers(s, d):
     """O-01: files as data-frame tools write them (whole numbers as ``2.0``,
     ``NaN`` for a missing value), half of them with the columns reversed."""
-    import uuid
-
-    from ..session import ensure_checkpoint_dir
     from ..sources.bookings import read_bookings, write_bookings
     path = f"{ensure_checkpoint_dir(s).rstrip('/')}/csv/{uuid.uuid4().hex}"
     b = bookings(s, d)

@@ -85,7 +85,6 @@ TOP_SEGMENT_TEMPLATE = (
     "risk. This segment contains {count} bookings and an estimated revenue exposure of {value}."
 )
 CURRENCY_SYMBOL = "€"
-# --------------------------------------------------------------------------- end fixed values
 
 # Columns the feature notebook requires before deriving anything.
 REQUIRED_COLUMNS = [
@@ -95,21 +94,8 @@ REQUIRED_COLUMNS = [
     "arrival_date_month",
 ]
 
-# Raw columns that the model's features are derived from.
-SCORING_COLUMNS = [
-    "hotel", "lead_time", "arrival_date_month", "stays_in_weekend_nights", "stays_in_week_nights",
-    "market_segment", "distribution_channel", "is_repeated_guest", "previous_cancellations",
-    "previous_bookings_not_canceled", "reserved_room_type", "assigned_room_type", "booking_changes",
-    "deposit_type", "days_in_waiting_list", "customer_type", "adr", "required_car_parking_spaces",
-    "total_of_special_requests",
-]
-
-NUMERIC_FEATURES = [
-    "lead_time", "adr", "total_nights", "estimated_booking_value", "total_of_special_requests",
-    "booking_changes", "previous_cancellations", "previous_bookings_not_canceled",
-    "previous_total_bookings", "previous_cancellation_rate", "required_car_parking_spaces",
-    "arrival_month_number",
-]
+# Model inputs that are not taken as plain numbers; every other number of a
+# feature table but the excluded ones is a numeric input (operators.preprocess.model_groups).
 NOMINAL_FEATURES = ["hotel", "market_segment", "distribution_channel", "deposit_type",
                     "customer_type", "arrival_season"]
 ORDINAL_FEATURES = {"lead_time_bucket": LEAD_TIME_LABELS, "adr_bucket": ADR_ORDER,
@@ -122,12 +108,7 @@ BINARY_FEATURES = [
     "repeat_guest_non_refund", "is_zero_adr", "is_high_adr", "is_high_value_booking",
     "room_type_changed",
 ]
-FEATURE_GROUPS = {
-    "numeric": NUMERIC_FEATURES,
-    "nominal": NOMINAL_FEATURES,
-    "ordinal": list(ORDINAL_FEATURES),
-    "binary": BINARY_FEATURES,
-}
+# --------------------------------------------------------------------------- end fixed values
 
 # Explicit schema for reading raw booking files (never inferred).
 RAW_BOOKING_SCHEMA = T.StructType([
@@ -135,7 +116,10 @@ RAW_BOOKING_SCHEMA = T.StructType([
     T.StructField("hotel", T.StringType()),
     T.StructField("is_canceled", T.IntegerType()),
     T.StructField("lead_time", T.IntegerType()),
+    T.StructField("arrival_date_year", T.IntegerType()),
     T.StructField("arrival_date_month", T.StringType()),
+    T.StructField("arrival_date_week_number", T.IntegerType()),
+    T.StructField("arrival_date_day_of_month", T.IntegerType()),
     T.StructField("stays_in_weekend_nights", T.IntegerType()),
     T.StructField("stays_in_week_nights", T.IntegerType()),
     T.StructField("adults", T.IntegerType()),
@@ -162,3 +146,10 @@ RAW_BOOKING_SCHEMA = T.StructType([
     T.StructField("reservation_status", T.StringType()),
     T.StructField("reservation_status_date", T.DateType()),
 ])
+
+# Raw columns that a batch to be scored needs: no outcome, no key, and none that
+# the model leaves out unless a feature is derived from it.
+SCORING_COLUMNS = [f.name for f in RAW_BOOKING_SCHEMA.fields
+                   if f.name not in (BOOKING_ID, TARGET, *LEAKAGE_COLUMNS)
+                   and (f.name not in MODEL_EXCLUDE
+                        or f.name in ("arrival_date_month", "reserved_room_type", "assigned_room_type"))]

@@ -84,7 +84,10 @@ def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("n_regionkey") < 3, "City Hotel").otherwise("Resort Hotel").alias("hotel"),
         is_canceled.alias("is_canceled"),
         (F.abs(days) % 737).cast("int").alias("lead_time"),
+        F.year("o_orderdate").alias("arrival_date_year"),
         F.date_format("o_orderdate", "MMMM").alias("arrival_date_month"),
+        F.weekofyear("o_orderdate").alias("arrival_date_week_number"),
+        F.dayofmonth("o_orderdate").alias("arrival_date_day_of_month"),
         F.coalesce("wknd", F.lit(0)).cast("int").alias("stays_in_weekend_nights"),
         F.coalesce("wk", F.lit(0)).cast("int").alias("stays_in_week_nights"),
         F.coalesce("n_lines", F.lit(0)).cast("int").alias("adults"),
