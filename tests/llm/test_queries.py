@@ -14,7 +14,7 @@ from ..conftest import SF_SMALL
 
 def test_names():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(E.queries())
 
 
@@ -22,7 +22,7 @@ def test_names():
 def test_query_matches_sql(spark, name):
     import duckdb
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     r = compare(spark, con, name, QUERIES[name], ORACLE[name], SF_SMALL)
     assert r["cols_ok"] and r["vals_ok"] and r["types_ok"], r
