@@ -19,6 +19,8 @@ its text, null ids come first; each row of the input gives one row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,13 @@ from .ranges import Ranges
 
 PARAGRAPH = r"[^.!?\n]{1,255}[.!?\n]{0,32}|[.!?\n]{1,255}"
 LEAF = "[0-9a-f]{8}:[0-9]+"
+#: Documents of a range block: one task orders a few blocks with their texts.
+BLOCK = 2048
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
 
 
 def fingerprint(text: Column) -> Column:
@@ -36,9 +45,9 @@ def fingerprint(text: Column) -> Column:
     sections = F.filter(F.split(F.regexp_replace(leaves, "(0:[0-9]+) ", "$1|"), r"\|"), lambda s: s != "")
     nodes = F.transform(sections, lambda s: F.concat(F.sha2(s, 256), F.lit("="),
                                                      F.regexp_replace(s, "([0-9a-f]{8})[0-9a-f]{56}", "$1")))
-    return F.transform(F.array(nodes), lambda n: F.concat(
+    return let(nodes, lambda n: F.concat(
         F.sha2(F.array_join(F.transform(n, lambda s: F.substring(s, 1, 64)), ""), 256), F.lit("|"),
-        F.array_join(F.transform(n, lambda s: F.concat(F.substring(s, 1, 16), F.substring(s, 65, 1 << 30))), "|")))[0]
+        F.array_join(F.transform(n, lambda s: F.concat(F.substring(s, 1, 16), F.substring(s, 65, 1 << 30))), "|")))
 
 
 def root(print_: Column) -> Column:
@@ -58,44 +67,49 @@ def chars(leaves: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """Twice the code points in leaves of both over those in the leaves of each,
     equal leaves of one text counted once: 1 for equal roots, 0 to 1."""
-    x, y = F.array_distinct(leaves_of(a)), F.array_distinct(leaves_of(b))
-    total = chars(x) + chars(y)
-    return (F.when(root(a) == root(b), 1.0).when(total == 0, 0.0)
-            .otherwise(2.0 * chars(F.array_intersect(x, y)) / total))
+    def of(x: Column, y: Column) -> Column:
+        return let(chars(x) + chars(y), lambda total: F.when(total == 0, 0.0).otherwise(
+            2.0 * chars(F.array_intersect(x, y)) / total))
+    return F.when(root(a) == root(b), 1.0).otherwise(
+        let(F.array_distinct(leaves_of(a)), lambda x: let(F.array_distinct(leaves_of(b)), lambda y: of(x, y))))
 
 
 def first_difference(a: Column, b: Column) -> Column:
     """Code points of the first text before its first paragraph that differs from
     the other's; null where the roots agree. Equal sections at the start are
     passed over whole; only the first that differs is opened."""
-    x, y = (F.split(F.substring(p, 66, 1 << 30), r"\|") for p in (a, b))
-
     def same(u: Column, v: Column) -> Column:
-        unlike = F.filter(F.sequence(F.lit(0), F.size(u)),
-                          lambda i: ~F.coalesce(F.get(u, i) == F.get(v, i), F.lit(False)))
-        return unlike[0]
+        """Units at the start that agree."""
+        return let(F.arrays_zip(u.alias("u"), v.alias("v")), lambda pairs: F.aggregate(
+            pairs, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")),
+            lambda at, p: F.struct(
+                (at["n"] + F.when(at["on"] & p["u"].eqNullSafe(p["v"]), 1).otherwise(0)).alias("n"),
+                (at["on"] & p["u"].eqNullSafe(p["v"])).alias("on")))["n"])
+
+    def opened(section: Column) -> Column:
+        return F.regexp_extract_all(F.coalesce(section, F.lit("")), F.lit(LEAF), F.lit(0))
 
-    def opened(sections: Column, at: Column) -> Column:
-        return F.regexp_extract_all(F.coalesce(F.get(sections, at), F.lit("")), F.lit(LEAF), F.lit(0))
+    def within(u: Column, v: Column) -> Column:
+        return let(u, lambda x: let(v, lambda y: chars(F.slice(x, 1, same(x, y)))))
 
-    def before(units: Column, n: Column) -> Column:
-        return chars(F.regexp_extract_all(F.array_join(F.slice(units, 1, n), " "), F.lit(LEAF), F.lit(0)))
+    def sections(print_: Column) -> Column:
+        return F.split(F.substring(print_, 66, 1 << 30), r"\|")
 
-    at = same(x, y)
-    u, v = opened(x, at), opened(y, at)
-    return F.when(root(a) != root(b), before(x, at) + before(u, same(u, v)))
+    return F.when(root(a) != root(b), let(sections(a), lambda x: let(sections(b), lambda y: let(
+        same(x, y), lambda n: chars(opened(F.array_join(F.slice(x, 1, n), " ")))
+        + within(opened(F.get(x, n)), opened(F.get(y, n)))))))
 
 
 def edits(docs: DataFrame) -> DataFrame:
-    """Each document with the fingerprints of its text and of its edited text: the
+    """Each document with its fingerprint, its next one's, and its edited text: the
     last quarter of its code points replaced by the first as many of the next
-    document, the last one's next being the first.
+    document, the last one's next being the first (columns ``next``, ``edited``).
 
     The order is cut into range blocks; a block's first row also goes, as a
     guard, to the block before, so that no row looks beyond its own block."""
     keyed = texts(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = keyed.withColumn("_tie", F.xxhash64("text"))
-    ranges = Ranges(keyed, ["doc_id", "_tie"])
+    ranges = Ranges(keyed, ["doc_id", "_tie"], BLOCK)
     at = F.col("_block")
     before = F.when(at > 0, at - 1).otherwise(ranges.last)
     rows = (keyed.withColumn("fingerprint", fingerprint(F.col("text"))).withColumn("_block", ranges.of)
@@ -107,11 +121,10 @@ def edits(docs: DataFrame) -> DataFrame:
     order = Window.partitionBy("block").orderBy("guard", "doc_id", "_tie")
     n = F.length("text").cast("bigint")
     k = F.floor(F.col("n_chars") / 4).cast("int")
-    paired = (rows.withColumns({"next": F.lead("text").over(order), "next_fingerprint": F.lead("fingerprint").over(order)})
-              .where("not guard").withColumn("n_chars", n)
-              .withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - k).cast("int")),
-                                             F.substring("next", F.lit(1), k))))
-    return paired.withColumn("edited_fingerprint", fingerprint(F.col("edited")))
+    return (rows.withColumns({"next": F.lead("text").over(order), "next_fingerprint": F.lead("fingerprint").over(order)})
+            .where("not guard").withColumn("n_chars", n)
+            .withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - k).cast("int")),
+                                           F.substring("next", F.lit(1), k))))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -120,8 +133,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     of its edited text and of the next document, and the code point from which
     the two trees of a text and its edit differ (null: nowhere)."""
     a = F.col("fingerprint")
-    return edits(docs).select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-        likeness(a, F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(a, F.col("next_fingerprint")).alias("near_next"),
-        first_difference(a, F.col("edited_fingerprint")).alias("edit_from"))
+    found = let(fingerprint(F.col("edited")), lambda b: F.struct(
+        b.alias("edited_fingerprint"), likeness(a, b).alias("near_edited"),
+        likeness(a, F.col("next_fingerprint")).alias("near_next"), first_difference(a, b).alias("edit_from")))
+    return edits(docs).select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
+                              found.alias("_found")).select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "_found.*")
