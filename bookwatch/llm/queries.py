@@ -70,10 +70,24 @@ dw AS (SELECT doc_id, k, s, array_to_string(w[s:s + k - 1], ' ') p
        FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) s FROM d, ks WHERE len(w) >= k)),
 m AS (SELECT doc_id, item_id, s, k FROM dw JOIN iw USING (k, p)),
 h AS (SELECT doc_id, count(DISTINCT q) n FROM (SELECT doc_id, unnest(range(s, s + k)) q FROM m) GROUP BY doc_id),
-i AS (SELECT doc_id, count(*) n, string_agg(x, ',' ORDER BY x) l FROM (SELECT DISTINCT doc_id, item_id::VARCHAR x FROM m) GROUP BY doc_id)
+i AS (SELECT doc_id, count(*) n, string_agg(x, ',' ORDER BY x) l FROM (SELECT DISTINCT doc_id, item_id::VARCHAR x FROM m) GROUP BY doc_id),
+fr AS (SELECT x word, count(*) f FROM (SELECT unnest(w) x FROM d) GROUP BY 1),
+bi AS (SELECT row_number() OVER () item, item_id, w FROM (SELECT DISTINCT item_id, w FROM b WHERE len(w) > 0)),
+bt AS (SELECT item, unnest(w) word, unnest(range(len(w))) ipos FROM bi),
+bs AS (SELECT item, unnest(range(0, greatest(len(w) - 13, 0) + 1)) s FROM bi),
+bw AS (SELECT item, s, list_sort(list({'f': coalesce(f, 0), 'ipos': ipos, 'word': word})) l
+       FROM bt LEFT JOIN fr USING (word) JOIN bs USING (item) WHERE ipos >= s AND ipos < s + 13 GROUP BY item, s),
+pl AS (SELECT DISTINCT item, l[1].ipos a, l[1].word wa, coalesce(l[2].ipos, l[1].ipos) b, coalesce(l[2].word, l[1].word) wb
+       FROM bw WHERE l[1].f > 0),
+dp AS (SELECT doc_id, word, pos FROM (SELECT doc_id, unnest(w) word, unnest(range(len(w))) pos FROM d)
+       WHERE word IN (SELECT wa FROM pl UNION SELECT wb FROM pl)),
+nr AS (SELECT x.doc_id, count(DISTINCT x.pos) n_near, count(DISTINCT bi.item_id) n_near_items FROM pl JOIN dp x ON x.word = pl.wa
+       JOIN dp y ON y.doc_id = x.doc_id AND y.word = pl.wb AND y.pos BETWEEN x.pos + pl.b - pl.a - 3 AND x.pos + pl.b - pl.a + 3
+       JOIN bi ON bi.item = pl.item GROUP BY x.doc_id)
 SELECT d.doc_id, len(w)::BIGINT n_words, coalesce(h.n, 0)::BIGINT n_hit, coalesce(i.n, 0)::BIGINT n_items,
-       sha256(coalesce(l, '')) items_sha256, coalesce(h.n > 0 AND 20 * h.n >= len(w), false) contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
+       sha256(coalesce(l, '')) items_sha256, coalesce(h.n > 0 AND 20 * h.n >= len(w), false) contaminated,
+       coalesce(n_near, 0)::BIGINT n_near, coalesce(n_near_items, 0)::BIGINT n_near_items
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN nr USING (doc_id)
 """
 
 
