@@ -17,13 +17,15 @@ lines and passages together; spans that overlap are reported as one.
 The first 64 bits of the digests are counted with map-side sums, and repeated
 ones set a bit in a table of bounded size that travels to the tasks. Units whose
 bit is not set are unique and go no further; the others are compared on all bits
-by an equi-join, whose hot keys adaptive execution splits. The table only saves
-work: when it is full, every unit is compared.
-
-Defined results: a null or empty text has no units; rows that repeat a doc_id
-count as one document, whose equal units at the same place are one occurrence;
-a null id ranks first and its row is reported like the others; an empty table
-gives no rows; other columns are ignored.
+by an equi-join. The first occurrences of the very frequent digests (at most
+``HOT`` of them) travel to the tasks instead, so none gathers in one task. The
+table only saves work: when it is full, every unit is compared.
+
+Defined results: a null or empty text has no units; each row of the input is one
+row of the report, with its own spans; equal units at the same place of rows
+that repeat a doc_id are one occurrence; a null id ranks first and its row is
+reported like the others; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -43,8 +45,10 @@ MIN_WORDS = 5
 LINES = re.compile(r"[^\n]+")
 #: Least words of a passage unit; places to both sides that a border's hash is compared with.
 PASSAGE, REACH = 30, 2
-#: Words of 64 bits in the table of repeated digests.
+#: Words of 64 bits in the table of repeated digests (16 MB as rows at most).
 SLOTS = 1 << 20
+#: Frequent digests whose first occurrences travel to the tasks, at most.
+HOT = 1000
 WORDS = re.compile(r"\S+")
 PARAGRAPHS = re.compile(r"[^\n]+(?:\n(?![^\S\n]*\n)[^\n]+)*")
 
@@ -67,8 +71,11 @@ def borders(h: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(least), n)
 
 
-def passages(text: str) -> list[tuple[int, int, bytes]]:
-    """Start, end and digest of each passage unit."""
+Unit = tuple[int, int, bytes, bool]
+
+
+def passages(text: str) -> list[Unit]:
+    """Start, end and digest of each passage unit, and that it is long."""
     import xxhash
     found = list(WORDS.finditer(text))
     if len(found) < PASSAGE:
@@ -82,12 +89,13 @@ def passages(text: str) -> list[tuple[int, int, bytes]]:
             break
         j = int(at[k])
         out.append((found[i].start(), found[j - 1].end(),
-                    hashlib.blake2b(raw[8 * i:8 * j], digest_size=12, person=b"passage").digest()))
+                    hashlib.blake2b(raw[8 * i:8 * j], digest_size=12, person=b"passage").digest(), True))
     return out
 
 
-def cut(text: str, kind: str = "line", min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
-    """Start, end and digest of each unit with enough words."""
+def cut(text: str, kind: str = "line", min_words: int = MIN_WORDS) -> list[Unit]:
+    """Start, end and digest of each unit with enough words, and whether it has
+    as many as a passage."""
     if kind == "all":
         return cut(text, "line", min_words) + passages(text)
     if kind == "passage":
@@ -96,64 +104,82 @@ def cut(text: str, kind: str = "line", min_words: int = MIN_WORDS) -> list[tuple
     for m in (LINES if kind == "line" else PARAGRAPHS).finditer(text):
         words = m[0].lower().split()
         if len(words) >= min_words:
-            out.append((m.start(), m.end(), hashlib.blake2b(" ".join(words).encode(), digest_size=12).digest()))
+            out.append((m.start(), m.end(), hashlib.blake2b(" ".join(words).encode(), digest_size=12).digest(),
+                        len(words) >= PASSAGE))
     return out
 
 
-def units(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per unit, and one per document with the start -1 and the number
-    of its units in ``end``. ``k`` and ``v`` are the digest."""
+def units(rows_: DataFrame, kind: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+    """One row per unit of ``row, doc_id, text``, and one per row with the start -1
+    and the number of its units in ``end``. ``k`` and ``v`` are the digest."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for part in slices(b.text.str.len().fillna(0).astype(int), 1_000_000):
                 found = [cut(t or "", kind, min_words) for t in b.text.iloc[part]]
-                ids, n = b.doc_id.iloc[part].reset_index(drop=True), np.array([len(f) for f in found])
-                yield pd.DataFrame({"doc_id": ids, "start": -1, "end": n, "k": 0, "v": 0})
+                head, n = b[["row", "doc_id"]].iloc[part].reset_index(drop=True), np.array([len(f) for f in found])
+                yield head.assign(start=-1, end=n, k=0, v=0, long=False)
                 if n.sum():
-                    start, end, digest = zip(*(u for f in found for u in f))
+                    start, end, digest, long = zip(*(u for f in found for u in f))
                     key = np.frombuffer(b"".join(digest), [("k", "<i8"), ("v", "<i4")])
-                    yield pd.DataFrame({"doc_id": ids.repeat(n).reset_index(drop=True), "start": start, "end": end,
-                                        "k": key["k"], "v": key["v"]})
+                    yield head.loc[head.index.repeat(n)].reset_index(drop=True).assign(
+                        start=start, end=end, k=key["k"], v=key["v"], long=long)
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return texts(docs).mapInPandas(rows, f"doc_id {id_type}, start int, end int, k long, v int")
+    id_type = rows_.schema["doc_id"].dataType.simpleString()
+    return rows_.mapInPandas(rows, f"row long, doc_id {id_type}, start int, end int, k long, v int, long boolean")
 
 
 def duplicates(found: DataFrame) -> DataFrame:
-    """``doc_id, start, end`` of the units to remove."""
+    """``row, start, end, long`` of the units to remove."""
     slot, bit = F.pmod("k", F.lit(SLOTS)).cast("int").alias("slot"), "cast(pmod(shiftright(k, 20), 64) as int)"
     u = found.where("start >= 0")
     repeated = u.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select(slot, F.expr(bit).alias("bit"))
     table = repeated.groupBy("slot").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
     u = (u.select("*", slot).join(F.broadcast(table), "slot").where(f"getbit(bits, {bit}) = 1")
-         .select("k", "v", "doc_id", "start", "end"))
-    first = (u.groupBy("k", "v").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"))
-             .where("n > 1").drop("n"))
+         .select("k", "v", "row", "doc_id", "start", "end", "long"))
+    first = written(u.groupBy("k", "v").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"))
+                    .where("n > 1"), "firsts")
+    # at most HOT digests can have more than this share of all occurrences
+    often = (first.agg(F.sum("n")).first()[0] or 0) / HOT
+    hot = F.broadcast(first.where(F.col("n") > often).drop("n"))
     at = F.struct("doc_id", "start")
-    return u.join(first, ["k", "v"]).where(~at.eqNullSafe(F.col("first"))).select("doc_id", "start", "end").distinct()
-
-
-def report(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """Per document the number of units, of removed ones and of their
-    characters, and the removed spans in order."""
-    found = written(units(docs, kind, min_words), "units")
-    heads = found.where("start < 0").groupBy("doc_id").agg(F.max("end").cast("long").alias("n_units"))
-    gone = duplicates(found).groupBy("doc_id").agg(
-        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("at"))
-    out = heads.alias("h").join(gone.alias("g"), F.col("h.doc_id").eqNullSafe(F.col("g.doc_id")), "left").select(
-        "h.doc_id", "n_units", F.coalesce(F.size("at"), F.lit(0)).cast("long").alias("n_removed"),
+    rest = u.join(hot.select("k", "v"), ["k", "v"], "left_anti").join(
+        first.where(F.col("n") <= often).drop("n"), ["k", "v"])
+    both = u.join(hot, ["k", "v"]).unionByName(rest)
+    return both.where(~at.eqNullSafe(F.col("first"))).select("row", "start", "end", "long").distinct()
+
+
+def reported(rows_: DataFrame, kind: str, min_words: int) -> DataFrame:
+    found = written(units(rows_, kind, min_words), "units")
+    heads = found.where("start < 0").select("row", "doc_id", F.col("end").cast("long").alias("n_units"))
+    gone = duplicates(found).groupBy("row").agg(
+        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("at"), F.count_if("long").alias("n_long"))
+    out = heads.join(gone, "row", "left").select(
+        "row", "doc_id", "n_units", F.coalesce("n_long", F.lit(0)).alias("n_removed"),
+        (F.coalesce(F.size("at"), F.lit(0)) - F.coalesce("n_long", F.lit(0))).cast("long").alias("n_lines"),
         F.col("at.start").alias("lo"), F.col("at.end").alias("hi"))
 
     def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            spans = [union(lo, hi) if n else [] for n, lo, hi in zip(b.n_removed, b.lo, b.hi)]
-            yield b[["doc_id", "n_units", "n_removed"]].assign(
+            spans = [union(lo, hi) if lo is not None else [] for lo, hi in zip(b.lo, b.hi)]
+            yield b[["row", "doc_id", "n_units", "n_removed", "n_lines"]].assign(
                 removed_chars=[sum(z - a for a, z in s) for s in spans],
                 spans=[",".join(f"{a}:{z}" for a, z in s) for s in spans])
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return out.mapInPandas(merged, f"doc_id {id_type}, n_units long, n_removed long, removed_chars long, spans string")
+    id_type = rows_.schema["doc_id"].dataType.simpleString()
+    return out.mapInPandas(merged, f"row long, doc_id {id_type}, n_units long, n_removed long, n_lines long, "
+                                   "removed_chars long, spans string")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    return texts(docs).withColumn("row", F.monotonically_increasing_id())
+
+
+def report(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+    """Per row the number of units, of removed ones with as many words as a
+    passage (``n_removed``) and of shorter removed lines (``n_lines``), the removed
+    characters, and all removed spans in order."""
+    return reported(numbered(docs), kind, min_words).drop("row")
 
 
 def union(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
@@ -168,10 +194,10 @@ def union(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
 
 
 def remove(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, text`` with the repeated units cut out, and the removed spans."""
-    spans = report(docs, kind, min_words).select("doc_id", "spans")
-    d = texts(docs).alias("d").join(spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), "left").select(
-        "d.doc_id", "text", "spans")
+    """``doc_id, text`` with each row's own repeated units cut out, and the removed
+    spans."""
+    rows_ = written(numbered(docs), "rows")
+    d = rows_.join(reported(rows_, kind, min_words).select("row", "spans"), "row").select("doc_id", "text", "spans")
 
     def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

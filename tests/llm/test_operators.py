@@ -211,7 +211,7 @@ def test_secret_rows(edge, empty):
 def test_decontamination_edges(spark, edge, empty):
     items = spark.createDataFrame([(7, "two three", "x"), (8, None, "x"), (9, "", "x"), (7, "two three", "x"),
                                    (10, "absent words", "x")], "item_id long, text string, row string")
-    rows = sorted(map(tuple, postings.decontaminate(edge, items).collect()), key=str)
+    rows = sorted([tuple(r)[:6] for r in postings.decontaminate(edge, items).collect()], key=str)
     assert len(rows) == len(EDGE)
     sha = hashlib.sha256(b"7").hexdigest()
     assert rows.count((1, 7, 2, 1, sha, True)) == 2 and (None, 7, 2, 1, sha, True) in rows
@@ -220,6 +220,20 @@ def test_decontamination_edges(spark, edge, empty):
     assert postings.decontaminate(edge, items.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_repeated_and_missing_item_ids(spark):
+    # two texts of one length under one id, and an item without an id: each is searched for
+    a, b, c = (" ".join(f"{k}{i}" for i in range(15)) for k in "abc")
+    items = spark.createDataFrame([(1, a), (1, b), (None, c), (2, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {a} y"), (2, b), (3, c), (4, "none")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in postings.decontaminate(docs, items).collect()}
+    assert [(got[k]["n_hit"], got[k]["n_items"], got[k]["contaminated"]) for k in (1, 2, 3, 4)] == [
+        (15, 1, True), (15, 1, True), (15, 0, True), (0, 0, False)]
+    assert got[1]["items_sha256"] == got[2]["items_sha256"] == hashlib.sha256(b"1").hexdigest()
+    drifted = " ".join(f"a{i}" if i != 7 else "a7 extra" for i in range(15))  # a word put in breaks the phrase
+    near = postings.decontaminate(spark.createDataFrame([(1, drifted)], "doc_id long, text string"), items).first()
+    assert near["n_hit"] == 0 and near["n_near"] > 0 and near["n_near_items"] == 1
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x beta"), (2, "alpha beta"), (3, "beta q q q q q alpha")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")
@@ -353,15 +367,16 @@ def test_packing_is_optimal_on_small_cases():
 def brute_units(rows):
     first, out = {}, {}
     for d, t in sorted(rows):
-        gone, at, n = [], 0, 0
+        gone, at, n, long = [], 0, 0, 0
         for line in (t or "").split("\n"):
             key = " ".join(line.lower().split())
             if len(line.split()) >= unit_dedup.MIN_WORDS:
                 n += 1
                 if first.setdefault(key, (d, at)) != (d, at):
                     gone.append((at, at + len(line)))
+                    long += len(line.split()) >= unit_dedup.PASSAGE
             at += len(line) + 1
-        out[d] = (n, len(gone), sum(b - a for a, b in gone), ",".join(f"{a}:{b}" for a, b in gone))
+        out[d] = (n, long, len(gone) - long, sum(b - a for a, b in gone), ",".join(f"{a}:{b}" for a, b in gone))
     return out
 
 
@@ -374,6 +389,25 @@ def test_unit_dedup(spark, docs, plain, edge, empty):
         1: "a b c d e f\nkeep", 2: "x\ny", 3: None}
 
 
+def test_rows_that_share_an_id_keep_their_own_spans(spark):
+    line = "one two three four five six"
+    rows = [(1, line), (5, f"head\n{line}\ntail"), (5, "another text that nobody repeats at all here"), (None, f"x\n{line}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = sorted(str(r["text"]) for r in unit_dedup.remove(df).collect())
+    # the null id ranks first and keeps the line
+    assert texts == sorted(["", "head\ntail", "another text that nobody repeats at all here", f"x\n{line}"])
+    report = unit_dedup.report(df).collect()
+    assert sorted((r["n_removed"], r["n_lines"]) for r in report) == [(0, 0), (0, 0), (0, 1), (0, 1)]
+
+
+@pytest.mark.parametrize("hot", [1, 3, 1000])
+def test_frequent_lines_by_either_join(spark, hot, monkeypatch):
+    monkeypatch.setattr(unit_dedup, "HOT", hot)
+    rows = [(i, "the very same words here\n" + f"number {i % 7} of the other lines\nown {i} a b c") for i in range(60)]
+    got = {r["doc_id"]: tuple(r)[1:] for r in unit_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_units(rows)
+
+
 def test_passage_dedup(spark):
     rng = np.random.default_rng(5)
     new = lambda n: [f"w{i}" for i in rng.integers(0, 10**9, n)]
