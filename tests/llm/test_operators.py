@@ -199,6 +199,101 @@ def test_secret_structure():
     assert secret_scan.structural_spans(b64encode(bytes(broken)).decode()) == []
 
 
+def tlv(tag, *parts):
+    body = b"".join(parts)
+    n = len(body)
+    size = n.to_bytes((n.bit_length() + 7) // 8 or 1, "big")
+    return bytes([tag]) + (size if n < 128 else bytes([128 + len(size)]) + size) + body
+
+
+OID = tlv(0x06, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01")
+PRIVATE = {"pkcs8": tlv(0x30, tlv(2, b"\0"), tlv(0x30, OID, tlv(5)), tlv(4, bytes(range(180)))),
+           "ec": tlv(0x30, tlv(2, b"\1"), tlv(4, bytes(32)), tlv(0xA0, OID)),
+           "encrypted": tlv(0x30, tlv(0x30, OID, tlv(0x30, tlv(4, b"12345678"))), tlv(4, bytes(160)))}
+PUBLIC = {"spki": tlv(0x30, tlv(0x30, OID, tlv(5)), tlv(3, b"\0", bytes(range(200)))),
+          "rsa": tlv(0x30, tlv(2, bytes(range(1, 129))), tlv(2, b"\1\0\1")),
+          "ssh": b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", bytes(32)))}
+
+
+def openssh_key():
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    return b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(
+        bytes(51)) + field(bytes(120))
+
+
+def found(text):
+    return [(k, text[a:b]) for a, k, b in sorted(secret_scan.structural_spans(text))]
+
+
+@pytest.mark.parametrize("name", PRIVATE)
+def test_private_keys_in_every_form(name):
+    data = PRIVATE[name]
+    one, url, hexed = b64encode(data).decode(), urlsafe_b64encode(data).decode().rstrip("="), data.hex()
+    for text in (one, url, hexed):
+        assert found(f"see {text} there") == [("der", text)]
+    assert found(f"x {b64encode(one.encode()).decode()}") == [("der", b64encode(one.encode()).decode())]  # twice encoded
+    for width in (64, 76):
+        for text in (one, hexed):
+            body = "\n".join(text[k:k + width] for k in range(0, len(text), width))
+            if "\n" in body:
+                assert found(f"the key:\n{body}\nend of it") == [("der", body)]
+    pem = f"-----BEGIN PRIVATE KEY-----\n{one}\n-----END PRIVATE KEY-----"
+    assert found(pem) == [("pem", pem)]
+    assert found("v=" + b64encode(pem.encode()).decode())[0][0] == "pem"
+
+
+def test_encrypted_armour_and_openssh():
+    pem = ("-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n"
+           + b64encode(bytes(160)).decode() + "\n-----END RSA PRIVATE KEY-----")
+    assert found(f"a {pem} b") == [("pem", pem)]
+    key = b64encode(openssh_key()).decode()
+    assert found(key) == [("openssh", key)]
+    assert found(b64encode(openssh_key()[:40]).decode()) == []
+
+
+@pytest.mark.parametrize("name", PUBLIC)
+def test_public_keys_are_no_secrets(name):
+    for text in (b64encode(PUBLIC[name]).decode(), urlsafe_b64encode(PUBLIC[name]).decode(), PUBLIC[name].hex()):
+        body = "\n".join(text[k:k + 64] for k in range(0, len(text), 64))
+        assert found(text) == [] == found(f"-----BEGIN PUBLIC KEY-----\n{body}\n-----END PUBLIC KEY-----")
+
+
+def test_secret_query_on_planted_rows(spark):
+    key, token = b64encode(PRIVATE["pkcs8"]).decode(), jwt()
+    body = "\n".join(key[k:k + 64] for k in range(0, len(key), 64))
+    rows = [(1, f"clean\n{body}\ntext"), (2, f"bearer {token} x password=abcdefgh1"), (3, b64encode(PUBLIC["spki"]).decode())]
+    got = {r["doc_id"]: r for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["spans"] == f"der:6:{6 + len(body)}" and got[1]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    at = 7 + len(token) + 3
+    assert got[2]["spans"] == f"token:7:{7 + len(token)},assign:{at}:{at + 18}" and got[2]["n_assign"] == 1
+    assert (got[3]["spans"], got[3]["n_spans"]) == ("", 0)
+
+
+def test_base_spans_equal_a_plain_scan(spark):
+    import re
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    plain = {r["doc_id"]: r["text"] for r in docs.collect()}
+    word = "password passwd secret token api_key apikey".split()
+
+    def naive(text):
+        out = []
+        for m in re.finditer("(" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in word)
+                             + r""")["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=-]+)""", text):
+            if len(m[2]) >= 8:
+                out.append((m.start(), 0, "assign", m.end()))
+        out += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+        out += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+        return sorted(out)
+
+    got = secret_scan.scan(docs).collect()
+    assert len(got) == len(plain) and any(r["n_assign"] for r in got)
+    for r in got:
+        spans = naive(plain[r["doc_id"]] or "")
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(s[1] == k for s in spans) for k in range(3))
+        listed = ",".join(f"{k}:{a}:{b}" for a, _, k, b in spans)
+        assert r["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
+
+
 def test_secret_rows(edge, empty):
     rows = secret_scan.scan(edge).collect()
     assert len(rows) == len(EDGE)
@@ -459,6 +554,16 @@ def test_token_files(docs, plain, edge, empty):
     assert rans.roundtrip(empty, tokenizer(WORD)).count() == 0
 
 
+def test_a_file_is_all_that_is_needed(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(rans, "POINTS", 1)
+    monkeypatch.setattr(rans, "STEPS", 2)
+    monkeypatch.setattr(rans, "LANES", 16)  # many checkpoints in a block, and within a document
+    rans.write_file(rans.token_table(docs, tokenizer(WORD)), f"{tmp_path}/f")
+    want = {r["doc_id"]: r for r in rans.roundtrip(docs, tokenizer(WORD)).collect()}
+    got = rans.read_file(spark.newSession(), f"{tmp_path}/f").collect()
+    assert len(got) == len(want) and all(r == want[r["doc_id"]] for r in got)
+
+
 def test_coder_checkpoints_and_checksum():
     rng = np.random.default_rng(5)
     data = rng.zipf(1.3, 900_001) % 5000
@@ -475,3 +580,18 @@ def test_coder_checkpoints_and_checksum():
         c.decode(bytes(bent))
     for few in ([], [7]):
         assert c.decode(c.encode(np.array(few, np.int64), np.array([len(few)])))[1].tolist() == few
+
+
+# completions of many pieces
+
+def test_fillings_of_many_pieces():
+    for room in (1, 150, 1000, 2048):
+        p = bin_completion.Packing([1] * 3000)
+        assert p.fillings(room) == [[1] * room]
+        assert p.count[1] == 3000
+    p = bin_completion.Packing([7] * 500 + [3] * 500 + [2] * 500)
+    assert sum(p.fillings(1999)[0]) == 1999
+    mixed = bin_completion.Packing(([500, 601, 702, 803, 3, 2, 1] * 400)[:2500])
+    bins = mixed.solve()
+    assert sorted(n for b in bins for n in b) == sorted(mixed.lengths) and max(map(sum, bins)) <= mixed.size
+    assert mixed.bound() <= len(bins) <= len(mixed.best_fit())
