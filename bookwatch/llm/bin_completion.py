@@ -7,7 +7,12 @@ packed by branch and bound: the largest piece left opens a sequence, the
 undominated fillings of the room around it are the branches, branches whose
 waste cannot beat the best packing known are cut, and best-fit decreasing gives
 the first packing to beat. Sequences that stay badly filled are opened and
-their pieces packed again together until one group is left.
+their pieces packed again together until one group is left, or until most of
+them stay as they are.
+
+Every piece is packed whatever the limits; they bound the search alone, which
+backs up from the last sequences first, so the result is proven best only where
+it meets the lower bound (``Packing.bound``).
 
 Defined results: a null or empty text is its end id; repeated rows are packed
 one by one; an empty table gives no rows; other columns are ignored.
@@ -30,8 +35,10 @@ from .tokens import Ids
 
 SEQUENCE = 2048
 END = 0
-#: Pieces of a group, search nodes of a group, fillings tried at a node.
+#: Pieces of a group, dives of a group, fillings tried at a sequence.
 GROUP, NODES, WIDTH = 4096, 400, 4
+#: Steps of the search for fillings, and sizes tried at a step.
+TRIES, WIDE = 200, 6
 #: A sequence with more room than this share is packed once more.
 LOOSE = 0.01
 
@@ -108,20 +115,25 @@ class Packing:
 
     def largest(self, room: int, below: int) -> int | None:
         """Index of the largest size left that is at most ``room``, at most ``below``."""
-        k = min(bisect_right(self.sizes, room) - 1, below)
+        k = min(bisect_right(self.sizes, room, 0, below + 1) - 1, below)
         while k >= 0 and not self.count[self.sizes[k]]:
             k -= 1
         return k if k >= 0 else None
 
     def fillings(self, room: int) -> list[list[int]]:
-        """Undominated fillings of ``room``, the fullest first.
+        """Fillings of ``room``, the fullest first; at least one.
 
-        Every filling is maximal (nothing left fits beside it) and takes its
-        last piece as large as possible, so that replacing a piece by a larger
-        one, or by pieces that fit in its place, never helps: those fillings are
-        dominated and not listed. An exact filling ends the search."""
+        Every filling is maximal (nothing left fits beside it). Sizes are taken
+        in falling order, a run of equal ones in one step: as many as fit, or one
+        fewer, or none. A filling from which a piece could be exchanged for a
+        larger one that is left over would be dominated; trying larger sizes
+        first finds those that are not before those that are. The search is
+        bounded (``TRIES`` steps, ``WIDE`` sizes at a step): when it ends early,
+        each open branch is completed by the largest pieces that fit, so the list
+        is never empty, but may lack fillings that are not dominated. An exact
+        filling ends the search."""
         found: list[tuple[int, list[int]]] = []
-        budget = 200
+        budget = TRIES
 
         def extend(room: int, below: int, taken: list[int]) -> bool:
             nonlocal budget
@@ -130,16 +142,19 @@ class Packing:
                 found.append((room, taken))
                 return room == 0
             tried = 0
-            while k is not None and tried < 6 and budget > 0:
-                budget -= 1
+            while k is not None and tried < WIDE:
                 n = self.sizes[k]
-                if tried and found and n * 2 <= min(f[0] for f in found):
+                if tried and (budget <= 0 or n * 2 <= min(f[0] for f in found)):
                     break
-                self.count[n] -= 1
-                done = extend(room - n, k, [*taken, n])
-                self.count[n] += 1
-                if done:
-                    return True
+                most = min(self.count[n], room // n)
+                # out of budget, the fullest run alone is followed
+                for run in (most, most - 1) if most > 1 and budget > 0 else (most,):
+                    budget -= 1
+                    self.count[n] -= run
+                    done = extend(room - run * n, k - 1, taken + [n] * run)
+                    self.count[n] += run
+                    if done:
+                        return True
                 tried += 1
                 k = self.largest(room, k - 1) if k else None
             return False
