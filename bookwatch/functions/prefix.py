@@ -96,6 +96,9 @@ class RangeBlocks:
         than a group of blocks or the table of groups of a key."""
         values, keys = list(values), list(keys)
         tot = self.placed.groupBy("__blk", *keys).agg(*[F.sum(v).alias(v + "__t") for v in values])
+        if self.blocks == 1:  # nothing comes before
+            return tot.select("*", *[F.col(v + "__t").alias("total_" + v) for v in values],
+                              *[F.lit(0).alias(v + "__o") for v in values])
         tot = tot.withColumn("__grp", F.floor(F.col("__blk") / group).cast("int"))
         before = Window.partitionBy(*keys).orderBy("__grp").rowsBetween(Window.unboundedPreceding, -1)
         within = Window.partitionBy(*keys, "__grp").orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)

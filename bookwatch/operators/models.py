@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import inheritable_thread_target
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -82,6 +84,10 @@ class Bundle:
 KINDS = {"logistic": "balanced", "forest": "balanced", "boosted": "ratio", "boosted_balanced": "balanced"}
 
 
+#: Rows of a partition of the training matrix at least.
+TASK_ROWS = 20_000
+
+
 def fit_bundles(train: DataFrame, kinds: Sequence[str] = tuple(KINDS), label: str = S.TARGET,
                 threshold: float = S.DEFAULT_THRESHOLD, schemes: dict | None = None,
                 params: dict[str, dict] | None = None) -> dict[str, Bundle]:
@@ -89,7 +95,9 @@ def fit_bundles(train: DataFrame, kinds: Sequence[str] = tuple(KINDS), label: st
     once, and fit a classifier of each kind on it. Rows without a label are left
     out. Inputs are those of the frame's schema (``preprocess.model_groups``); the
     label is never one. The written matrix is also persisted, because iterative
-    learners pass over it many times; a lost executor reads it again."""
+    learners pass over it many times; a lost executor reads it again. Its
+    partitions hold ``TASK_ROWS`` rows or more, and the learners run side by side,
+    as a round of one leaves most of a cluster idle."""
     schemes = {k: (schemes or {}).get(k) or KINDS[k] for k in kinds}
     labelled = train.where(F.col(label).isNotNull())
     groups = PP.model_groups(labelled, [*S.MODEL_EXCLUDE, label])
@@ -99,9 +107,10 @@ def fit_bundles(train: DataFrame, kinds: Sequence[str] = tuple(KINDS), label: st
                                     name=f"weight_{scheme}")
     pre = PP.fit_preprocessor(labelled, groups)
     matrix = written(pre.transform(weighted).select(
-        "features", label, *[f"weight_{s}" for s in sorted(set(schemes.values()))]), "matrix").persist()
-    bundles = {}
-    for kind in kinds:
+        "features", label, *[f"weight_{s}" for s in sorted(set(schemes.values()))]), "matrix")
+    matrix = matrix.coalesce(max(1, -(-matrix.count() // TASK_ROWS))).persist()
+
+    def fitted(kind: str) -> Bundle:
         weight, own = f"weight_{schemes[kind]}", (params or {}).get(kind, {})
         if kind == "logistic":
             est = logistic(label, weight, n_train=matrix.agg(F.sum(weight)).first()[0], **own)
@@ -109,8 +118,11 @@ def fit_bundles(train: DataFrame, kinds: Sequence[str] = tuple(KINDS), label: st
             est = forest(label, weight, **own)
         else:
             est = boosted(label, weight, **own)
-        bundles[kind] = Bundle(kind, PipelineModel(stages=[*pre.stages, est.fit(matrix)]), threshold,
-                               PP.input_columns(groups), label)
+        return Bundle(kind, PipelineModel(stages=[*pre.stages, est.fit(matrix)]), threshold,
+                      PP.input_columns(groups), label)
+
+    with ThreadPoolExecutor(max(1, len(kinds))) as pool:
+        bundles = dict(zip(kinds, pool.map(inheritable_thread_target(train.sparkSession)(fitted), kinds)))
     matrix.unpersist()
     return bundles
 

@@ -538,6 +538,69 @@ register("compare_models", _compare_sql())(_compare_query)
 register("best_model", "SELECT * FROM (" + _compare_sql() + ") ORDER BY roc_auc DESC, model LIMIT 1")(
     lambda s, d: EV.best_model(_compare_query(s, d)))
 
+# the same with gaps: scores that are missing or NaN, outcomes that are missing
+GAPS = SCB.rstrip() + """,
+gaps AS (SELECT * REPLACE (CASE WHEN booking_id % 11 = 0 THEN 'nan'::DOUBLE WHEN booking_id % 13 = 0 THEN NULL
+   ELSE predicted_cancellation_probability END AS predicted_cancellation_probability,
+  CASE WHEN booking_id % 17 = 0 THEN NULL ELSE is_canceled END AS is_canceled) FROM scored),
+judged AS (SELECT is_canceled AS y, CASE WHEN NOT isnan(predicted_cancellation_probability)
+   THEN predicted_cancellation_probability END AS score FROM gaps WHERE is_canceled IS NOT NULL),
+gc AS (SELECT score, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg FROM judged
+  WHERE score IS NOT NULL GROUP BY score)
+"""
+
+
+def gapped_test(spark, d):
+    """The scored test split with every 11th score NaN, every 13th missing, every
+    17th outcome missing, by booking id."""
+    key = F.col(S.BOOKING_ID)
+    score = F.when(key % 11 == 0, float("nan")).when(key % 13 == 0, None).otherwise(F.col(S.PROBABILITY))
+    return scored_test(spark, d).withColumns({
+        S.PROBABILITY: score, S.TARGET: F.when(key % 17 == 0, None).otherwise(F.col(S.TARGET))})
+
+
+register("roc_auc_gaps", GAPS + """SELECT sum(pos * (cum_neg + neg * 0.5::DOUBLE)) / (sum(pos) * sum(neg)) AS roc_auc
+ FROM (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum_neg FROM gc)""")(
+    lambda s, d: EV.roc_auc(gapped_test(s, d)))
+register("roc_curve_gaps", GAPS + """SELECT score AS threshold,
+ round(sum(neg) OVER w / sum(neg) OVER (), 6) AS fpr, round(sum(pos) OVER w / sum(pos) OVER (), 6) AS tpr,
+ CAST(sum(pos) OVER w AS BIGINT) AS tp, CAST(sum(neg) OVER w AS BIGINT) AS fp FROM gc
+ WINDOW w AS (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+ UNION ALL SELECT NULL, 0.0::DOUBLE, 0.0::DOUBLE, 0, 0""")(lambda s, d: EV.roc_curve(gapped_test(s, d)))
+register("threshold_sweep_gaps", GAPS + f"""SELECT threshold, {_metrics_sql(3)} FROM (SELECT threshold,
+  count(*) FILTER (WHERE y = 0 AND NOT coalesce(score >= threshold, false)) AS tn,
+  count(*) FILTER (WHERE y = 0 AND score >= threshold) AS fp,
+  count(*) FILTER (WHERE y = 1 AND NOT coalesce(score >= threshold, false)) AS fn,
+  count(*) FILTER (WHERE y = 1 AND score >= threshold) AS tp
+ FROM judged, (SELECT unnest({_THR}) AS threshold) GROUP BY threshold)""")(
+    lambda s, d: EV.threshold_sweep(gapped_test(s, d)))
+register("stratified_split_gaps", FT + """, g AS (SELECT booking_id, CASE WHEN booking_id % 17 = 0 THEN NULL ELSE is_canceled END
+  AS is_canceled FROM features), r AS (SELECT *, row_number() OVER (PARTITION BY is_canceled
+   ORDER BY md5(CAST(booking_id AS VARCHAR) || '|42'), booking_id) AS rn, count(*) OVER (PARTITION BY is_canceled) AS n FROM g)
+SELECT booking_id, is_canceled, CASE WHEN is_canceled IS NULL THEN NULL WHEN rn <= round(0.2 * n) THEN 'test' ELSE 'train' END
+ AS split FROM r""")(
+    lambda s, d: PP.assign_split(features(s, d).withColumn(
+        S.TARGET, F.when(F.col(S.BOOKING_ID) % 17 == 0, None).otherwise(F.col(S.TARGET)))).select(
+            S.BOOKING_ID, S.TARGET, "split"))
+
+# every 10th booking a second time under another id
+REPEATED = BK.rstrip() + """,
+repeated AS (SELECT * FROM bookings UNION ALL SELECT * REPLACE (booking_id + 1000000000 AS booking_id)
+  FROM bookings WHERE booking_id % 10 = 0)
+"""
+
+
+def repeated_bookings(spark, d):
+    b = bookings(spark, d)
+    return b.union(b.where(F.col(S.BOOKING_ID) % 10 == 0).withColumn(S.BOOKING_ID, F.col(S.BOOKING_ID) + 1_000_000_000))
+
+
+register("duplicate_count_repeated", REPEATED + f"""SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS duplicate_rows
+ FROM (SELECT count(*) AS c FROM repeated GROUP BY {_cols_sql(_NO_ID)})""")(
+    lambda s, d: Q.duplicate_count(repeated_bookings(s, d)))
+register("drop_duplicates_repeated", REPEATED + f"""SELECT min(booking_id) AS booking_id, {_cols_sql(_NO_ID)}
+ FROM repeated GROUP BY {_cols_sql(_NO_ID)}""")(lambda s, d: Q.drop_duplicates(repeated_bookings(s, d)))
+
 # --------------------------------------------------------------------------- decision support
 register("risk_tier", SCB + "SELECT booking_id, predicted_cancellation_probability, risk_category FROM scored")(
     lambda s, d: scored_test(s, d).select(S.BOOKING_ID, S.PROBABILITY, S.RISK_CATEGORY))

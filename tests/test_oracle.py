@@ -12,7 +12,7 @@ SQL = E.oracle_sql()
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_oracle(spark, duck_small, name):
     r = compare(spark, duck_small, name, E.queries()[name], SQL[name], SF_SMALL)
-    assert r["cols_ok"], r
+    assert r["cols_ok"] and r["types_ok"], r
     assert r["rows"] == r["drows"], r
     assert r["vals_ok"], r
 
