@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, slices, texts, worker_memory
+from .common import remainder, slices, texts
 
 BITS = 22
 FIT_ROWS = 12_000
@@ -32,7 +32,6 @@ MIN_DOCS = 8
 BALANCE = 0.3
 THRESHOLD = 0.7
 PUNCTUATION = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
-KEEP = 500_000
 
 
 def words(text: str) -> list[bytes]:
@@ -42,20 +41,11 @@ def words(text: str) -> list[bytes]:
 def word_ids(batch: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of a batch, and each text's number of words."""
     import xxhash
-    known = worker_memory().setdefault("ftrl words", {})
-    digest = xxhash.xxh3_64_intdigest
     sizes, out = [], []
     for t in batch:
         w = words(t) if t else []
-        ids = list(map(known.get, w))
-        if None in ids:
-            if len(known) > KEEP:
-                known.clear()
-            for k, x in enumerate(ids):
-                if x is None:
-                    ids[k] = known[w[k]] = digest(w[k])
-        sizes.append(len(ids))
-        out.append(np.array(ids, np.uint64))
+        sizes.append(len(w))
+        out.append(np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w)))
     return np.concatenate(out) if out else np.empty(0, np.uint64), np.array(sizes, np.int64)
 
 

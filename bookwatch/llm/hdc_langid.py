@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, slices, texts
+from .common import remainder, slices, texts, worker_memory
 
 DIM = 1024
 SEED = 20_25
@@ -102,6 +102,7 @@ def fit_prototypes(docs: DataFrame, dim: int = DIM) -> dict[str, np.ndarray]:
     numbers."""
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_memory()
         enc = Encoder(dim)
         weights: dict[str, dict[int, float]] = {}
         total: dict[str, np.ndarray] = {}
@@ -148,6 +149,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM)
     matrix = np.stack([prototypes[n] for n in names]) if names else np.zeros((0, dim), np.float32)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_memory()
         enc = Encoder(dim)
         for b in batches:
             for s in slices(b.text.str.len().fillna(0).tolist(), 2_000_000):

@@ -43,7 +43,6 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 LEAST = NUM / DEN - 5 * (NUM / DEN * (1 - NUM / DEN) / M) ** 0.5
 BLOCK = 256
 SMALL = 1_000_000
-KEEP = 500_000
 _rng = np.random.default_rng(7)
 MIX = _rng.integers(1 << 62, 1 << 63, M, dtype=np.uint64) | np.uint64(1)
 SALT = _rng.integers(0, 1 << 63, M, dtype=np.uint64)
@@ -55,16 +54,7 @@ def shingles(text: str | None) -> np.ndarray:
     w = words_of(text) if text else []
     if not w:
         return np.empty(0, np.uint64)
-    known = worker_memory().setdefault("shingle words", {})
-    ids = list(map(known.get, w))
-    if None in ids:
-        if len(known) > KEEP:
-            known.clear()
-        digest = xxhash.xxh3_64_intdigest
-        for k, x in enumerate(ids):
-            if x is None:
-                ids[k] = known[w[k]] = digest(w[k])
-    h = np.array(ids, np.uint64)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w))
     n = max(1, len(h) - SHINGLE + 1)
     out = np.full(n, len(h) if len(h) < SHINGLE else SHINGLE, np.uint64)
     for k in range(min(SHINGLE, len(h))):
@@ -132,6 +122,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     (null for the empty set), one row per document."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_memory()
         for b in batches:
             out = []
             for t in b.text:

@@ -7,7 +7,8 @@ library's merge model. Where white space always separates pieces, the memory
 holds the ids of whole chunks between it, so a text is only split there. Where a text has characters beyond Latin-1, whose classes
 or normal forms could depend on a Unicode version, it is first cut at white
 space and the chunks that hold such characters are encoded whole by the
-library. The memory is bounded and shared by the tasks of one worker process.
+library. The memory is bounded (about 130 MB a worker process), passes from task
+to task of the same stage, and is given up when the worker does other work.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ PIECES = {
 # Characters beyond Latin-1, and those that some definitions of white space include.
 UNSURE = re.compile("[\x1c-\x1f\x85\xa0Ā-\U0010ffff]")
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁠　﻿]")
-#: Pieces remembered by a worker, and the longest that is.
+#: Units remembered by a worker, and the longest that is.
 KEEP, KEEP_CHARS = 900_000, 32
 
 
@@ -73,7 +74,7 @@ class Ids:
     def __init__(self, path: str, kind: str, width: int = 4):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         key = (path, kind, width)
-        mine = worker_memory()
+        mine = worker_memory(("ids", *key))
         if key not in mine:
             from tokenizers import Tokenizer
             t = Tokenizer.from_file(path)
@@ -81,9 +82,9 @@ class Ids:
             if t.get_vocab_size() > 1 << 8 * width:
                 raise ValueError(f"ids of {path} do not fit {width} bytes")
             mine[key] = (t, t.model.tokenize, re.compile(CHUNKS[kind]).findall,
-                         re.compile(PIECES[kind]).findall, byte_letters(), Memory(self.piece), Memory(self.chunk))
-        (self.library, self.merge, self.chunks, self.pieces, self.letters,
-         self.known, self.known_chunks) = mine[key]
+                         re.compile(PIECES[kind]).findall, byte_letters(),
+                         Memory(self.piece if kind == "byte" else self.chunk))
+        (self.library, self.merge, self.chunks, self.pieces, self.letters, self.known) = mine[key]
         self.code = {1: "B", 2: "H", 4: "I"}[width]
         self.dtype = np.dtype(f"<u{width}")
         self.lower = kind == "word"
@@ -99,8 +100,8 @@ class Ids:
         return array(self.code, [t.id for t in self.merge(shown)]).tobytes()
 
     def chunk(self, chunk: str) -> bytes:
-        """Ids of a chunk that the caller remembers: a single piece is not kept
-        here as well."""
+        """Ids of a chunk that the caller remembers. A piece is a chunk of its own,
+        so the pieces of longer ones are remembered beside them."""
         if UNSURE.search(chunk):
             return self.of(chunk)
         pieces = self.pieces(chunk)
@@ -114,7 +115,7 @@ class Ids:
             return b""
         if not UNSURE.search(text):
             if self.lower:  # split() knows no white space here but the pattern's
-                return b"".join(map(self.known_chunks.__getitem__, text.lower().split()))
+                return self.parts(text.lower().split())
             return self.parts(self.pieces(text))
         if ODD_SPACE.search(text):
             return self.whole(text)
