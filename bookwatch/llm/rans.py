@@ -18,9 +18,12 @@ Block layout, little endian::
 
 Checkpoint ``c`` stands before step ``c * STEPS``; checkpoint 0 is the start.
 
-Blocks are the binary column of a table on the shared folder (any store that
-Spark reads), beside the part and block number, the place of the block's first
-id in its part, and its document ids.
+A file is a folder (in any store that Spark reads) of two tables. ``blocks`` has
+the blocks as a binary column, beside the part and block number, the place of
+the block's first id in its part, and its document ids; ``frequencies`` has the
+shared table as (id, share) rows. Nothing else is needed to decode it. Reading
+decodes each block from checkpoint to checkpoint, so a very long document takes
+no more memory than the ids between two of them.
 
 Defined results: a null or empty text is its end id; documents with the same id
 are stored one after the other; null ids come first; an empty table gives an
@@ -30,16 +33,18 @@ empty file; other columns are ignored.
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import texts, worker_memory, written
+from ..session import ensure_checkpoint_dir
+from .common import texts, written
 from .tokens import Ids
 
 END = 1
@@ -47,6 +52,7 @@ SCALE = 20  # bits of the frequency total
 LANES = 1024
 STEPS = 256  # steps between checkpoints
 BLOCK = 1 << 20  # ids after which a block is closed
+POINTS = 4  # checkpoints whose ids are decoded together
 MAGIC = 0x31534E52
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
@@ -124,16 +130,26 @@ class Coder:
     def decode(self, block: bytes, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Document lengths of the block, and its ids between two checkpoints
         (all by default)."""
+        read = self.read(block)
+        return read[2], self.between(read, first, last)
+
+    def parts(self, block: bytes, points: int) -> tuple[np.ndarray, Iterator[np.ndarray]]:
+        """Document lengths of the block, and its ids by ``points`` checkpoints."""
+        read = self.read(block)
+        return read[2], (self.between(read, k, min(k + points, len(read[4]))) for k in range(0, len(read[4]), points))
+
+    def between(self, read: tuple, first: int, last: int | None) -> np.ndarray:
         if self.symbol is None:
             self.symbol = np.repeat(np.arange(len(self.freq), dtype=np.uint32), self.freq.astype(np.int64))
-        n, lanes, lengths, place, states, stream = self.read(block)
+        n, lanes, _, place, states, stream = read
         begin = first * STEPS
         end = min(-(-n // lanes), begin + STEPS * ((len(states) if last is None else last) - first))
         out = np.empty(max(0, min(n, end * lanes) - begin * lanes), np.uint32)
         if not len(out):
-            return lengths, out
+            return out
         state, at = states[first].astype(np.uint64), int(place[first])
-        wide, s, mask = stream.astype(np.uint64), np.uint64(SCALE), np.uint64((1 << SCALE) - 1)
+        stop = int(place[last]) if last is not None and last < len(place) else len(stream)
+        wide, at, s, mask = stream[at:stop].astype(np.uint64), 0, np.uint64(SCALE), np.uint64((1 << SCALE) - 1)
         for t in range(begin, end):
             k = min(lanes, n - t * lanes)
             x = state[:k]
@@ -145,7 +161,21 @@ class Coder:
             x[need] = x[need] << WORD | wide[at:at + len(need)]
             at += len(need)
             state[:k] = x
-        return lengths, out
+        return out
+
+
+def document_crcs(lengths: np.ndarray, parts: Iterator[np.ndarray]) -> list[int]:
+    """crc32 of the ids of each document, from the parts of a block in order."""
+    ends = np.cumsum(lengths, dtype=np.int64)
+    begins, out, k, at, running = ends - lengths, [], 0, 0, 0
+    for ids in parts:
+        data, base, at = ids.astype("<u4").tobytes(), at, at + len(ids)
+        while k < len(ends) and ends[k] <= at:
+            out.append(zlib.crc32(data[4 * (max(begins[k], base) - base):4 * (ends[k] - base)], running))
+            k, running = k + 1, 0
+        if k < len(ends) and begins[k] < at:
+            running = zlib.crc32(data[4 * (max(begins[k], base) - base):], running)
+    return out
 
 
 def token_table(docs: DataFrame, path: str, kind: str = "word", end: int = END) -> DataFrame:
@@ -178,9 +208,15 @@ def count_ids(tokens: DataFrame) -> np.ndarray:
     return frequencies(np.array([r["id"] for r in rows], np.int64), np.array([r["c"] for r in rows], np.float64), 1 << 16)
 
 
-def write_blocks(tokens: DataFrame, freq: np.ndarray) -> DataFrame:
-    """The file: blocks of documents in ascending id order. Range partitions
-    keep the order between parts; a tie-break splits an id that is very common."""
+def write_file(tokens: DataFrame, path: str) -> None:
+    """Write the file to the folder ``path``: blocks of documents in ascending id
+    order. Range partitions keep the order between parts; a tie-break splits an
+    id that is very common."""
+    freq = count_ids(tokens)
+    spark = tokens.sparkSession
+    at = np.flatnonzero(freq)  # a row for each id of the vocabulary at most
+    spark.createDataFrame([(int(k), int(freq[k])) for k in at], "id int, share long").coalesce(1).write.parquet(
+        f"{path}/frequencies")
     id_type = tokens.schema["doc_id"].dataType.simpleString()
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,13 +243,17 @@ def write_blocks(tokens: DataFrame, freq: np.ndarray) -> DataFrame:
 
     ordered = (tokens.withColumn("__row", F.monotonically_increasing_id())
                .repartitionByRange("doc_id", "__row").sortWithinPartitions("doc_id", "__row").drop("__row"))
-    return written(ordered.mapInPandas(
-        encode, f"part int, block int, start long, n_ids long, doc_ids array<{id_type}>, payload binary"), "blocks")
+    ordered.mapInPandas(
+        encode, f"part int, block int, start long, n_ids long, doc_ids array<{id_type}>, payload binary"
+    ).write.parquet(f"{path}/blocks")
 
 
-def read_blocks(blocks: DataFrame, freq: np.ndarray) -> DataFrame:
+def read_file(spark: SparkSession, path: str) -> DataFrame:
     """Decode the file: ``doc_id, start, n_tokens, ids_crc32`` per document. The
-    driver gets one number for each part of the file."""
+    driver gets one number for each part of the file, and the frequency table."""
+    blocks, freq = spark.read.parquet(f"{path}/blocks"), np.zeros(1 << 16, np.uint64)
+    for r in spark.read.parquet(f"{path}/frequencies").collect():
+        freq[r["id"]] = r["share"]
     base, at = {}, 0
     for r in blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():
         base[r["part"]] = at
@@ -221,24 +261,21 @@ def read_blocks(blocks: DataFrame, freq: np.ndarray) -> DataFrame:
     id_type = blocks.schema["doc_ids"].dataType.elementType.simpleString()
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mine = worker_memory()
-        key = ("coder", zlib.crc32(freq.tobytes()))
-        coder = mine[key] = mine.get(key) or Coder(freq)
+        coder = Coder(freq)
         for b in batches:
             for part, start, docs, payload in zip(b.part, b.start, b.doc_ids, b.payload):
-                lengths, ids = coder.decode(payload)
-                ends = np.cumsum(lengths, dtype=np.int64)
-                begin = ends - lengths
-                data = ids.astype("<u4").tobytes()
-                yield pd.DataFrame({
-                    "doc_id": list(docs), "start": base[part] + start + begin, "n_tokens": lengths.astype(np.int64),
-                    "ids_crc32": [zlib.crc32(data[4 * lo:4 * hi]) for lo, hi in zip(begin.tolist(), ends.tolist())]})
+                lengths, parts = coder.parts(payload, POINTS)
+                n = lengths.astype(np.int64)
+                yield pd.DataFrame({"doc_id": list(docs), "start": base[part] + start + np.cumsum(n) - n, "n_tokens": n,
+                                    "ids_crc32": document_crcs(n, parts)})
 
     return blocks.select("part", "start", "doc_ids", "payload").mapInPandas(
         decode, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
 def roundtrip(docs: DataFrame, path: str, kind: str = "word", end: int = END) -> DataFrame:
-    tokens = token_table(docs, path, kind, end)
-    freq = count_ids(tokens)
-    return read_blocks(write_blocks(tokens, freq), freq)
+    """Write the token file of ``docs`` to the shared folder and read it back."""
+    spark = docs.sparkSession
+    file = f"{ensure_checkpoint_dir(spark).rstrip('/')}/token-file-{uuid.uuid4().hex}"
+    write_file(token_table(docs, path, kind, end), file)
+    return read_file(spark, file)
