@@ -17,8 +17,8 @@ lines and passages together; spans that overlap are reported as one.
 The first 64 bits of the digests are counted with map-side sums, and repeated
 ones set a bit in a table of bounded size that travels to the tasks. Units whose
 bit is not set are unique and go no further; the others are compared on all bits
-by an equi-join. The first occurrences of the very frequent digests (at most
-``HOT`` of them) travel to the tasks instead, so none gathers in one task. The
+by an equi-join. The first occurrences of the very frequent digests travel to
+the tasks instead, so none gathers in one task. The
 table only saves work: when it is full, every unit is compared.
 
 Defined results: a null or empty text has no units; each row of the input is one
@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts, written
+from .common import slices, spread_join, texts, written
 
 MIN_WORDS = 5
 LINES = re.compile(r"[^\n]+")
@@ -47,8 +47,6 @@ LINES = re.compile(r"[^\n]+")
 PASSAGE, REACH = 30, 2
 #: Words of 64 bits in the table of repeated digests (16 MB as rows at most).
 SLOTS = 1 << 20
-#: Frequent digests whose first occurrences travel to the tasks, at most.
-HOT = 1000
 WORDS = re.compile(r"\S+")
 PARAGRAPHS = re.compile(r"[^\n]+(?:\n(?![^\S\n]*\n)[^\n]+)*")
 
@@ -139,13 +137,8 @@ def duplicates(found: DataFrame) -> DataFrame:
          .select("k", "v", "row", "doc_id", "start", "end", "long"))
     first = written(u.groupBy("k", "v").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"))
                     .where("n > 1"), "firsts")
-    # at most HOT digests can have more than this share of all occurrences
-    often = (first.agg(F.sum("n")).first()[0] or 0) / HOT
-    hot = F.broadcast(first.where(F.col("n") > often).drop("n"))
     at = F.struct("doc_id", "start")
-    rest = u.join(hot.select("k", "v"), ["k", "v"], "left_anti").join(
-        first.where(F.col("n") <= often).drop("n"), ["k", "v"])
-    both = u.join(hot, ["k", "v"]).unionByName(rest)
+    both = spread_join(u, first, ["k", "v"], first.agg(F.sum("n")).first()[0] or 0)
     return both.where(~at.eqNullSafe(F.col("first"))).select("row", "start", "end", "long").distinct()
 
 

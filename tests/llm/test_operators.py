@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bookwatch.llm import (attention_lm, bin_completion, ftrl, hdc_langid, line_rules, postings, rans, secret_scan,
+from bookwatch.llm import (attention_lm, bin_completion, common, ftrl, hdc_langid, line_rules, postings, rans, secret_scan,
                            setsketch, unit_dedup)
 from bookwatch.llm.common import components
 from bookwatch.llm.queries import tokenizer
@@ -105,6 +105,15 @@ def test_near_duplicates_across_components_of_a_band(spark):
     assert {tuple(r) for r in setsketch.link(df).collect()} == brute_components(rows)
 
 
+@pytest.mark.parametrize("hot", [1, 4, 1000])
+def test_components_with_a_hub(spark, hot, monkeypatch):
+    monkeypatch.setattr(common, "HOT", hot)
+    edges = [(5, k) for k in range(10, 200)] + [(k, k + 1) for k in range(300, 330)] + [(199, 300), (2, 17), (400, 401)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r["id"]: r["component"] for r in components(df).collect()}
+    assert got == {k: 2 for k in (2, 5, *range(10, 200), *range(300, 331))} | {400: 400, 401: 400}
+
+
 def test_components_of_single_chains(spark):
     # one chain at a time: others would force the rounds that it needs
     rng = np.random.default_rng(3)
@@ -353,40 +362,147 @@ def test_lm_scores(docs, plain):
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0)
 
 
+def small_experts(n=4000, ids=40, seed=0):
+    rng = np.random.default_rng(seed)
+    texts = [np.append(rng.zipf(1.5, k) % ids, attention_lm.END_ID) for k in rng.integers(0, 80, n // 40)]
+    lengths, flat = np.array([len(t) for t in texts]), np.concatenate(texts).astype(np.int64)
+    one, two = attention_lm.previous(flat, lengths)
+    single = np.bincount(flat, minlength=attention_lm.IDS).astype(float)
+    pairs = np.unique(one * attention_lm.IDS + flat, return_counts=True)
+    triples = np.unique((two * attention_lm.IDS + one) * attention_lm.IDS + flat, return_counts=True)
+    often = triples[1] > 1
+    return attention_lm.Experts(single, pairs, (triples[0][often], triples[1][often])), flat, lengths
+
+
+def test_lm_previous_ids():
+    one, two = attention_lm.previous(np.array([1, 2, 3, 4, 5]), np.array([3, 0, 1, 1]))
+    e = attention_lm.END_ID
+    assert one.tolist() == [e, 1, 2, e, e] and two.tolist() == [e, e, 1, e, e]
+
+
+def test_lm_table_finds_what_it_keeps():
+    keys = np.unique(np.random.default_rng(4).integers(0, 1 << 46, 900))
+    counts = np.arange(len(keys)) + 1
+    t = attention_lm.Table(keys, counts, 10)
+    got = t.count[t.find(keys)]
+    assert (got[t.kept] == counts[t.kept]).all() and t.kept.mean() > 0.6
+    assert (t.count[t.find(keys + 1)] > 0).mean() < 0.01 and t.count[t.size] == 0
+    assert t.kept[-1]  # the most frequent is there
+
+
+def test_lm_experts_are_distributions():
+    experts, _, _ = small_experts()
+    seen = {attention_lm.END_ID, *range(40)}
+    for before in ([1, 2], [3, 39], [17], [], [attention_lm.END_ID - 7, 5]):
+        text = np.array([*before, 0], np.int64)
+        total = np.zeros(3)
+        for y in seen:
+            text[-1] = y
+            total += experts.at(text, np.array([len(text)]))[0][-1]
+        text[-1] = 47_000  # never seen: the same for all others
+        total += experts.at(text, np.array([len(text)]))[0][-1] * (attention_lm.IDS - len(seen))
+        assert total == pytest.approx([1, 1, 1], rel=1e-3)
+
+
 def test_lm_windows_and_gradient():
-    rng = np.random.default_rng(0)
-    vocab = attention_lm.Vocabulary(rng.integers(0, 1000, attention_lm.END_ID + 1).astype(float))
-    m = attention_lm.Model(vocab.prior)
-    lengths = np.array([1, 31, 32, 33, 200])
-    cls = rng.integers(0, attention_lm.CLASSES, lengths.sum())
-    doc, first = attention_lm.windows(lengths)
+    experts, flat, lengths = small_experts()
+    m = attention_lm.Model()
+    m.flat += np.random.default_rng(1).normal(0, 0.3, len(m.flat)).astype(np.float32)
+    sizes = np.array([1, 31, 32, 33, 200])
     scored = Counter()
-    for d, f in zip(doc.tolist(), first.tolist()):
+    for d, f in zip(*(t.tolist() for t in attention_lm.windows(sizes))):
         skip = attention_lm.WINDOW - attention_lm.STEP if f else 0
-        scored.update((d, p) for p in range(f + skip, min(f + attention_lm.WINDOW, lengths[d])))
-    assert scored == Counter((d, p) for d, n in enumerate(lengths.tolist()) for p in range(n))
-    x, y, ok = attention_lm.gather(cls, lengths, doc, first, vocab.classes)
-    later = x.copy()
+        scored.update((d, p) for p in range(f + skip, min(f + attention_lm.WINDOW, sizes[d])))
+    assert scored == Counter((d, p) for d, n in enumerate(sizes.tolist()) for p in range(n))
+    p, cell, x = experts.at(flat, lengths, 1)
+    doc, first = attention_lm.windows(lengths, attention_lm.WINDOW)
+    at, ok = attention_lm.gather(lengths, doc, first)
+    later = x[at].copy()
     later[:, 20:] = 0  # causal: what comes later changes nothing before
-    assert np.allclose(m.log_probability(x, y)[:, :20], m.log_probability(later, y)[:, :20], atol=1e-4)
-    p = sum(np.exp(m.log_probability(x[:1], np.full((1, attention_lm.WINDOW), c))) for c in range(attention_lm.CLASSES))
-    assert np.allclose(p, 1, atol=1e-3)
-    g = m.gradient(x, y, np.ones(x.shape))
-    for i in np.argsort(-np.abs(g))[:5]:
+    assert np.allclose(m.log_probability(x[at], cell[at], p[at])[:, :20],
+                       m.log_probability(later, cell[at], p[at])[:, :20], atol=1e-4)
+    loss = lambda: -(m.log_probability(x[at], cell[at], p[at]) * ok).sum(dtype=float) / ok.sum()
+    g = m.gradient(x[at], cell[at], p[at], ok)
+    for i in np.argsort(-np.abs(g))[:40:5]:
         old = m.flat[i]
         m.flat[i] = old + 1e-2
-        up = -m.log_probability(x, y).mean(dtype=float)
+        up = loss()
         m.flat[i] = old - 1e-2
-        down = -m.log_probability(x, y).mean(dtype=float)
+        down = loss()
         m.flat[i] = old
-        assert (up - down) / 2e-2 == pytest.approx(g[i], rel=0.1, abs=1e-3)
+        assert (up - down) / 2e-2 == pytest.approx(g[i], rel=0.1, abs=1e-4)
 
 
-def test_lm_learns_from_every_window_once():
+def test_lm_learns_from_every_window_once(spark):
     lengths = np.arange(1, 130)
-    doc, first = attention_lm.windows(lengths)
-    rounds = [attention_lm.in_round(doc * 3 + 1, first, k) for k in range(attention_lm.ROUNDS)]
-    assert (np.sum(rounds, axis=0) == 1).all()
+    doc, first = attention_lm.windows(lengths, attention_lm.WINDOW)
+    targets = Counter()
+    for d, f in zip(doc.tolist(), first.tolist()):
+        targets.update((d, p) for p in range(f, min(f + attention_lm.WINDOW, lengths[d])))
+    assert targets == Counter((d, p) for d, n in enumerate(lengths.tolist()) for p in range(n))
+    rows = spark.range(100).withColumnRenamed("id", "row")
+    turns = [{r["row"] for r in rows.where(attention_lm.in_round(k)).collect()} for k in range(attention_lm.ROUNDS)]
+    assert sorted(x for t in turns for x in t) == list(range(100))
+
+
+def test_lm_scores_token_by_token():
+    """Each place by itself, from plain counts and the attention formula of its own window."""
+    from math import exp, log
+    experts, flat, lengths = small_experts(2000)
+    m = attention_lm.Model()
+    m.flat += np.random.default_rng(2).normal(0, 0.3, len(m.flat)).astype(np.float32)
+    e = attention_lm.END_ID
+    texts = np.split(flat, np.cumsum(lengths)[:-1])
+    single, pair, triple, context = Counter(), Counter(), Counter(), Counter()
+    for t in texts:
+        one = [e, *t.tolist()[:-1]]
+        two = [e, *one[:-1]]
+        for a, b, c in zip(two, one, t.tolist()):
+            single[c] += 1
+            pair[b, c] += 1
+            triple[a, b, c] += 1
+    followers, thirds = Counter(), Counter()
+    for (b, c), n in pair.items():
+        followers[b] += n
+    for (a, b, c), n in triple.items():
+        thirds[a, b] += n if n > 1 else 0
+    total = sum(single.values())
+
+    def scored(t):
+        one = [e, *t[:-1]]
+        two = [e, *one[:-1]]
+        ps, cells = [], []
+        for k, (a, b, c) in enumerate(zip(two, one, t)):
+            p1 = (single[c] + 0.1) / (total + 0.1 * attention_lm.IDS)
+            n1 = single[b]
+            p2 = (pair[b, c] + (n1 - followers[b]) * p1) / n1 if n1 else p1
+            n2 = pair[a, b] if k else 0
+            n3 = triple[a, b, c] if triple[a, b, c] > 1 and k else 0
+            p3 = (n3 + (n2 - thirds[a, b]) * p2) / n2 if n2 else p2
+            ps.append((p1, p2, p3))
+            cells.append(min(int(np.log2(n1 + 1)), 15) * attention_lm.STEPS + min(int(np.log2(n2 + 1)), 15))
+        out, w, skip = 0.0, attention_lm.WINDOW, attention_lm.WINDOW - attention_lm.STEP
+        for k in range(len(t)):
+            first = 0 if k < w else attention_lm.STEP * -(-(k - w + 1) // attention_lm.STEP)
+            assert first == 0 or skip <= k - first < w
+            vec = [m["emb"][experts.cls[one[j]]] + m["pos"][j - first] for j in range(first, k + 1)]
+            qkv = [v @ m["qkv"] for v in vec]
+            d = attention_lm.DIM
+            weight = [exp(float(qkv[-1][:d] @ x[d:2 * d])) for x in qkv]
+            mean = sum(a * x[2 * d:] for a, x in zip(weight, qkv)) / sum(weight)
+            z = np.exp(vec[-1] @ m["gate"][:d] + mean @ m["gate"][d:] + m["cell"][cells[k]])
+            out += log(float((z / z.sum()) @ np.array(ps[k])))
+        return out
+
+    some = [t for t in texts if len(t)][:25]
+    got = attention_lm.score_texts(experts, m, np.concatenate(some), np.array([len(t) for t in some]))
+    assert got == pytest.approx([scored(t.tolist()) for t in some], rel=1e-3)
+
+
+def test_lm_beats_its_base_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = [x for x in attention_lm.lm_scores(docs, tokenizer(BYTE)).collect() if x["held_out"]]
+    assert sum(x["score"] for x in r) > sum(x["base_score"] for x in r)
 
 
 def test_lm_edges(edge, empty):
@@ -497,7 +613,7 @@ def test_rows_that_share_an_id_keep_their_own_spans(spark):
 
 @pytest.mark.parametrize("hot", [1, 3, 1000])
 def test_frequent_lines_by_either_join(spark, hot, monkeypatch):
-    monkeypatch.setattr(unit_dedup, "HOT", hot)
+    monkeypatch.setattr(common, "HOT", hot)
     rows = [(i, "the very same words here\n" + f"number {i % 7} of the other lines\nown {i} a b c") for i in range(60)]
     got = {r["doc_id"]: tuple(r)[1:] for r in unit_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_units(rows)
@@ -595,3 +711,45 @@ def test_fillings_of_many_pieces():
     bins = mixed.solve()
     assert sorted(n for b in bins for n in b) == sorted(mixed.lengths) and max(map(sum, bins)) <= mixed.size
     assert mixed.bound() <= len(bins) <= len(mixed.best_fit())
+
+
+# worker memory
+
+def test_worker_memory_has_one_owner():
+    mine = common.worker_memory(("a", 1))
+    mine["x"] = 1
+    assert common.worker_memory(("a", 1)) is mine
+    assert common.worker_memory(("b",)) == {}
+    assert common.worker_memory(("a", 1)) == {}  # given up in between
+    common.worker_memory(("a", 1))["x"] = 2
+    common.worker_memory()
+    assert common.worker_memory(("a", 1)) == {}
+
+
+def test_ids_memory_is_bounded_and_given_up():
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import resource, sys
+sys.path.insert(0, {root!r})
+from bookwatch.llm import common, tokens
+from bookwatch.llm.queries import tokenizer
+def now():
+    return int(open("/proc/self/statm").read().split()[1]) * resource.getpagesize() / 1e6
+ids = tokens.Ids(tokenizer({WORD!r}), "word", 2)
+ids.of("one word")
+before = now()
+for k in range(890_000):
+    ids.of(f"unit{{k}}")
+assert len(ids.known) <= tokens.KEEP
+full = now() - before
+del ids
+common.worker_memory()
+assert 60 < full < 260, full
+print(full, now() - before)
+assert now() - before < 0.5 * full, (full, now() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True)
+    assert out.returncode == 0, out.stdout + out.stderr
