@@ -57,3 +57,15 @@ def test_matrix_partitions_hold_bounded_rows(spark, monkeypatch):
     assert sum(sizes) == 1000 and len(sizes) == 20 and max(sizes) <= 60
     few = MD.dealt(spark.range(25).repartition(8))
     assert few.rdd.getNumPartitions() == 3 and few.agg(F.count("*")).first()[0] == 25
+
+
+def test_boosted_trees_keep_no_table_of_nodes(spark):
+    from pyspark.ml.functions import array_to_vector
+    x = [F.hash(F.col("id"), F.lit(k)) % 100 / 100.0 for k in range(4)]
+    df = spark.range(400).select(array_to_vector(F.array(*x)).alias("features"),
+                                 (x[0] + x[1] > 0.2).cast("int").alias("y"), F.lit(1.0).alias("weight")).coalesce(1).persist()
+    est = MD.boosted("y", max_iter=4)
+    assert not est.getCacheNodeIds()
+    trees = est.fit(df).toDebugString.split("\n", 1)[1]
+    assert trees == MD.boosted("y", max_iter=4).setCacheNodeIds(True).fit(df).toDebugString.split("\n", 1)[1]
+    df.unpersist()
