@@ -499,6 +499,82 @@ def test_lm_scores_token_by_token():
     assert got == pytest.approx([scored(t.tolist()) for t in some], rel=1e-3)
 
 
+def test_lm_counts_every_pair_and_triple(spark, monkeypatch):
+    """Counts of all pairs and triples, however many parts and buckets they are dealt over."""
+    e = attention_lm.END_ID
+    rng = np.random.default_rng(5)
+    texts = [[*(rng.zipf(1.3, k) % 5000).tolist(), e] for k in rng.integers(0, 60, 150)]
+    frame = [(k, k % 5 == 0, np.array(t, "<u2").tobytes(), k // 7) for k, t in enumerate(texts)]
+    pairs, triples, thirds = Counter(), Counter(), Counter()
+    for k, t in enumerate(texts):
+        if k % 5:
+            pairs.update(zip([e, *t], t))
+            triples.update(zip([e, *t], t, t[1:]))
+    for (a, b, _), n in triples.items():
+        thirds[a, b] += n if n > 1 else 0
+    monkeypatch.setattr(attention_lm, "BUCKET", 500)
+    coded = spark.createDataFrame(frame, "row long, held_out boolean, ids binary, part long")
+    counted, buckets = attention_lm.with_counts(coded.repartition(3))  # rows of a part come from several tasks
+    assert buckets > 5 and len(pairs) > 1500
+    checked = []
+    for part in counted.where("row >= 0").collect():
+        f, ids, lengths, seen = attention_lm.with_places(part["texts"], part["found"], buckets)
+        want = []
+        for k in f.row:
+            t = texts[k]
+            checked.append(k)
+            assert f.held_out[f.row == k].tolist() == [k % 5 == 0]
+            follow = [triples[x] for x in zip([e, *t], t, t[1:])]
+            want += [[pairs[p], n if n > 1 else 0, thirds[p]] for p, n in zip(zip([e, *t], t), [*follow, 0])]
+        assert seen.T.tolist() == want and ids.tolist() == [y for k in f.row for y in texts[k]]
+    assert sorted(checked) == list(range(len(texts)))
+    experts = attention_lm.learned(counted)
+    first = Counter()
+    for (a, _), n in pairs.items():
+        first[a] += n if n > 1 else 0
+    assert experts.after_one.sum() == sum(first.values()) and all(experts.after_one[a] == n for a, n in first.items())
+    assert experts.total == sum(len(t) for k, t in enumerate(texts) if k % 5)
+
+
+def test_lm_counts_that_come_with_the_text_give_distributions():
+    """Each expert's probabilities add up to one, and are those of the same counts held in tables."""
+    _, flat, lengths = small_experts()
+    ids, e = attention_lm.IDS, attention_lm.END_ID
+    texts = [t.tolist() for t in np.split(flat, np.cumsum(lengths)[:-1])]
+    pairs = Counter(p for t in texts for p in zip([e, *t], t))
+    triples = Counter(p for t in texts for p in zip([e, *t], t, t[1:]))
+    thirds, first = Counter(), Counter()
+    for (a, b, _), n in triples.items():
+        thirds[a, b] += n if n > 1 else 0
+    for (a, _), n in pairs.items():
+        first[a] += n if n > 1 else 0
+    single = np.bincount(flat, minlength=ids).astype(float)
+    experts = attention_lm.Experts(single, after_one=np.array([first[k] for k in range(ids)]))
+
+    def by_place(t):
+        follow = [triples[x] for x in zip([e, *t], t, t[1:])]
+        return np.array([[pairs[p], n if n > 1 else 0, thirds[p]] for p, n in zip(zip([e, *t], t), [*follow, 0])],
+                        np.float32).T
+
+    seen = {e, *range(40)}
+    for before in ([1, 2], [3, 39], [17], [], [e - 7, 5]):
+        total = sum(experts.at(np.array([*before, y]), np.array([len(before) + 1]), 0, by_place([*before, y]))[0][-1]
+                    * (1 if y in seen else ids - len(seen)) for y in [*seen, 47_000])
+        assert total == pytest.approx([1, 1, 1], rel=1e-3)
+    keys = np.array([a * ids + b for a, b in pairs])
+    often = {k: n for k, n in triples.items() if n > 1}
+    held = attention_lm.Experts(single, (keys, np.array(list(pairs.values()))), (
+        np.array([(a * ids + b) * ids + c for a, b, c in often]), np.array(list(often.values()))))
+    given = np.concatenate([by_place(t) for t in texts], axis=1)
+    held.pairs.count[held.pairs.count == 1] = 0  # as above, what was seen once is left over
+    held.after_one = experts.after_one
+    for own in (0, 1):
+        one, two = experts.at(flat, lengths, own, given), held.at(flat, lengths, own)
+        assert np.allclose(one[0][:, :2], two[0][:, :2]) and (one[2] == two[2]).all()
+        near = experts.by_text(flat, lengths, own, given)
+        assert all((x == y).all() for x, y in zip(one, near))
+
+
 def test_lm_beats_its_base_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = [x for x in attention_lm.lm_scores(docs, tokenizer(BYTE)).collect() if x["held_out"]]
