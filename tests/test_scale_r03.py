@@ -3,10 +3,14 @@
 import re
 
 import pytest
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from bookwatch.operators import models as MD
+from bookwatch.operators import preprocess as PP
 from bookwatch.plans import registry as R
+from bookwatch.plans.registry import features
 from bookwatch.session import METHOD_BYTES
 from bookwatch.sources import bookings as BS
 
@@ -69,3 +73,23 @@ def test_boosted_trees_keep_no_table_of_nodes(spark):
     trees = est.fit(df).toDebugString.split("\n", 1)[1]
     assert trees == MD.boosted("y", max_iter=4).setCacheNodeIds(True).fit(df).toDebugString.split("\n", 1)[1]
     df.unpersist()
+
+
+def test_values_are_counted_once_for_medians_and_ranges(spark, monkeypatch):
+    df = spark.createDataFrame([(float(i * i % 17), float(i) if i % 3 else None, float("nan") if i % 4 == 0 else 1.0 * i,
+                                 None, 5) for i in range(60)], "a double, b double, c double, d double, e int")
+    cols = ["a", "b", "c", "d", "e"]
+    med = PP.fit_medians(df, cols)
+    robust = PP.fit_robust(PP.impute(df, med), cols)
+    counted, real = [], PP.quantiles
+    monkeypatch.setattr(PP, "quantiles", lambda d, c, *more: counted.append(list(c)) or real(d, c, *more))
+    assert PP.fit_imputed_robust(df, cols) == (med, robust)
+    assert counted == [cols, ["b", "c", "d"]]  # only what misses values is counted again
+
+
+def test_matrix_leaves_memory_to_the_learners(spark, monkeypatch):
+    seen, real = [], DataFrame.persist
+    monkeypatch.setattr(DataFrame, "persist", lambda self, *level: seen.append(level) or real(self, *level))
+    train = features(spark, SMALL)
+    MD.fit_bundle(train, "logistic", max_iter=2)
+    assert seen == [(StorageLevel.DISK_ONLY,)]
