@@ -536,6 +536,22 @@ def test_lm_counts_every_pair_and_triple(spark, monkeypatch):
     assert experts.total == sum(len(t) for k, t in enumerate(texts) if k % 5)
 
 
+def test_lm_texts_of_a_part_are_kept_once(spark):
+    """What the texts of a part repeat takes no room in the table of counts, and comes back as it was."""
+    rng = np.random.default_rng(3)
+    one = np.append(rng.integers(0, 50000, 400), attention_lm.END_ID).astype("<u2").tobytes()
+    frame = [(k, k % 4 == 0, one if k % 10 else one[-2:], k // 50) for k in range(100)]
+    coded = spark.createDataFrame(frame, "row long, held_out boolean, ids binary, part long")
+    counted, buckets = attention_lm.with_counts(coded.coalesce(1))
+    got = {}
+    for part in counted.where("row >= 0").collect():
+        assert sum(len(t["ids"]) for t in part["texts"]) < 3 * len(one)  # 45 copies of it, and five ends
+        f, ids, lengths, _ = attention_lm.with_places(part["texts"], part["found"], buckets)
+        for k, tested, t in zip(f.row, f.held_out, np.split(ids, np.cumsum(lengths)[:-1])):
+            got[int(k)] = (bool(tested), t.astype("<u2").tobytes())
+    assert got == {k: (tested, t) for k, tested, t, _ in frame}
+
+
 def test_lm_counts_that_come_with_the_text_give_distributions():
     """Each expert's probabilities add up to one, and are those of the same counts held in tables."""
     _, flat, lengths = small_experts()
