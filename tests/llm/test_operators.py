@@ -3,6 +3,7 @@ edge tables: nulls, empty and long texts, ties, repeated rows, clashing columns.
 
 import hashlib
 import json
+import time
 import zlib
 from base64 import b64encode, urlsafe_b64encode
 from collections import Counter, defaultdict
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bookwatch.llm import (attention_lm, bin_completion, common, ftrl, hdc_langid, line_rules, postings, rans, secret_scan,
-                           setsketch, unit_dedup)
+                           setsketch, tokens, unit_dedup)
 from bookwatch.llm.common import components
 from bookwatch.llm.queries import tokenizer
 
@@ -346,6 +347,35 @@ def test_proximity(spark):
 
 # language-model scores
 
+def test_lm_scores_leaves_no_shuffle_files(spark, docs):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {n for n in (files.apply(k).getName() for k in range(files.size())) if n.startswith("shuffle_")}
+
+    before = shuffled()
+    assert attention_lm.lm_scores(docs, tokenizer(BYTE)).count() == docs.count()
+    for _ in range(40):  # they go in the background
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.5)
+    assert not left
+
+
+def test_words_stay_with_their_counts_only():
+    subwords, head, other = tokens.Ids(tokenizer(BYTE), "byte", 2), {1: 2}, {1: 2}
+    known = attention_lm.Words.held(subwords, head)
+    assert attention_lm.Words.held(subwords, head) is known
+    assert attention_lm.Words.held(subwords, other) is not known
+
+
+def test_distinct_numbers_ascend():
+    for values in ([], [3], [2, 2, 2], [5, -1, 5, 0, -1, 1 << 62]):
+        x = np.array(values, np.int64)
+        assert attention_lm.distinct(x).tolist() == sorted(set(values))
+
+
 def test_lm_scores(docs, plain):
     rows = attention_lm.lm_scores(docs, tokenizer(BYTE)).collect()
     seen = Counter()
