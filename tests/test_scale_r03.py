@@ -103,3 +103,15 @@ def test_large_matrix_is_dealt_evenly_over_the_cores(spark, monkeypatch):
         rows = cores * 50 * waves - 10
         sizes = [len(p) for p in MD.dealt(spark.range(rows, numPartitions=parts)).rdd.glom().collect()]
         assert len(sizes) == cores * waves and sum(sizes) == rows and max(sizes) <= 60
+
+
+def test_missing_values_are_told_from_the_counts(spark, monkeypatch):
+    df = spark.createDataFrame([(1.0, None, float("nan"), 3), (2.0, 4.0, 5.0, None)], "a double, b double, c double, d int")
+    looked, real = [], DataFrame.agg
+    monkeypatch.setattr(DataFrame, "agg", lambda self, *e: looked.append(self) or real(self, *e))
+    med, robust = PP.fit_imputed_robust(df, ["a", "b", "c", "d"])
+    assert not any(x is df for x in looked)  # the table is not read again to look for nulls
+    assert med == {"a": 1.5, "b": 4.0, "c": 5.0, "d": 3.0} and robust["b"] == (4.0, 1.0)
+    sizes = {}
+    PP.quantiles(df.where("a is null"), ["a", "d"], [0.5], 10, sizes)
+    assert sizes == {"a": 0, "d": 0}
