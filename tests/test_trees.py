@@ -1,7 +1,7 @@
 """Trees grown on blocks of binned rows, and permuted rows scored by their features."""
 import numpy as np
 import pytest
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
@@ -36,6 +36,10 @@ def _probabilities(model, df):
 
 def test_without_drawing_trees_are_those_of_spark(matrix):
     df, edges, blocks = matrix
+    forest = MD.forest("y", num_trees=1, max_depth=6).setBootstrap(False).setFeatureSubsetStrategy("all")
+    one, other = forest.fit(df), TR.fit_forest(df.sparkSession, blocks, forest, edges, WEIGHTS)
+    assert one.toDebugString.split("\n", 1)[1] == other.toDebugString.split("\n", 1)[1]
+    assert np.abs(_probabilities(one, df) - _probabilities(other, df)).max() == 0
     boosted = MD.boosted("y", max_iter=5, subsample=1.0).setFeatureSubsetStrategy("all")
     one, other = boosted.fit(df), TR.fit_boosted(df.sparkSession, blocks, boosted, edges, WEIGHTS)
     assert np.abs(_probabilities(one, df) - _probabilities(other, df)).max() < 1e-12
@@ -45,7 +49,7 @@ def test_without_drawing_trees_are_those_of_spark(matrix):
 
 def test_drawn_trees_rank_as_well_and_are_drawn_alike_again(matrix):
     df, edges, blocks = matrix
-    for est, fit in ((MD.boosted("y", max_iter=10), TR.fit_boosted),):
+    for est, fit in ((MD.forest("y", num_trees=30, max_depth=6), TR.fit_forest), (MD.boosted("y", max_iter=10), TR.fit_boosted)):
         auc = [EV.roc_auc(m.transform(df).withColumn("p", vector_to_array("probability")[1]), "y", "p").first()[0]
                for m in (est.fit(df), *[fit(df.sparkSession, blocks, est, edges, WEIGHTS) for _ in range(2)])]
         assert auc[1] == auc[2] and auc[1] > auc[0] - 0.02
@@ -62,6 +66,7 @@ def test_large_tables_are_not_fitted_by_learners_that_keep_tables_of_counts(spar
 
     def fit(self, *_):
         raise AssertionError("Spark's learner keeps numbers for each row and tree")
+    monkeypatch.setattr(RandomForestClassifier, "fit", fit)
     monkeypatch.setattr(GBTClassifier, "fit", fit)
     tr, te = PP.stratified_split(FX.with_planted_label(features(spark, SF_SMALL)), target="planted_label")
     bundles = MD.fit_bundles(tr, label="planted_label", params={
