@@ -79,3 +79,41 @@ def test_large_tables_are_not_fitted_by_learners_that_keep_tables_of_counts(spar
         again = MD.load_bundle(spark, f"{tmp_path}/{kind}")
         assert MD.feature_importance(again, None).collect() == MD.feature_importance(bundles[kind], None).collect()
         assert MD.classifier_of(again).getMaxDepth() == MD.classifier_of(bundles[kind]).getMaxDepth()
+
+
+def test_permuted_features_score_as_permuted_rows(spark, monkeypatch):
+    tr, te = PP.stratified_split(FX.with_planted_label(features(spark, SF_SMALL)), target="planted_label")
+    te = te.withColumn("children", F.when(F.col("booking_id") % 3 > 0, F.col("children")))
+    bundle = MD.fit_bundle(tr, "forest", label="planted_label", num_trees=10, max_depth=6)
+    cols = ["deposit_type", "lead_time", "hotel", "adr", "children", "adr_bucket", "is_peak_season"]
+    got = {r["feature"]: r for r in MD.permutation_importance(te, bundle, cols, label="planted_label").collect()}
+    monkeypatch.setattr(MD, "RandomForestClassificationModel", ())  # scored by the model itself
+    want = {r["feature"]: r for r in MD.permutation_importance(te, bundle, cols, label="planted_label").collect()}
+    assert set(got) == set(want) == set(cols)
+    for c in cols:
+        for k in ("importance", "permuted_auc", "direction"):
+            assert (got[c][k] is None) == (want[c][k] is None) and abs((got[c][k] or 0) - (want[c][k] or 0)) < 1e-9, (c, k)
+
+
+def test_scores_of_more_columns_than_a_word_has_bits():
+    rng = np.random.default_rng(1)
+    own, other = rng.random((50, 70)), rng.random((50, 70))
+    inf = np.inf
+    trees = [(np.array([f, g, 0, 0, 0]), np.array([0.5, 0.3, inf, inf, inf]), np.array([1, 2, 3, 4, 2, 2, 3, 3, 4, 4]),
+              np.array([0, 0, 0.1, 0.4, 0.9]), np.array([0, 0, 0.9, 0.6, 0.1]), 2) for f, g in ((0, 69), (68, 3), (69, 69))]
+
+    def plain(x):
+        total = 0.0
+        for feature, threshold, kids, _, share, _ in trees:
+            at = 0
+            while threshold[at] < inf:
+                at = kids[2 * at + (x[feature[at]] > threshold[at])]
+            total += share[at]
+        return total / len(trees)
+    got = TR._permuted(own, other, trees, np.arange(70), 70)
+    for i in range(50):
+        assert abs(got[0, i] - plain(own[i])) < 1e-12
+        for c in (0, 3, 5, 68, 69):
+            x = own[i].copy()
+            x[c] = other[i, c]
+            assert abs(got[c + 1, i] - plain(x)) < 1e-12
