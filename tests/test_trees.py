@@ -41,15 +41,29 @@ def test_without_drawing_trees_are_those_of_spark(matrix):
     assert one.toDebugString.split("\n", 1)[1] == other.toDebugString.split("\n", 1)[1]
     assert np.abs(_probabilities(one, df) - _probabilities(other, df)).max() == 0
     boosted = MD.boosted("y", max_iter=5, subsample=1.0).setFeatureSubsetStrategy("all")
-    one, other = boosted.fit(df), TR.fit_boosted(df.sparkSession, blocks, boosted, edges, WEIGHTS)
+    one, other = boosted.fit(df), TR.fit_boosted(df.sparkSession, blocks, [boosted], edges, [WEIGHTS])[0]
     assert np.abs(_probabilities(one, df) - _probabilities(other, df)).max() < 1e-12
     assert np.abs(one.featureImportances.toArray() - other.featureImportances.toArray()).max() < 1e-12
     assert other.treeWeights == one.treeWeights and other.totalNumNodes == one.totalNumNodes
 
 
+def test_boosted_models_of_other_weights_share_their_passes(matrix, monkeypatch):
+    df, edges, blocks = matrix
+    ests, other = [MD.boosted("y", max_iter=3) for _ in range(2)], {0: 1.0, 1: 4.0}
+    passes, real = [], TR._added
+    monkeypatch.setattr(TR, "_added", lambda rdd: passes.append(1) or real(rdd))
+    both = TR.fit_boosted(df.sparkSession, blocks, ests, edges, [WEIGHTS, other])
+    assert len(passes) == 3 * 4 + 1  # a pass a level, and the last leaves
+    for model, weights in zip(both, (WEIGHTS, other)):
+        one = TR.fit_boosted(df.sparkSession, blocks, [ests[0]], edges, [weights])[0]
+        assert np.abs(_probabilities(one, df) - _probabilities(model, df)).max() < 1e-12
+    assert np.abs(_probabilities(both[0], df) - _probabilities(both[1], df)).max() > 0.01
+
+
 def test_drawn_trees_rank_as_well_and_are_drawn_alike_again(matrix):
     df, edges, blocks = matrix
-    for est, fit in ((MD.forest("y", num_trees=30, max_depth=6), TR.fit_forest), (MD.boosted("y", max_iter=10), TR.fit_boosted)):
+    alone = lambda s, b, est, e, w: TR.fit_boosted(s, b, [est], e, [w])[0]
+    for est, fit in ((MD.forest("y", num_trees=30, max_depth=6), TR.fit_forest), (MD.boosted("y", max_iter=10), alone)):
         auc = [EV.roc_auc(m.transform(df).withColumn("p", vector_to_array("probability")[1]), "y", "p").first()[0]
                for m in (est.fit(df), *[fit(df.sparkSession, blocks, est, edges, WEIGHTS) for _ in range(2)])]
         assert auc[1] == auc[2] and auc[1] > auc[0] - 0.02
